@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -9,31 +10,74 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.bpe import encode_batch
+from flowlab.llm.bpe import encode_batch, tokenizer
 from flowlab.llm.common import cut, text_of
 
 #: Pieces that one task packs together.
 BLOCK = 16384
 #: Entries of a worker's word table; when full it is emptied.
-WORDS = 400_000
+WORDS = 700_000
 NEVER = 1 << 40
 #: A sequence with less than this share of room left is final after the first round.
 FULL = 0.01
 
+#: Latin letters, and then other visible ASCII: exactly two words of the vocabulary's own splitting.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
+
 _tables: dict = {}
 
 
+class WordTable:
+    """Ids of words that stand between white space, as little-endian 32-bit integers; each distinct word is encoded
+    once per worker, until WORDS are held.
+
+    A plain word is its letters and what follows them, looked up apart. New letter runs are encoded together in one text: in this
+    kind of vocabulary the last piece of a word, and no other, is marked as its end, which shows where to cut."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        own = tokenizer(path)
+        ends = sorted(i for piece, i in own.get_vocab().items() if piece.endswith("</w>"))
+        self.ends = np.zeros(own.get_vocab_size(), bool)
+        self.ends[ends] = True
+
+    def _encode(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 2000):
+            part = parts[at : at + 2000]
+            ids = np.array(encode_batch(self.path, [" ".join(part)])[0], "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            raw = ids.tobytes()
+            if len(cuts) == len(part) and len(ids) == cuts[-1]:
+                self.parts.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))))
+            else:
+                self.parts.update(zip(part, (np.array(x, "<u4").tobytes() for x in encode_batch(self.path, part))))
+
+    def add(self, words: set[str]) -> None:
+        if len(self.words) > WORDS:
+            self.words.clear()
+            self.parts = {"": b""}
+        new = list(words.difference(self.words))
+        plain = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
+        odd = [w for w in new if w not in plain]
+        self._encode([p for p in {c for c, _ in plain.values()} if p not in self.parts])
+        tails = [t for t in {t for _, t in plain.values()} if t not in self.parts]
+        self.parts.update(zip(tails, (np.array(x, "<u4").tobytes() for x in encode_batch(self.path, tails))))
+        self.words.update((w, self.parts[c] + self.parts[t]) for w, (c, t) in plain.items())
+        self.words.update(zip(odd, (np.array(x, "<u4").tobytes() for x in encode_batch(self.path, odd))))
+
+
 def _ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids (little-endian 32 bit) of whole texts. White space ends a word for this kind of vocabulary, so
-    each distinct word is encoded once per worker. Texts with separators that only Python counts as white
-    space are encoded whole."""
-    table = _tables.setdefault(path, {})
+    """Ids of whole texts. White space ends a word for this kind of vocabulary. Texts with separators that only Python
+    counts as white space are encoded whole."""
+    if path not in _tables:
+        _tables[path] = WordTable(path)
+    table = _tables[path]
     split = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-    if len(table) > WORDS:
-        table.clear()
-    new = list({w for words in split for w in words}.difference(table))
-    table.update(zip(new, (np.array(x, dtype="<u4").tobytes() for x in encode_batch(path, new))))
-    return [b"".join(map(table.__getitem__, words)) for words in split]
+    table.add({w for words in split for w in words})
+    own = table.words
+    return [b"".join(map(own.__getitem__, words)) for words in split]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
