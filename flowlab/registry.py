@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from flowlab.plans import base, captures, flows, models, streams  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.ORACLES)
