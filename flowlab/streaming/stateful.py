@@ -37,18 +37,15 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 def _stateful(stream: DataFrame, step, out: str, state: str, keys=("flow_id",)) -> DataFrame:
-    """step(rows, old state or None) -> (rows out, new state). The state holds what the flow has done so far."""
+    """step(rows, old state or None) -> (rows out, new state). The state holds what the flow has done so far; idle times are
+    judged by the rows' own times, so a replay gives the same rows."""
 
     def work(key, frames, held: GroupState):
-        if held.hasTimedOut:
-            held.remove()
-            return
         rows, new = step(_ordered(frames), held.get if held.exists else None)
         held.update(new)
-        held.setTimeoutDuration(3_600_000)
         yield rows
 
-    return stream.groupBy(*keys).applyInPandasWithState(work, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(work, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def admit(stream: DataFrame, max_packets: int, idle: float = 5.0) -> DataFrame:
