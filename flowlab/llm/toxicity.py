@@ -14,8 +14,11 @@ BITS = 18
 #: Labelled rows of each class the linear classifier is fitted on at most, taken by a hash of
 #: doc_id. The log-count ratios are counted over all labelled rows.
 SAMPLE = 1500
-PENALTY = 1e-4
-CHUNKS = 32
+PENALTY = 2e-3
+#: Ratios less than so many standard errors from 0 count as 0: in long texts their sum would be noise.
+CERTAIN = 2.0
+#: Parts in which the counts of all tasks are summed.
+CHUNKS = 256
 
 
 def ngram_buckets(text: str) -> np.ndarray:
@@ -48,7 +51,7 @@ def count_ngrams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]
     size = (1 << BITS) // CHUNKS
 
     def part(batches):
-        total, docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        total, docs = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
                 total[int(label), ngram_buckets(text)] += 1
@@ -57,7 +60,10 @@ def count_ngrams(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]
             yield pd.DataFrame({"chunk": range(CHUNKS), "n0": int(docs[0]), "n1": int(docs[1]), "counts": [total[:, c * size : (c + 1) * size].tobytes() for c in range(CHUNKS)]})
 
     def add(frame):
-        total = sum(np.frombuffer(b, np.int64) for b in frame["counts"])
+        total = np.zeros(2 * size, np.int64)
+        for b in frame["counts"]:
+            # a task's own counts have 32 bits
+            total += np.frombuffer(b, np.int32)
         return pd.DataFrame({"chunk": [frame["chunk"].iat[0]], "n0": [frame["n0"].sum()], "n1": [frame["n1"].sum()], "counts": [total.tobytes()]})
 
     schema = "chunk int, n0 long, n1 long, counts binary"
@@ -109,7 +115,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     if not n1 or not n0:
         return np.zeros(1 << BITS, np.float32), float(np.log((n1 + 1) / (n0 + 1)))
     ratio = np.log((ones + 1) / (n1 + 2)) - np.log((zeros + 1) / (n0 + 2))
-    ratio[ones + zeros < 2] = 0
+    ratio[np.abs(ratio) < CERTAIN * np.sqrt(1 / (ones + 1) + 1 / (zeros + 1))] = 0
     order = F.xxhash64("doc_id")
     rows = [labelled.where(F.col("label") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
 
@@ -133,7 +139,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
             return float((share * np.logaddexp(0, -z)).sum() + PENALTY / 2 * (x[:-1] @ x[:-1])), slope
 
         x = _minimise(loss, np.zeros((1 << BITS) + 1))
-        # sampled classes count alike; the intercept goes back to the share they have in all rows, at most halfway
+        # both labels count alike, however many rows they have
         yield pd.DataFrame({"weights": [(x[:-1] * ratio).astype(np.float32).tobytes()], "intercept": [float(x[-1])]})
 
     model = rows[0].unionByName(rows[1]).select("text", "label").coalesce(1).mapInPandas(train, "weights binary, intercept double").first()
