@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from flowlab.llm.common import components, cut, filter_by_ids, text_of
 
-#: Depths at which the trie is visited: chains of single bits between them are walked in one step.
-DEPTHS = (8, 16, 24, 32, 48, 64)
+#: Depths at which the trie is visited: where nodes may have many children, and below, where nearly all have one.
+DENSE, SPARSE = (8, 12, 16, 20, 24, 28, 32), (48, 64)
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -50,36 +50,37 @@ def flips(width: int, budget: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(width), k)]
 
 
-def trie_pairs(values: DataFrame, budget: int = 2, depths=DEPTHS) -> DataFrame:
+def trie_pairs(values: DataFrame, budget: int = 2) -> DataFrame:
     """Pairs (a, b) with a < b of the distinct 64-bit values `fp` that differ in at most `budget` bits.
 
     Binary trie self-join. A row is a pair of nodes of one depth and the bits they differ in so
-    far. Going down, each child of the left node meets, by equal prefix, only the right node's
-    children that the left budget still allows; all others are pruned unseen. Every step is an
-    equi-join on prefixes; the widest depth has about as many pairs as there are values, times
-    the patterns of `budget` flips."""
-    pairs = None
-    last = 0
-    for depth in depths:
+    far; chains of single bits between two depths are walked in one step. Down to 32 bits each child of the left node
+    asks, by prefix, only for the right node's children that the left budget still allows. Below, where nearly every node has
+    one child, the children of both nodes meet and pairs over the budget are pruned. Every step is an equi-join on prefixes. The
+    widest depth has about as many pairs as there are values, times the patterns of `budget` flips."""
+    pairs, last = None, 0
+    for depth in (*DENSE, *SPARSE):
         step = depth - last
-        node = F.shiftrightunsigned("fp", 64 - depth) if depth < 64 else F.col("fp")
-        nodes = values.select(node.alias("node")).distinct() if depth < 64 else values.select(node.alias("node"))
-        above = F.shiftrightunsigned("node", step)
-        if pairs is None:
-            left = nodes.select(F.col("node").alias("a"), F.lit(0).alias("used"), F.lit(0).cast("long").alias("b_up"))
-        else:
-            down = nodes.select(F.col("node").alias("a"), above.alias("a_up"))
-            left = pairs.select(F.col("a").alias("a_up"), F.col("b").alias("b_up"), "used").join(down, "a_up").select("a", "b_up", "used")
-        rows = F.lit(None)
-        for used in reversed(range(budget + 1)):
-            allowed = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(bin(m).count("1")).alias("bits")) for m in flips(step, budget - used)])
-            rows = F.when(F.col("used") == used, allowed).otherwise(rows) if used < budget else allowed
-        low = F.lit((1 << step) - 1).cast("long")
-        moved = left.select("a", "b_up", "used", F.explode(rows).alias("flip"))
-        wanted = moved.select("a", (F.col("used") + F.col("flip.bits")).alias("used"), F.shiftleft("b_up", step).bitwiseOR(F.col("a").bitwiseAND(low).bitwiseXOR(F.col("flip.mask"))).alias("b"))
+        nodes = values.select(F.shiftrightunsigned("fp", 64 - depth).alias("node")).distinct() if depth < 64 else values.select(F.col("fp").alias("node"))
+        up = F.shiftrightunsigned("node", step) if depth > step else F.lit(0).cast("long")
+        left = nodes.select(F.col("node").alias("a"), up.alias("a_up"))
+        left = left.select("a", F.lit(0).cast("long").alias("b_up"), F.lit(0).alias("used")) if pairs is None else pairs.select(F.col("a").alias("a_up"), F.col("b").alias("b_up"), "used").join(left, "a_up").select("a", "b_up", "used")
         # of the mirrored pairs one is kept; a node with itself stays, for the pairs inside it
-        wanted = wanted.where("a <= b") if depth < 64 else wanted.where("a <> b")
-        pairs = wanted.join(nodes.select(F.col("node").alias("b")), "b").select("a", "b", "used")
+        ordered = (F.col("a") <= F.col("b")) if depth < 64 else (F.col("a") != F.col("b"))
+        if depth in DENSE:
+            allowed = None
+            for used in reversed(range(budget + 1)):
+                masks = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m.bit_count()).alias("bits")) for m in flips(step, budget - used)])
+                allowed = masks if allowed is None else F.when(F.col("used") == used, masks).otherwise(allowed)
+            low = F.lit((1 << step) - 1).cast("long")
+            moved = left.select("a", "b_up", "used", F.explode(allowed).alias("flip"))
+            wanted = moved.select("a", (F.col("used") + F.col("flip.bits")).alias("used"), F.shiftleft("b_up", step).bitwiseOR(F.col("a").bitwiseAND(low).bitwiseXOR(F.col("flip.mask"))).alias("b"))
+            pairs = wanted.where(ordered).join(nodes.select(F.col("node").alias("b")), "b").select("a", "b", "used")
+        else:
+            right = nodes.select(F.col("node").alias("b"), up.alias("b_up"))
+            # the bits above differ in `used` places: those of the whole prefix are used + the new ones
+            near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget) & ordered
+            pairs = left.alias("l").join(right.alias("r"), (F.col("l.b_up") == F.col("r.b_up")) & near).select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("used"))
         last = depth
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
