@@ -15,8 +15,9 @@ from flowlab.llm.common import cut, text_of
 
 #: Pieces that one task packs together.
 BLOCK = 16384
-#: Entries of a worker's word table; when full it is emptied.
-WORDS = 700_000
+#: Words, and parts of words, that a worker holds; when there are more, they are dropped. Workers outlive a stage, so this
+#: memory, about 200 bytes each, is there while other stages run.
+WORDS = 250_000
 NEVER = 1 << 40
 #: A sequence with less than this share of room left is final after the first round.
 FULL = 0.01
@@ -56,7 +57,8 @@ class WordTable:
 
     def add(self, words: set[str]) -> None:
         if len(self.words) > WORDS:
-            self.words.clear()
+            self.words = {}
+        if len(self.parts) > WORDS:
             self.parts = {"": b""}
         new = list(words.difference(self.words))
         plain = {w: (m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))}
