@@ -71,6 +71,30 @@ def filter_by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFr
     return rows.join(F.broadcast(ids) if small else ids, key, how)
 
 
+def digest_of():
+    """SHA-256 of the text, as 32 bytes."""
+    return F.unhex(F.sha2(text_of(), 256))
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs without the rows that `marks` (doc_id, digest, kept; one row or more for each row of docs) has as kept = false.
+
+    A row is its doc_id, null among them, and its text, so other texts of a repeated doc_id stay. Of rows that repeat both, one stays."""
+    rows = marks.groupBy("doc_id", "digest").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    rows = cut(rows.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept"), "rows")
+    small = rows.count() <= MAX_BROADCAST_IDS // 8  # a row has 40 bytes, an id 8
+
+    def match(left, part, how):
+        one = rows.where(part).drop("kept")
+        return left.join(F.broadcast(one) if small else one, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest_of() == F.col("__digest")), how)
+
+    left = match(docs, "not kept", "left_anti")
+    if rows.where("kept").isEmpty():
+        return left
+    again = match(left, "kept", "left_semi").withColumn("__own", digest_of()).dropDuplicates(["doc_id", "__own"]).drop("__own")
+    return match(left, "kept", "left_anti").unionByName(again)
+
+
 def _contract(batches):
     """Union-find over the edges of one task: as many edges as nodes at most leave it."""
     parent: dict = {}

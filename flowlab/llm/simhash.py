@@ -1,4 +1,5 @@
-"""SimHash near-dedup: fingerprints of word shingles, linked by a self-join of their binary trie."""
+"""SimHash near-dedup: fingerprints of word shingles, linked by a self-join of their binary trie. The pipeline's stage finds
+near copies by the similarity of their shingle sets instead: MinHash bands give candidates, each is verified exactly."""
 
 from __future__ import annotations
 
@@ -7,26 +8,34 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import components, cut, filter_by_ids, text_of
+from flowlab.llm.common import MAX_BROADCAST_IDS, components, cut, digest_of, keep_rows, text_of
 
 #: Depths at which the trie is visited: where nodes may have many children, and below, where nearly all have one.
 DENSE, SPARSE = (8, 12, 16, 20, 24, 28, 32), (48, 64)
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """64 bits: bit j is 1 if it is set in over half of the XXH64 hashes (seed 42) of the shingles.
+#: MinHash bands and the minima of each: two sets with similarity 0.8 share no band with probability 7e-5, with 0.9 less than 1e-9.
+BANDS, MINIMA = 24, 5
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows of a band from which they meet its ends only, not their neighbours, before the components are known.
+HEAVY = 500
+
 
-    A-Z are lower-cased, words are split at ASCII white space. Fewer words than a shingle: one
-    shingle of all words; no words: 0."""
+def hashes_of(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles, in order. A-Z are lower-cased, words are split at ASCII white space. Fewer words than
+    a shingle: one shingle of all words; no words: none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes.lower and bytes.split know ASCII only
-    if not words:
-        return 0
-    parts = [words] if len(words) < shingle else zip(*[words[k:] for k in range(shingle)])
+    parts = ([words] if words else []) if len(words) < shingle else zip(*[words[k:] for k in range(shingle)])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(p), 42) for p in parts], dtype="<u8")
+    return np.array([digest(b" ".join(p), 42) for p in parts], dtype="<u8")
+
+
+def fingerprint(text: str, shingle: int) -> int:
+    """64 bits: bit j is 1 if it is set in over half of the hashes of the shingles; no words: 0."""
+    hashes = hashes_of(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 65536):
         part = hashes[start : start + 65536]
@@ -106,8 +115,92 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2) -> Da
     return marks.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id."""
-    found = simhash_components(docs, shingle, budget)
-    dropped = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "near")
-    return filter_by_ids(docs, dropped, "doc_id", "left_anti")
+def band_keys(own: np.ndarray) -> list[int]:
+    """A key for each band of the distinct hashes `own`: that of the minima under MINIMA of the multiplications."""
+    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(own), 2048):
+        low = np.minimum(low, (own[start : start + 2048, None] * FACTORS).min(axis=0))
+    return [xxhash.xxh64_intdigest(part.tobytes(), band) for band, part in enumerate(low.reshape(BANDS, MINIMA))]
+
+
+def shingle_classes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, digest, node long, bands array<long>) for every row of docs: rows with one set of shingles have one node."""
+
+    def work(batches):
+        for batch in batches:
+            sets = [np.unique(hashes_of(t, shingle)) for t in batch["text"]]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes, "bands": [np.array(band_keys(s), dtype=np.uint64).view(np.int64) for s in sets]})
+
+    rows = docs.select("doc_id", digest_of().alias("digest"), text_of().alias("text"))
+    return rows.mapInPandas(work, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary, node long, bands array<long>")
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(classes.join(ends, "node", "left_semi").select("node", F.col("digest").alias("__digest")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS // 8 else wanted
+    # one row of docs for each node: rows that repeat a text are few, and meet again here
+    texts = docs.select(text_of().alias("text"), digest_of().alias("__digest")).join(wanted, "__digest").groupBy("node").agg(F.first("text").alias("text"))
+    texts = cut(texts, "texts")
+    a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+
+    def work(batches):
+        held: dict = {}
+        for batch in batches:
+            ok = []
+            for x, y, s, t in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
+                if len(held) > 4000:
+                    held.clear()
+                for node, text in ((x, s), (y, t)):
+                    if node not in held:
+                        held[node] = np.unique(hashes_of(text, shingle))
+                n, m = len(held[x]), len(held[y])
+                both = len(np.intersect1d(held[x], held[y], assume_unique=True)) if min(n, m) >= similarity * max(n, m) else 0
+                ok.append(both > 0 and both >= similarity * (n + m - both))
+            yield batch.loc[ok, ["a", "b"]]
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(work, "a long, b long")
+
+
+def similar_components(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of the nodes of `classes` (node, digest, bands) that have links: pairs that share a band and are verified.
+
+    Nodes of a band meet their next two in it, those of a very large one its first and last; then all pairs of a band
+    that are still in different components and not yet tested meet. So of the pairs that share a band, none that could
+    join two components is left out, and a group of copies costs rows in proportion to its size."""
+    bands = classes.select("node", F.explode("bands").alias("key"))
+    sizes = cut(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "bands")
+    heavy = sizes.where(F.col("n") > HEAVY).select("key", "low", "high")
+    heavy = F.broadcast(heavy) if heavy.count() <= MAX_BROADCAST_IDS // 8 else heavy
+    near = Window.partitionBy("key").orderBy("node")
+    light = bands.join(heavy, "key", "left_anti").select("node", F.array(F.lead("node", 1).over(near), F.lead("node", 2).over(near)).alias("next")).select("node", F.explode("next").alias("other"))
+    far = bands.join(heavy, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
+    tested = light.union(far).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    tested = cut(tested, "candidates")
+    links = cut(verified(docs, classes, tested, shingle, similarity), "verified")
+    found = cut(components(links), "found")
+    # bands that still hold several components
+    rows = bands.join(sizes.select("key"), "key", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.mode("component").alias("main")).where("least <> most")
+    rows = cut(rows.join(mixed.select("key", "main"), "key"), "mixed")
+    x, y = rows.where("component <> main").alias("x"), rows.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    more = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return components(links.union(cut(verified(docs, classes, cut(more, "candidates"), shingle, similarity), "verified")))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (a null one comes last), then the smallest digest.
+
+    Rows are linked if their sets of shingles have a Jaccard similarity of `similarity` or more, exactly computed; texts
+    without words are one class. Sets are found by MinHash bands: of a pair at 0.8, 1 - 7e-5 are expected to be seen."""
+    marks = cut(shingle_classes(docs, shingle), "shingles")
+    classes = cut(marks.groupBy("node").agg(F.min("digest").alias("digest"), F.first("bands").alias("bands")), "classes")
+    found = similar_components(docs, classes, shingle, similarity)
+    rows = marks.select("doc_id", "digest", "node").join(found, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
+    rows = cut(rows, "components")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marked = rows.join(first, "component").select("doc_id", "digest", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept"))
+    return keep_rows(docs, marked)
