@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlab.functions.symbols import edges_equal, record_symbol, symbol_hash
 from flowlab.operators import chains as C
 from flowlab.operators import hmm as H
-from flowlab.operators.similarity import vocabulary
+from flowlab.operators.similarity import encode, vocabulary
 from flowlab.plans import views as V
 from flowlab.plans.base import query
 from flowlab.plans.models import OPEN
@@ -56,16 +56,22 @@ def st4(spark, d):
     return ST.run_available(ST.online_chain(rows, table, 4, limits)).select("flow_id", "model_label", F.round("score", 6).alias("score"), (F.round("score", 6) >= -12).alias("member"))
 
 
+def _online_profiles(spark, d):
+    """(sequences with ids, profiles of all labels), fitted in batch on the training rows; symbols of whole sequences."""
+    s = V.seqs(spark, d)
+    vocab = vocabulary(s.where("dset = 'train'")).persist()
+    codes = {r.symbol: r.id for r in vocab.collect()}
+    ids = encode(s, vocab)
+    return ids, codes, H.phmm_fit(ids, 4, len(codes), iterations=2)
+
+
 @query("st5_online_phmm")
 def st5(spark, d):
-    """Profiles of the first labels, applied after 4 symbols."""
-    s = V.seqs(spark, d).withColumn("seq", F.slice("seq", 1, 6))
-    vocab = vocabulary(s.where("dset = 'train'"))
-    codes = {r.symbol: r.id for r in vocab.collect()}
-    models = {label: H.Profile.start(4, len(codes), seed) for seed, label in enumerate(("L0", "L1"))}
+    """Profiles of all labels, fitted in batch, applied to the stream after 4 symbols."""
+    _, codes, params = _online_profiles(spark, d)
     known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
     rows = _symbols(spark, d).select("flow_id", "frame_number", "time_epoch", F.coalesce(F.try_element_at(known, "symbol"), F.lit(-1)).cast("int").alias("id"))
-    return ST.run_available(ST.online_phmm(rows, models, 4))
+    return ST.run_available(ST.online_phmm(rows, H.models_of(params), 4))
 
 
 @query("st6_votes", "SELECT user_id * 100 + (day(ts) - 1) // 3 AS flow_id, CAST(sum(CAST(value > 50 AS INT)) AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id, (day(ts) - 1) // 3 ORDER BY ts, event_id) AS n FROM events) WHERE n <= 5 GROUP BY flow_id HAVING count(*) = 5")
