@@ -41,14 +41,28 @@ def knn(train: DataFrame, test: DataFrame, k: int, fraction: float | None = None
     return vote(nearest(test, train, k), fraction)
 
 
+#: Hash blocks of words; the pairs of blocks are dealt out, so that neither one task nor one label holds all pairs.
+BLOCKS = 16
+
+
+def _block(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)).cast("int")
+
+
+def _each_block():
+    return F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+
+
 def label_pairs(seqs: DataFrame) -> DataFrame:
     """(label_a, label_b, dist, n): the distances of all pairs of sequences of two labels, label_a <= label_b, each pair
     once, with how many pairs have it. Equal sequences of a label are counted, not repeated."""
     w = seqs.groupBy("label", "word").agg(F.count("*").alias("n"))
     a, b = (w.select(F.col("label").alias(f"label_{x}"), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    a = a.withColumns({"i": _block("label_a", "word_a"), "j": _each_block()}).repartition(BLOCKS * BLOCKS, "i", "j")
+    b = b.withColumns({"j": _block("label_b", "word_b"), "i": _each_block()})
     upper = (F.col("label_a") < F.col("label_b")) | (F.col("label_a") == F.col("label_b")) & (F.col("word_a") <= F.col("word_b"))
     same = (F.col("label_a") == F.col("label_b")) & (F.col("word_a") == F.col("word_b"))
-    pairs = a.join(b, upper).withColumn("n", F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long"))
+    pairs = a.join(b.withColumnsRenamed({"i": "i_b", "j": "j_b"}), (F.col("i") == F.col("i_b")) & (F.col("j") == F.col("j_b")) & upper).withColumn("n", F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long"))
     return pairs.where("n > 0").groupBy("label_a", "label_b", F.levenshtein("word_a", "word_b").alias("dist")).agg(F.sum("n").alias("n"))
 
 
@@ -66,6 +80,7 @@ def distance_matrix(pairs: DataFrame) -> DataFrame:
 def median_sequence(seqs: DataFrame) -> DataFrame:
     """(label, word): the sequence whose median distance to all of its label, itself included, is least; ties: the first."""
     w = seqs.groupBy("label", "word").agg(F.count("*").alias("n"))
-    other = w.select("label", F.col("word").alias("o"), F.col("n").alias("m"))
-    d = w.join(other, "label").groupBy("label", "word").agg(F.percentile(F.levenshtein("word", "o"), 0.5, F.col("m")).alias("d"))
+    other = w.select("label", _block("word").alias("block"), F.col("word").alias("o"), F.col("n").alias("m"))
+    w = w.withColumn("block", _each_block()).repartition(BLOCKS * BLOCKS, "label", "block")
+    d = w.join(other, ["label", "block"]).groupBy("label", "word").agg(F.percentile(F.levenshtein("word", "o"), 0.5, F.col("m")).alias("d"))
     return d.groupBy("label").agg(F.min_by("word", F.struct("d", "word")).alias("word"), F.min("d").alias("median"))

@@ -293,6 +293,35 @@ def a30(spark, d):
     return S.median_sequence(V.words(spark, d).where("dset = 'val'"))
 
 
+# the same over the flows of all users; the queries above, as their SQL, take those of the validation set
+
+PAIR_ALL = PAIR.replace("a.dset = 'val' AND b.dset = 'val' AND ", "")
+
+
+def _all_pairs(spark, d):
+    return S.label_pairs(V.words(spark, d))
+
+
+@query("j9_label_pairs_all", SQ + PAIR_ALL + " SELECT label_a, label_b, CAST(dist AS INT) AS dist, count(*) AS n FROM pairs GROUP BY ALL")
+def j9_all(spark, d):
+    return _all_pairs(spark, d)
+
+
+@query("a28_similarity_all", SQ + PAIR_ALL + " SELECT label_a, label_b, CAST(min(dist) AS INT) AS min, round(quantile_cont(dist, 0.05), 6) AS p05, round(quantile_cont(dist, 0.5), 6) AS median, round(quantile_cont(dist, 0.95), 6) AS p95, round(avg(dist), 6) AS mean, CAST(max(dist) AS INT) AS max FROM pairs GROUP BY ALL")
+def a28_all(spark, d):
+    return rounded(S.similarity_summary(_all_pairs(spark, d)), "label_a", "label_b", "min", "max")
+
+
+@query("a29_distance_matrix_all", SQ + PAIR_ALL + ", m AS (SELECT label_a, label_b, 2 * avg(dist) AS d FROM pairs GROUP BY ALL) SELECT label_a, label_b, round(d, 6) AS d FROM m UNION ALL SELECT label_b, label_a, round(d, 6) FROM m WHERE label_a <> label_b")
+def a29_all(spark, d):
+    return rounded(S.distance_matrix(_all_pairs(spark, d)), "label_a", "label_b")
+
+
+@query("a30_median_sequence_all", SQ + ", x AS (SELECT a.label, a.word, quantile_cont(levenshtein(a.word, b.word), 0.5) AS d FROM seqs a JOIN seqs b ON a.label = b.label GROUP BY a.label, a.word) SELECT label, arg_min(word, {'d': d, 'w': word}) AS word, min(d) AS median FROM x GROUP BY label")
+def a30_all(spark, d):
+    return S.median_sequence(V.words(spark, d))
+
+
 # hidden Markov models
 
 
@@ -327,7 +356,7 @@ def m6(spark, d):
 
 @query("m7_alignment_prior")
 def m7(spark, d):
-    w = V.words(spark, d).where("dset = 'val'")
+    w = V.words(spark, d)
     return H.alignment_counts(w, S.median_sequence(w))
 
 
@@ -380,7 +409,7 @@ def m13(spark, d):
 
 @query("m14_best_bin_count")
 def m14(spark, d):
-    return L.best_bin_count(V.frames(spark, d).where("dset = 'val'"), [2, 4, 8])
+    return L.best_bin_count(V.frames(spark, d), [2, 4, 8])
 
 
 GRID = "SELECT method, bins, length, label FROM (VALUES ('equal'), ('log')) a(method), (VALUES (10), (40)) b(bins), (VALUES (5), (10), (15)) c(length), (SELECT DISTINCT 'L' || (user_id % 7) AS label FROM events) e"

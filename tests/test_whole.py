@@ -1,10 +1,12 @@
 """Queries do the whole job: all labels, all flows."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from flowlab.operators.hmm import phmm_score
-from flowlab.plans import streams
+from flowlab.plans import models, streams
+from flowlab.plans import views as V
 
 
 def test_online_profiles_of_all_labels_are_fitted(spark, small):
@@ -15,3 +17,29 @@ def test_online_profiles_of_all_labels_are_fitted(spark, small):
     got = {(r.flow_id, r.model_label): r.score for r in streams.st5(spark, small).collect()}
     assert {k for _, k in got} == {r.label for r in ids.select("label").distinct().collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+@pytest.fixture(scope="module")
+def events(small):
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    return con
+
+
+def test_alignment_prior_counts_every_flow(spark, small, events):
+    want = dict(events.execute(f"WITH {V.SEQS} SELECT label, count(*) FROM seqs GROUP BY label").fetchall())
+    got = {r.label: r.n for r in models.m7(spark, small).where("place = 0 AND `from` = 'M'").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    assert got == want
+
+
+def test_bin_count_is_judged_on_every_flow(spark, small, events):
+    words = f"WITH {V.SYMBOLS}, w AS (SELECT flow_id, label, string_agg(bin, '' ORDER BY frame_number) AS word FROM symbols GROUP BY ALL)"
+    want = events.execute(words + ", p AS (SELECT a.label = b.label AS inside, levenshtein(a.word, b.word) AS d FROM w a JOIN w b ON a.flow_id < b.flow_id) SELECT avg(d) FILTER (NOT inside) / avg(d) FILTER (inside) FROM p").fetchone()[0]
+    got = {r.bins: r.separation for r in models.m14(spark, small).collect()}
+    assert got.keys() == {2, 4, 8} and got[4] == pytest.approx(want)
+
+
+def test_pairs_of_all_flows(spark, small, events):
+    flows = events.execute(f"WITH {V.SEQS} SELECT count(*) FROM seqs").fetchone()[0]
+    assert models.j9_all(spark, small).agg(F.sum("n")).first()[0] == flows * (flows - 1) // 2
