@@ -130,12 +130,12 @@ def phrases(symbols: np.ndarray, table: np.ndarray) -> np.ndarray:
     return count + (state > 0)
 
 
-def predict_language(docs: DataFrame, train: DataFrame) -> DataFrame:
+def predict_language(docs: DataFrame, train: DataFrame, unlearned: str = "und") -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are ignored) with doc_id, lang_pred, score.
 
     score: by how much fewer phrases the winner needs than the next language, as a share of the next's (with one
     language: of the letters). Ties go to the first language in order of name. A text without a letter, empty or
-    null, is `und` with score 0, as is every text if nothing could be learned. Very long texts are
+    null, is `und` with score 0; every other text is `unlearned` if nothing could be learned. Very long texts are
     parsed whole. Repeated rows repeat; an empty table gives no rows."""
     models = learn(train)
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -170,7 +170,7 @@ def predict_language(docs: DataFrame, train: DataFrame) -> DataFrame:
             second = np.sort(need, axis=0)[1] if len(names) > 1 else letters
             known = (letters > 0) & bool(names)
             score = np.where(known, np.clip(1 - fewest / np.maximum(second, 1), 0, 1), 0.0)
-            return [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())], score
+            return [names[b] if k else unlearned if n else "und" for b, k, n in zip(best.tolist(), known.tolist(), letters.tolist())], score
 
         def sum_rows(block, owner, n, table):
             out = np.zeros(n, np.int64)
@@ -199,7 +199,9 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame) -> DataFrame:
-    """docs without those in which no language is found: null texts and texts without a letter."""
-    found = predict_language(docs, docs.where(~held_out()))
+    """docs without those in which no language is found: null texts and texts without a letter.
+
+    Where no language could be learned, texts with a letter stay."""
+    found = predict_language(docs, docs.where(~held_out()), unlearned="unlearned")
     rejected = cut(found.where("lang_pred = 'und'").select("doc_id").distinct(), "undetermined")
     return filter_by_ids(docs, rejected, "doc_id", "left_anti")
