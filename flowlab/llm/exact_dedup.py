@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut, filter_by_ids, text_of
+from flowlab.llm.common import cut, keep_rows, text_of
 
 #: Counters of a Misra-Gries summary, and so the bound of the broadcast: 1,024 rows.
 COUNTERS = 1024
@@ -53,6 +53,8 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row with a larger doc_id has."""
-    dropped = cut(exact_dedup(docs).where("not kept").select("doc_id").distinct(), "copies")
-    return filter_by_ids(docs, dropped, "doc_id", "left_anti")
+    """docs without the rows whose text another row with a larger doc_id has; a null doc_id is the smallest.
+
+    Each row is judged by its own text, so another text of the same doc_id stays. Of rows that repeat doc_id and text, one stays."""
+    found = exact_dedup(docs)
+    return keep_rows(docs, found.select("doc_id", F.unhex("text_sha256").alias("digest"), "kept"))
