@@ -28,14 +28,15 @@ def fit_chain(seqs: DataFrame, end: bool = False) -> DataFrame:
     return rows.select("label", "tail", "head", "count", (F.col("count") / F.col("sum") * (1 - (F.col("nodes") - F.col("out")) * MISSING)).alias("prob"))
 
 
-def score_chain(seqs: DataFrame, edges: DataFrame, default: float = MISSING, end: bool = False) -> DataFrame:
+def score_chain(seqs: DataFrame, edges: DataFrame, default: float = MISSING, end: bool = False, within: str | None = None) -> DataFrame:
     """(flow_id, model_label, score): log-likelihood of each sequence under each label's chain.
 
     Each sequence's distinct bigrams are counted first; they meet all labels (a short list) and look up their
-    edge; the absent ones count with `default`."""
+    edge; the absent ones count with `default`. With `within`, a column of seqs, they meet only the labels that begin with its value and `|`."""
     models = edges.select(F.col("label").alias("model_label")).distinct()
-    grams = bigrams(seqs, "flow_id", end=end).groupBy("flow_id", "tail", "head").agg(F.count("*").alias("n"))
-    asked = grams.crossJoin(F.broadcast(models))
+    keys = ["flow_id"] + ([within] if within else [])
+    grams = bigrams(seqs, *keys, end=end).groupBy(*keys, "tail", "head").agg(F.count("*").alias("n"))
+    asked = grams.join(F.broadcast(models.withColumn(within, F.substring_index("model_label", "|", 1))), within) if within else grams.crossJoin(F.broadcast(models))
     looked = asked.join(edges.select(F.col("label").alias("model_label"), "tail", "head", "prob"), ["model_label", "tail", "head"], "left")
     return looked.groupBy("flow_id", "model_label").agg(F.sum(F.col("n") * F.ln(F.coalesce("prob", F.lit(default)))).alias("score"))
 

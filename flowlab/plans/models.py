@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlab.functions.symbols import edges_equal, record_symbol
 from flowlab.operators import chains as C
 from flowlab.operators import evaluation as E
 from flowlab.operators import hmm as H
@@ -473,13 +474,48 @@ def a35(spark, d):
     return size_overhead(header_bytes(r), header_bytes(R.resize_records(r, 50, 3100, 7)))
 
 
+#: Upper limits of the records' sizes, and the records of a flow that are taken.
+LIMITS, FIRST = [*range(100, 2**14, 1000), 2**14], 30
+
+
+def _resized(spark, d, limits=LIMITS):
+    """Records of each setting `hi:direction`: re-cut to at most hi bytes, or (hi 0) as they are without those of one direction."""
+    r = V.records(spark, d).drop("handshake_type")
+    parts = [R.resize_records(r, 50, hi, 1).withColumn("setting", F.lit(f"{hi}:0")) for hi in limits]
+    parts += [r.where(F.col("direction") != side).withColumn("setting", F.lit(f"0:{side}")) for side in (-1, 1)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def robustness(records, before):
+    """(model, scenario, hi, direction, label, accuracy, precision, recall, overhead) for each setting of the records: chains and
+    profiles of all settings are fitted and scored in one job each, the setting is part of the label. The order's number mod 7
+    is the label. Models take a flow's first FIRST records; the overhead is that of all."""
+    symbol = record_symbol(F.col("direction"), F.col("length"), F.col("content_type"), F.lit(None).cast("int"), edges_equal(*V.BIN_EDGES))
+    rows = records.withColumn("symbol", symbol).groupBy("setting", F.col("flow_id").alias("flow")).agg(F.array_sort(F.collect_list(F.struct("record_number", "symbol"))).alias("own"))
+    s = rows.select(
+        F.struct("flow", "setting").alias("flow_id"), "setting", F.concat(F.col("setting"), F.lit("|L"), (F.col("flow") % 7).cast("string")).alias("label"), V.dset_of(F.col("flow")).alias("dset"),
+        F.transform(F.slice("own", 1, FIRST), lambda x: x["symbol"]).alias("seq"),
+    ).persist()
+    vocab = S.vocabulary(s.where(TRAIN)).persist()
+    ids = S.encode(s, vocab)
+    chains = C.score_chain(s.where(TEST), C.fit_chain(s.where(TRAIN), end=True), end=True, within="setting")
+    profiles = H.phmm_score(ids.where(TEST), H.phmm_fit(ids, 6, vocab.count(), (1,), 2), "setting")
+    own = F.substring_index("label", "|", -1).alias("actual")
+    pred = [E.arg_best(x).withColumn("model", F.lit(name)) for x, name in ((chains, "mc"), (profiles, "phmm"))]
+    pred = pred[0].unionByName(pred[1]).join(s.select("flow_id", "setting", own), "flow_id")
+    conf = E.confusion(pred.withColumns({"day": F.concat_ws("|", "model", "setting"), "predicted": F.substring_index("predicted", "|", -1)}))
+    found = E.metrics_closed(conf).withColumn("scenario", F.lit("closed")).unionByName(E.metrics_open(conf, CLOSED).withColumn("scenario", F.lit("open")))
+    found = found.withColumns({"model": F.substring_index("day", "|", 1), "setting": F.substring_index("day", "|", -1)})
+    bytes_ = records.groupBy("setting", "flow_id").agg(F.sum(F.col("length") + 5).alias("after")).join(before.groupBy("flow_id").agg(F.sum(F.col("length") + 5).alias("before")), "flow_id")
+    over = bytes_.groupBy("setting").agg(F.avg(F.col("after") / F.col("before")).alias("overhead"))
+    part = lambda i: F.split_part("setting", F.lit(":"), F.lit(i)).cast("int")
+    return found.join(over, "setting").select("model", "scenario", part(1).alias("hi"), part(2).alias("direction"), "label", "accuracy", "precision", "recall", "overhead")
+
+
 @query("m19_robustness")
 def m19(spark, d):
-    """Overheads of several size limits and directions: records re-cut, then judged."""
-    r, out = V.records(spark, d), None
-    for hi in (100, 1100):
-        for side in (-1, 1):
-            one = R.resize_records(r.where(F.col("direction") == side), 50, hi, 7)
-            row = size_overhead(header_bytes(r.where(F.col("direction") == side)), header_bytes(one)).select(F.lit(hi).alias("hi"), F.lit(side).alias("direction"), "overhead")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """18 size limits, and records of one direction not observed, x {open, closed} x {chain, profile}: re-cut, then judged."""
+    return robustness(_resized(spark, d), V.records(spark, d))

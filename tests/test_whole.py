@@ -43,3 +43,15 @@ def test_bin_count_is_judged_on_every_flow(spark, small, events):
 def test_pairs_of_all_flows(spark, small, events):
     flows = events.execute(f"WITH {V.SEQS} SELECT count(*) FROM seqs").fetchone()[0]
     assert models.j9_all(spark, small).agg(F.sum("n")).first()[0] == flows * (flows - 1) // 2
+
+
+def test_robustness_judges_every_setting(spark, small):
+    rows = models.robustness(models._resized(spark, small, [100, 2**14]), V.records(spark, small)).collect()
+    settings = {(m, c, hi, side) for m in ("mc", "phmm") for c in ("closed", "open") for hi, side in ((100, 0), (2**14, 0), (0, -1), (0, 1))}
+    assert {(r.model, r.scenario, r.hi, r.direction) for r in rows} == settings
+    assert {r.label for r in rows if r.scenario == "open"} == {*models.CLOSED, "unknown"} and {r.label for r in rows if r.scenario == "closed"} == {f"L{i}" for i in range(7)}
+    # one setting by itself: chains that see no other label
+    r = V.records(spark, small).where("direction <> 1").drop("handshake_type").withColumn("setting", F.lit("0:1"))
+    alone = {(x.model, x.scenario, x.label): x.accuracy for x in models.robustness(r, V.records(spark, small)).collect() if x.model == "mc"}
+    both = {(x.model, x.scenario, x.label): x.accuracy for x in rows if x.model == "mc" and (x.hi, x.direction) == (0, 1)}
+    assert alone == pytest.approx(both) and len(models.LIMITS) == 18
