@@ -327,8 +327,8 @@ def a30_all(spark, d):
 
 
 def _ids(spark, d):
-    """Sequences as ids of a vocabulary of the training rows; at most 8 symbols."""
-    s = V.seqs(spark, d).withColumn("seq", F.slice("seq", 1, 8))
+    """Whole sequences as ids of a vocabulary of the training rows."""
+    s = V.seqs(spark, d)
     vocab = S.vocabulary(s.where(TRAIN)).persist()
     return S.encode(s, vocab), vocab.count()
 

@@ -55,3 +55,11 @@ def test_robustness_judges_every_setting(spark, small):
     alone = {(x.model, x.scenario, x.label): x.accuracy for x in models.robustness(r, V.records(spark, small)).collect() if x.model == "mc"}
     both = {(x.model, x.scenario, x.label): x.accuracy for x in rows if x.model == "mc" and (x.hi, x.direction) == (0, 1)}
     assert alone == pytest.approx(both) and len(models.LIMITS) == 18
+
+
+def test_profiles_take_whole_sequences(spark, small, monkeypatch):
+    long = V.seqs(spark, small).withColumn("seq", F.concat("seq", "seq", "seq", "seq", "seq"))
+    monkeypatch.setattr(V, "seqs", lambda *_: long)
+    want = {r.flow_id: r.n for r in long.select("flow_id", F.size("seq").alias("n")).collect()}
+    ids, _ = models._ids(spark, small)
+    assert {r.flow_id: r.n for r in ids.select("flow_id", F.size("ids").alias("n")).collect()} == want and max(want.values()) > 8
