@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlab.sources.storage import new_table
+
 #: A set of 8-byte ids is broadcast up to this many rows (8 MB); beyond, a shuffled join is used.
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests) a new one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-#: Spark's own switch that removes a query's shuffle files when it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the query has ended, as nothing reads them again, and Python workers get
+#: batches of a few MB, so that neither they nor the JVM hold many texts at once.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
-
-def new_table(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/flowlab-{name}-{uuid.uuid4().hex}"
+#: Tables that `cut` has made and nobody has deleted yet.
+_made: list[str] = []
 
 
 def write(df: DataFrame, path: str, *by: str) -> None:
-    """Write df; its shuffle files go at once, as nothing reads them again."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key, None) for key in LEAN}
+    for key, value in LEAN.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -51,14 +46,44 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which ends its lineage and survives lost executors."""
     path = new_table(df.sparkSession, name)
     write(df, path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make, name: str) -> DataFrame:
+    """`cut` for the result of make(); the tables that were cut on the way are deleted."""
+    first = len(_made)
+    out = cut(make(), name)
+    for path in _made[first:-1]:
+        remove(spark, path)
+    del _made[first:-1]
+    return out
+
+
+def release() -> None:
+    """Give a Python worker's free memory back: workers outlive the stage that used them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_of(column: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def map_rows(rows: DataFrame, work, columns: str) -> DataFrame:
+    """mapInPandas for rows with a doc_id, which `work` hands on in its frames beside `columns`.
+
+    Ids travel as strings: pandas makes floats of integers that stand beside nulls, and 64-bit ids would change."""
+    kind = dict(rows.dtypes)["doc_id"]
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(work, f"doc_id string, {columns}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's own sizing knob: how many shuffle partitions its data needs."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -122,16 +147,19 @@ def components(links: DataFrame) -> DataFrame:
     Links are first contracted within each task, then large-star and small-star steps alternate
     until nothing changes. Each step is a grouped minimum (partially aggregated before its
     shuffle) and a join; the rows never exceed the links. Nodes without links do not appear."""
+    spark = links.sparkSession
     edges = cut(links.where("a <> b").mapInPandas(_contract, "a long, b long"), "links")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large, "large")
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         small = cut(small, "small")
         sizes = [d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (edges, small)]
+        for path in _made[-3:-1]:  # what this round was made from
+            remove(spark, path)
+        del _made[-3:-1]
         edges = small
         if sizes[0] == sizes[1]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -39,7 +39,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring.substring_dedup(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
