@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut, filter_by_ids, text_of
+from flowlab.llm.common import cut, filter_by_ids, map_rows, release, text_of
 
-#: Labelled texts per language that may be learned from, taken by a hash of doc_id, those of a usual
-#: length first, and the symbols learned from: whole texts until there are so many (a first text alone may
-#: hold up to four times as many).
-SAMPLE_DOCS = 64
-SYMBOLS = 24_000
+#: Labelled rows per language that are learned from, whole, taken by a hash of doc_id: those with a usual number of
+#: characters first, then the others by how near theirs are.
+SAMPLE_ROWS = 24
 USUAL = (200, 2000)
-#: Symbols that are parsed in a row: a phrase ends at the end of its segment.
-SEGMENT = 256
-LANES = 16_384
+#: Characters whose texts are parsed together, and symbols of a segment: segments are parsed side by side.
+CHUNK, SEGMENT = 1 << 21, 4096
+
+_letters: dict = {}
 
 
-def fold_text(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, each run of characters that are no letters as one 0."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    values, back = np.unique(points, return_inverse=True)
-    letter = np.array([chr(v).isalpha() for v in values.tolist()], bool)[back] if len(values) else np.zeros(0, bool)
-    out = np.where(letter, points, 0)
-    return out[np.r_[True, letter[1:] | letter[:-1]]] if len(out) else out
+def _is_letter(points: np.ndarray) -> np.ndarray:
+    if "table" not in _letters:
+        _letters["table"] = np.fromiter((chr(v).isalpha() for v in range(1 << 16)), bool, 1 << 16)
+    out = _letters["table"][np.minimum(points, 65535)]
+    high = np.flatnonzero(points > 65535)
+    if len(high):
+        values, back = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([chr(v).isalpha() for v in values.tolist()], bool)[back]
+    return out
+
 
+def fold_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, bounds, letters) of some texts: code points of each lower-cased text, one after another, every run of
+    characters that are no letters as one 0, and a 0 before each text; where texts begin and end; their numbers of letters."""
+    raw = [f" {t.lower()}".encode("utf-32-le", "surrogatepass") for t in texts]
+    points = np.frombuffer(b"".join(raw), np.uint32)
+    first = np.cumsum([0, *(len(r) // 4 for r in raw)])
+    letter = _is_letter(points)
+    keep = letter | np.r_[True, letter[:-1]]
+    keep[first[:-1]] = True
+    bounds = np.r_[0, np.cumsum(keep)][first]
+    seen = np.r_[0, np.cumsum(letter)][first]
+    return np.where(letter, points, 0)[keep], bounds, np.diff(seen)
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions (state, symbol) of the automaton of all substrings; state 0 is the start, -1 none."""
+
+def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (state, symbol, next state) of the automaton of all substrings, state 0 the start: at most three times as
+    many as symbols."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -56,145 +74,214 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(step), width), -1, np.int32)
-    for state, own in enumerate(step):
-        for s, to in own.items():
-            table[state, s] = to
-    return table
-
-
-def learn(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language (code points of its symbols, transitions) from rows (doc_id, text, lang).
-
-    A bounded sample of each language's rows is taken: ranks are found without the texts, and the texts of the
-    chosen ids are then fetched. One task builds one language's automaton; the driver gets at most
-    2 SYMBOLS states each."""
+    sizes = [len(own) for own in step]
+    return np.repeat(np.arange(len(step)), sizes), np.array([s for own in step for s in own], np.int64), np.array([t for own in step for t in own.values()], np.int64)
+
+
+def displace(states: np.ndarray, symbols: np.ndarray, nexts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, next): the edges in one array, without gaps for absent ones: that of a state by a symbol is at
+    base[state] + symbol if the owner there is the state. `width` is a symbol that no edge has."""
+    count = np.bincount(states, minlength=int(max(states.max(initial=0), nexts.max(initial=0))) + 1)
+    order = np.argsort(states, kind="stable")
+    own = np.split(symbols[order], np.cumsum(count)[:-1])
+    base = np.zeros(len(count), np.int64)
+    used = bytearray(b"\1" * width)  # edges by any symbol miss here
+    at = 0
+    for state in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
+        mine = own[state].tolist()
+        if len(used) < at + 4 * width + 4096:
+            used += bytes(width + (1 << 16))
+        while any(used[at + s] for s in mine):
+            at += 1
+            if len(used) < at + 2 * width:
+                used += bytes(width + (1 << 16))
+        for s in mine:
+            used[at + s] = 1
+        base[state] = at
+    single = np.flatnonzero(count == 1)
+    used += bytes(len(single))
+    free = np.flatnonzero(np.frombuffer(used, np.uint8) == 0)[: len(single)]
+    base[single] = free - np.array([own[s][0] for s in single.tolist()], np.int64)
+    owner = np.full(int(base.max()) + width + 1, -1, np.int64)
+    to = np.zeros(len(owner), np.int64)
+    slot = base[states] + symbols
+    owner[slot], to[slot] = states, nexts
+    return base, owner, to
+
+
+@dataclass
+class Models:
+    """The automata of all languages side by side: names; code points of the joint alphabet; each language's own number for
+    a joint symbol (the last column: a letter that no language has, and the end of a text); start states; base, owner and next;
+    bits of a phrase; the state in which parsed lanes rest, whatever they read."""
+
+    names: list[str]
+    points: np.ndarray
+    own: np.ndarray
+    root: np.ndarray
+    base: np.ndarray
+    owner: np.ndarray
+    next: np.ndarray
+    bits: np.ndarray
+    rest: int
+
+    def symbols(self, points: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return np.where(self.points[at] == points, at, len(self.points))
+
+
+def join_models(rows) -> Models | None:
+    """Of rows (lang, points, base, owner, next, size); None without any."""
+    rows = sorted(rows, key=lambda r: r["lang"])
+    own = [np.frombuffer(r["points"], np.uint32) for r in rows]
+    rows, own = [r for r, p in zip(rows, own) if p.any()], [p for p in own if p.any()]
+    if not rows:
+        return None
+    points = np.unique(np.concatenate(own))
+    table = np.empty((len(rows), len(points) + 1), np.int64)
+    root, parts, states, slots = [], [], 0, 0
+    for i, (r, mine) in enumerate(zip(rows, own)):
+        table[i] = len(mine)
+        table[i, np.searchsorted(points, mine)] = np.arange(len(mine))
+        base, owner, to = (np.frombuffer(r[k], np.int32).astype(np.int64) for k in ("base", "owner", "next"))
+        parts.append((base + slots, np.where(owner < 0, -1, owner + states), to + states))
+        root.append(states)
+        states, slots = states + len(base), slots + len(owner)
+    widest = int(table.max()) + 1
+    parts.append((np.array([slots]), np.full(widest, states), np.full(widest, states)))
+    base, owner, to = (np.concatenate(x) for x in zip(*parts))
+    return Models([r["lang"] for r in rows], points, table, np.array(root), base, owner, to, np.array([np.log2(max(2, r["size"])) for r in rows]), states)
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Models | None:
+    """The automata of the languages of rows (doc_id, text, lang), each from at most `sample` of its rows, whole.
+
+    Ranks are found without the texts, and the texts of the chosen ids are then fetched. One task builds one language's
+    automaton; the driver gets at most 7 numbers for each symbol of the samples."""
     known = docs.where("lang is not null and doc_id is not null")
     size = F.char_length(text_of())
-    order = Window.partitionBy("lang").orderBy(F.when(size.between(*USUAL), 0).otherwise(1), F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= SAMPLE_DOCS)
+    far = F.when(size < USUAL[0], USUAL[0] - size).when(size > USUAL[1], size - USUAL[1]).otherwise(0)
+    order = Window.partitionBy("lang").orderBy(far, F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= sample)
     chosen = known.select("doc_id", "lang", text_of().alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        parts, total = [], 0
-        for text in frame.sort_values(["rank", "text"])["text"]:
-            own = fold_text(text)
-            if total and total + len(own) > SYMBOLS:
-                continue
-            parts.append(own[: SYMBOLS * 4])
-            total += len(own)
-        stream = np.concatenate([np.r_[p, 0] for p in parts])
+        stream = np.r_[fold_texts(frame.sort_values(["rank", "text"])["text"].tolist())[0], 0]
         points = np.unique(stream)
-        table = suffix_automaton(np.searchsorted(points, stream).tolist(), len(points))
-        return pd.DataFrame({"lang": [frame["lang"].iat[0]], "points": [points.astype(np.uint32).tobytes()], "steps": [table.tobytes()]})
-
-    rows = chosen.groupBy("lang").applyInPandas(build, "lang string, points binary, steps binary").collect()
-    out = {}
-    for r in sorted(rows, key=lambda r: r["lang"]):
-        points = np.frombuffer(r["points"], np.uint32)
-        if points.any():
-            out[r["lang"]] = (points, np.frombuffer(r["steps"], np.int32).reshape(-1, len(points)))
-    return out
-
-
-def _joint(models: dict) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
-    """One alphabet for all languages: sorted code points, and transitions with two more columns: a
-    letter no language has, and the end of the text, which stays where it is."""
-    points = np.unique(np.concatenate([p for p, _ in models.values()]))
-    tables = []
-    for own, steps in models.values():
-        table = np.full((len(steps), len(points) + 2), -1, np.int32)
-        table[:, np.searchsorted(points, own)] = steps
-        table[:, -1] = np.arange(len(steps))
-        tables.append(table)
-    return list(models), points, tables
-
-
-def phrases(symbols: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Phrases of each row of symbols: the longest matches with the language's text, one after another. A
-    symbol that the text has nowhere is a phrase of its own."""
-    flat, width = table.ravel(), table.shape[1]
-    root = table[0]
-    state = np.zeros(len(symbols), np.int64)
-    count = np.zeros(len(symbols), np.int64)
-    for k in range(symbols.shape[1]):
-        now = symbols[:, k]
-        to = flat[state * width + now]
-        missed = np.flatnonzero(to < 0)
+        packed = displace(*suffix_automaton(np.searchsorted(points, stream).tolist()), len(points))
+        release()
+        return pd.DataFrame({"lang": [frame["lang"].iat[0]], "points": [points.astype(np.uint32).tobytes()], **{k: [v.astype(np.int32).tobytes()] for k, v in zip(("base", "owner", "next"), packed)}, "size": [len(stream)]})
+
+    return join_models(chosen.select("lang", "rank", "text").groupBy("lang").applyInPandas(build, "lang string, points binary, base binary, owner binary, next binary, size long").collect())
+
+
+def _walk(models: Models, flat: np.ndarray, at: np.ndarray, limit: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases, exit) of lanes: how many phrases one after another begin in at..limit, the first at `at`, and where the last
+    ends. A symbol that the language has nowhere is a phrase of its own; the mark at a text's end ends a phrase."""
+    width, own = models.own.shape[1], models.own.ravel()
+    count, leave = np.zeros(len(at), np.int64), at.copy()
+    lane = np.flatnonzero(at < limit)
+    pos, limit, root, row = at[lane], limit[lane], models.root[lang[lane]], lang[lane] * width
+    state, number, pace = root.copy(), np.zeros(len(lane), np.int64), np.ones(len(lane), np.int64)
+    ended = 0
+    while len(lane):
+        slot = models.base[state] + own[row + flat[pos]]
+        found = models.owner[slot] == state
+        to = models.next[slot]
+        pos += pace
+        missed = np.flatnonzero(~found)
         if len(missed):
-            was_open = state[missed] > 0
-            again = root[now[missed]]
-            count[missed] += was_open.astype(np.int64) + (again < 0)
-            to[missed] = np.maximum(again, 0)
-        state = to.astype(np.int64)
-    return count + (state > 0)
-
-
-def predict_language(docs: DataFrame, train: DataFrame, unlearned: str = "und") -> DataFrame:
+            first = root[missed]
+            pos[missed] -= state[missed] != first  # this symbol begins the next phrase, unless the language has it nowhere
+            number[missed] += 1
+            to[missed] = first
+            over = missed[pos[missed] >= limit[missed]]
+            if len(over):
+                count[lane[over]], leave[lane[over]] = number[over], pos[over]
+                to[over], pace[over] = models.rest, 0
+                ended += len(over)
+        state = to
+        if ended * 8 > len(lane):
+            live = np.flatnonzero(pace)
+            lane, pos, limit, root, row, state, number, pace = (x[live] for x in (lane, pos, limit, root, row, state, number, pace))
+            ended = 0
+    return count, leave
+
+
+def phrases(models: Models, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Phrases (language, text) of texts that `bounds` cut out of joint symbols: the longest matches with the language's text, one
+    after another.
+
+    Long texts are parsed in segments side by side, each first as if a phrase began at its border; a segment whose
+    predecessor's last phrase ends elsewhere is parsed again from there, until all fit together."""
+    sizes = np.diff(bounds)
+    flat = np.insert(symbols, bounds[1:], len(models.points))
+    bounds = bounds + np.arange(len(bounds))
+    many = np.maximum(1, -(-sizes // SEGMENT))
+    text = np.repeat(np.arange(len(sizes)), many)
+    begin = bounds[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * SEGMENT
+    limit = np.minimum(begin + SEGMENT, (bounds[1:] - 1)[text])
+    k = len(models.names)
+    lang, same = np.repeat(np.arange(k), len(text)), np.tile(np.r_[text[1:] == text[:-1], False], k)
+    entry, limit = np.tile(begin, k), np.tile(limit, k)
+    count, leave = np.zeros(len(entry), np.int64), entry.copy()
+    todo = np.arange(len(entry))
+    while len(todo):
+        count[todo], leave[todo] = _walk(models, flat, entry[todo], limit[todo], lang[todo])
+        after = todo[same[todo]] + 1
+        todo = after[entry[after] != leave[after - 1]]
+        entry[todo] = leave[todo - 1]
+    return np.bincount(lang * len(sizes) + np.tile(text, k), count, k * len(sizes)).astype(np.int64).reshape(k, -1)
+
+
+def predict_language(docs: DataFrame, train: DataFrame, unlearned: str = "und", sample: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are ignored) with doc_id, lang_pred, score.
 
-    score: by how much fewer phrases the winner needs than the next language, as a share of the next's (with one
-    language: of the letters). Ties go to the first language in order of name. A text without a letter, empty or
-    null, is `und` with score 0; every other text is `unlearned` if nothing could be learned. Very long texts are
-    parsed whole. Repeated rows repeat; an empty table gives no rows."""
-    models = learn(train)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = dict(docs.dtypes)["doc_id"]
+    The language with the fewest normalised phrases wins: phrases times the binary logarithm of the symbols it was
+    learned from, as a phrase is a place in that text, over the text's own symbols. score: by how much the winner's are fewer than
+    the next language's, as a share of the next's (with one language: of a phrase for each symbol). Ties go to the first language in
+    order of name. A text without a letter, empty or null, is `und` with score 0; every other text is `unlearned` if nothing
+    could be learned. At most `sample` rows a language are learned from; texts of any length are parsed whole. Repeated rows
+    repeat; an empty table gives no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(train, sample))
+
+    def judge(models, doc_ids, texts):
+        points, bounds, letters = fold_texts(texts)
+        if models is None:
+            return pd.DataFrame({"doc_id": doc_ids, "lang_pred": [unlearned if n else "und" for n in letters.tolist()], "score": 0.0})
+        size = np.diff(bounds)
+        need = phrases(models, models.symbols(points), bounds) * models.bits[:, None] / size
+        best = need.argmin(axis=0)
+        next_best = np.sort(need, axis=0)[1] if len(need) > 1 else np.full(len(texts), models.bits[0])
+        score = np.where(letters > 0, np.clip(1 - need.min(axis=0) / next_best, 0, 1), 0.0)
+        return pd.DataFrame({"doc_id": doc_ids, "lang_pred": [models.names[b] if n else "und" for b, n in zip(best.tolist(), letters.tolist())], "score": score})
 
     def work(batches):
-        names, points, tables = _joint(shared.value) if shared.value else ([], np.zeros(0, np.uint32), [])
-        end = len(points) + 1
-        ready = np.full(65536, len(points), np.int64)
-        low = points[points < 65536]
-        ready[low] = np.searchsorted(points, low)
-
-        def judge(part):
-            lanes, lengths, letters = [], [], []
-            for text in part:
-                own = fold_text(text)
-                letters.append(int((own > 0).sum()))
-                symbols = np.where(own < 65536, ready[np.minimum(own, 65535)], len(points))
-                high = np.flatnonzero(own >= 65536)
-                if len(high):
-                    at = np.minimum(np.searchsorted(points, own[high]), len(points) - 1)
-                    symbols[high] = np.where(points[at] == own[high], at, len(points))
-                rows = -(-len(symbols) // SEGMENT)
-                lanes.append(np.r_[symbols, np.full(rows * SEGMENT - len(symbols), end)].reshape(rows, SEGMENT))
-                lengths.append(rows)
-            letters = np.array(letters)
-            block = np.concatenate(lanes)
-            owner = np.repeat(np.arange(len(part)), lengths)
-            need = np.stack([sum_rows(block, owner, len(part), t) for t in tables]) if names else np.zeros((1, len(part)))
-            best = need.argmin(axis=0)
-            fewest = need.min(axis=0)
-            second = np.sort(need, axis=0)[1] if len(names) > 1 else letters
-            known = (letters > 0) & bool(names)
-            score = np.where(known, np.clip(1 - fewest / np.maximum(second, 1), 0, 1), 0.0)
-            return [names[b] if k else unlearned if n else "und" for b, k, n in zip(best.tolist(), known.tolist(), letters.tolist())], score
-
-        def sum_rows(block, owner, n, table):
-            out = np.zeros(n, np.int64)
-            for at in range(0, len(block), LANES):
-                out += np.bincount(owner[at : at + LANES], phrases(block[at : at + LANES], table), n).astype(np.int64)
-            return out
-
+        ids, texts, size = [], [], 0
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                langs, score = judge(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": langs, "score": score})
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= CHUNK:
+                    yield judge(shared.value, ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield judge(shared.value, ids, texts)
+        del ids, texts
+        release()
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, f"doc_id {kind}, lang_pred string, score double")
+    return map_rows(docs.select("doc_id", text_of().alias("text")), work, "lang_pred string, score double")
 
 
 def held_out(fold: int = 3, rest: int = 1):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == rest, F.lit(False))
 
 
-def language_report(docs: DataFrame) -> DataFrame:
+def language_report(docs: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
     """predict_language for docs (doc_id, text, lang), learned from their own labelled rows that are not
     held out; lang_pred and score with held_out."""
-    found = predict_language(docs, docs.where(~held_out()))
+    found = predict_language(docs, docs.where(~held_out()), sample=sample)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

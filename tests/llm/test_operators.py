@@ -307,23 +307,6 @@ def test_language_held_out(spark, small):
     assert np.mean([r.lang_pred == r.lang for r in test]) >= 0.95
 
 
-def test_cross_parsing_against_brute_force():
-    rng = np.random.default_rng(3)
-    text = rng.integers(0, 4, 200).tolist()
-    table = langid.suffix_automaton(text, 6)
-    table[:, 5] = np.arange(len(table))
-    own = ",".join(map(str, text)) + ","
-    for n in (1, 7, 64):
-        row = rng.integers(0, 5, n).tolist()  # 4 is in no text
-        count, at = 0, 0
-        while at < n:
-            size = 1
-            while at + size < n and "," + "".join(f"{s}," for s in row[at : at + size + 1]) in "," + own:
-                size += 1
-            count, at = count + 1, at + size
-        assert langid.phrases(np.array([row + [5] * 3]), table).tolist() == [count]
-
-
 def test_language_odd_input(spark, odd_documents, no_documents):
     got = {r.doc_id: r for r in langid.language_report(odd_documents).collect()}
     assert got[0].lang_pred == got[1].lang_pred == got[18].lang_pred == "und" and got[4].lang_pred == "en"
