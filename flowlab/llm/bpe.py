@@ -1,26 +1,32 @@
-"""BPE encoding through a table of distinct words, and decoding through an id-to-piece lookup."""
+"""BPE encoding through a table of distinct words, and decoding through a join with the id-to-piece table."""
 
 from __future__ import annotations
 
 import hashlib
 import os
-import pickle
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import partitions, text_of
+from flowlab.llm.common import cut, partitions, release, text_of
 
 #: White space but the plain space and the line feed, and the separators that only Python counts as such.
 ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
 #: White space and then other characters; or white space at the end.
 WORD = re.compile(r"\s*\S+|\s+")
 
+#: Characters of a group of documents, and of the groups' texts for each bucket of the word table: more data makes more
+#: groups and buckets, not larger ones.
+GROUP, BUCKET = 6_000_000, 24_000_000
+#: Characters that a task deals out to the groups at once, a blob for each group.
+DEAL = 24_000_000
+
 _loaded: dict = {}
 
 
@@ -77,8 +83,8 @@ def split_words(text: str) -> tuple[str, list[str] | None, list[str]]:
     return "", None, WORD.findall(text)
 
 
-def distinct_words(texts: list[str], buckets: int) -> tuple[list[list[str]], list]:
-    """The distinct words of some texts, per bucket in sorted order, and the split texts."""
+def distinct_words(texts: list[str], buckets: int) -> tuple[list[list[bytes]], list]:
+    """The distinct words of some texts in UTF-8, per bucket in sorted order, and the split texts."""
     split = [split_words(t) for t in texts]
     follow: set[str] = set()
     words: set[str] = set()
@@ -90,102 +96,174 @@ def distinct_words(texts: list[str], buckets: int) -> tuple[list[list[str]], lis
             words.add(first)
     words.update([" " + w for w in follow])
     words.discard("")
-    out: list[list[str]] = [[] for _ in range(buckets)]
-    for w in sorted(words):
-        out[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for raw in sorted(w.encode("utf-8", "surrogatepass") for w in words):
+        out[zlib.crc32(raw) % buckets].append(raw)
     return out, split
 
 
-def _pack(value) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, protocol=5))
+def _pack(parts: list[bytes]) -> bytes:
+    """Byte strings one after another, compressed, behind their lengths."""
+    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
+    planes = lengths.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(len(parts).to_bytes(4, "little") + planes + b"".join(parts))
+
+
+def _unpack(value: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(value)
+    n = int.from_bytes(raw[:4], "little")
+    lengths = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T.copy().view(np.uint32).ravel()
+    ends = np.cumsum(lengths, dtype=np.int64) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece binary): the id-to-piece table, as many rows as the vocabulary has."""
+    return spark.createDataFrame(list(enumerate(piece_bytes(path))), "id int, piece binary")
+
+
+def _pieces_by_group(ids: DataFrame, path: str) -> DataFrame:
+    """(grp, piece_ids, pieces) of rows (grp, id): each group's distinct ids joined with the id-to-piece table, which is
+    broadcast (its size is that of the vocabulary)."""
+    joined = ids.distinct().join(F.broadcast(piece_table(ids.sparkSession, path)), "id")
+    return joined.groupBy("grp").agg(F.collect_list(F.struct("id", "piece")).alias("rows")).select("grp", F.col("rows.id").alias("piece_ids"), F.col("rows.piece").alias("pieces"))
+
 
+def _groups(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.char_length(text_of()))).first()[0] or 0
+    return max(partitions(docs.sparkSession), 1 + size // GROUP)
 
-def _unpack(value: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(value))
 
+def _lookup(frame: pd.DataFrame) -> list[bytes]:
+    """Pieces by id, from a group's joined rows."""
+    own: dict[int, bytes] = {}
+    for ids, pieces in zip(frame["piece_ids"], frame["pieces"]):
+        if ids is not None:
+            own.update(zip(ids.tolist(), pieces))
+    table = [b""] * (max(own, default=-1) + 1)
+    for i, piece in own.items():
+        table[i] = piece
+    return table
 
-def encode_documents(docs: DataFrame, path: str, finish, schema: str, per_partition: int = 2) -> DataFrame:
-    """Encode whole texts with a byte-level BPE file; finish(ids list of arrays, doc_ids, path) makes the result's
-    frame for a group of documents.
 
-    Distinct-word table. Documents are dealt by a hash of doc_id into groups (compressed, one
+def encode_documents(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
+    """Encode whole texts with a byte-level BPE file; finish(doc_ids, ids (a list of arrays), pieces (bytes by id)) makes the
+    result's frame for a group of documents; in `schema` doc_id is a string.
+
+    Distinct-word table. Documents are dealt by a hash of doc_id and text into groups of about GROUP characters (compressed, one
     shuffle). Each group sends its distinct words to the buckets of a word table; a bucket encodes
-    each of its distinct words once, for all groups; the ids come back to the group and are joined
-    by position. Groups and buckets follow spark.sql.shuffle.partitions, so memory is bounded by
-    that setting. A group's documents follow from their ids alone, so a lost executor's groups are
-    made again alike."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    groups, buckets = parts * per_partition, parts
-    kind = dict(docs.dtypes)["doc_id"]
+    each of its distinct words once, for all groups; the ids, in a written table, come back to the group and are joined
+    by position. The group's distinct ids are joined with the id-to-piece table for decoding. A group's documents follow from
+    their rows alone, so a lost executor's groups are made again alike."""
+    groups = _groups(docs)
+    buckets = max(1, groups * GROUP // BUCKET)
 
     def deal(batches):
-        for batch in batches:
-            for grp, rows in batch.groupby("grp", sort=False):
-                yield pd.DataFrame({"grp": [grp], "rows": [_pack((rows["doc_id"].tolist(), rows["text"].tolist()))]})
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
 
-    grp = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
-    dealt = docs.select(grp.alias("grp"), "doc_id", text_of().alias("text")).mapInPandas(deal, "grp int, rows binary").repartition(parts, "grp")
+        def rows():
+            return pd.DataFrame({"grp": pd.Series(list(held), dtype="int64"), "rows": pd.Series([_pack(ids + texts) for ids, texts in held.values()], dtype=object)})
+
+        for batch in batches:
+            for grp, doc_id, text in zip(batch["grp"].tolist(), batch["doc_id"], batch["text"]):
+                ids, texts = held.setdefault(grp, ([], []))
+                ids.append(b"" if doc_id is None else doc_id.encode())
+                texts.append(text.encode("utf-8", "surrogatepass"))
+                size += len(text)
+                if size >= DEAL:
+                    yield rows()
+                    held, size = {}, 0
+        yield rows()
+        del held
+        release()
+
+    grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")
+    rows = docs.select(grp.alias("grp"), F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text"))
+    dealt = rows.mapInPandas(deal, "grp long, rows binary").repartition(partitions(docs.sparkSession), "grp")
 
     def rows_of(frame: pd.DataFrame):
+        """Documents in the order of their blobs: the shuffle may bring these in any order."""
         ids, texts = [], []
-        for a, b in map(_unpack, frame["rows"]):
-            ids += a
-            texts += b
+        for parts in map(_unpack, sorted(frame["rows"])):
+            half = len(parts) // 2
+            ids += [d.decode() or None for d in parts[:half]]
+            texts += [t.decode("utf-8", "surrogatepass") for t in parts[half:]]
         return ids, texts
 
     def words(frame: pd.DataFrame) -> pd.DataFrame:
         found, _ = distinct_words(rows_of(frame)[1], buckets)
         full = [b for b in range(buckets) if found[b]]
-        return pd.DataFrame({"bucket": pd.Series(full, dtype="int32"), "grp": pd.Series([frame["grp"].iat[0]] * len(full), dtype="int32"), "words": pd.Series([_pack(found[b]) for b in full], dtype=object)})
+        return pd.DataFrame({"bucket": pd.Series(full, dtype="int64"), "grp": pd.Series([frame["grp"].iat[0]] * len(full), dtype="int64"), "words": pd.Series([_pack(found[b]) for b in full], dtype=object)})
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         lists = [_unpack(w) for w in frame["words"]]
-        table = list(dict.fromkeys(w for words in lists for w in words))
-        kind_of_id = id_type(path)
+        table = list(dict.fromkeys(chain.from_iterable(lists)))
+        kind = id_type(path)
         ids = {}
         for start in range(0, len(table), 20000):
             part = table[start : start + 20000]
-            ids.update(zip(part, (np.array(x, dtype=kind_of_id).tobytes() for x in encode_batch(path, part))))
-        return pd.DataFrame({"grp": frame["grp"], "bucket": frame["bucket"], "ids": [_pack([ids[w] for w in words]) for words in lists]})
+            ids.update(zip(part, (np.array(x, dtype=kind).tobytes() for x in encode_batch(path, [w.decode("utf-8", "surrogatepass") for w in part]))))
+        back = [[ids[w] for w in words] for words in lists]
+        own = [np.unique(np.frombuffer(b"".join(x), kind)).astype(np.int32) for x in back]
+        release()
+        return pd.DataFrame({"grp": frame["grp"], "bucket": frame["bucket"], "ids": [_pack(x) for x in back], "distinct_ids": own})
 
-    table = dealt.groupBy("grp").applyInPandas(words, "bucket int, grp int, words binary").groupBy("bucket").applyInPandas(encode, "grp int, bucket int, ids binary")
+    table = dealt.groupBy("grp").applyInPandas(words, "bucket long, grp long, words binary").groupBy("bucket").applyInPandas(encode, "grp long, bucket long, ids binary, distinct_ids array<int>")
+    table = cut(table, "encoded")
+    pieces = _pieces_by_group(table.select("grp", F.explode("distinct_ids").alias("id")), path)
+    right = table.select("grp", "bucket", "ids").unionByName(pieces, allowMissingColumns=True)
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         doc_ids, texts = rows_of(left)
         found, split = distinct_words(texts, buckets)
         ids: dict[str, bytes] = {"": b""}
         for bucket, blob in zip(right["bucket"], right["ids"]):
-            ids.update(zip(found[bucket], _unpack(blob)))
+            if blob is not None:
+                ids.update(zip((w.decode("utf-8", "surrogatepass") for w in found[int(bucket)]), _unpack(blob)))
         del found, texts
         after = {w[1:]: v for w, v in ids.items() if w[:1] == " "}
-        dtype = id_type(path)
-        lists = [np.frombuffer(b"".join([ids[first], *map(after.__getitem__, rest)] if rest is not None else map(ids.__getitem__, odd)), dtype) for first, rest, odd in split]
-        return finish(lists, doc_ids, path)
+        kind = id_type(path)
+        lists = [np.frombuffer(b"".join([ids[first], *map(after.__getitem__, rest)] if rest is not None else map(ids.__getitem__, odd)), kind) for first, rest, odd in split]
+        out = finish(doc_ids, lists, _lookup(right))
+        del ids, after, lists, split
+        release()
+        return out
 
-    return dealt.groupBy("grp").cogroup(table.groupBy("grp")).applyInPandas(join, schema.replace("KEY", kind))
+    out = dealt.groupBy("grp").cogroup(right.groupBy("grp")).applyInPandas(join, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs."""
 
-    def finish(lists, doc_ids, path):
+    def finish(doc_ids, lists, pieces):
         return pd.DataFrame({"doc_id": doc_ids, "ids": [x.astype("int32") for x in lists]})
 
-    return encode_documents(docs, path, finish, "doc_id KEY, ids array<int>")
+    return encode_documents(docs, path, finish, "doc_id string, ids array<int>")
+
+
+def _text(ids, pieces: list[bytes]) -> str:
+    """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
+    return b"".join(map(pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids): each id is looked up in the id-to-piece table, of fixed size,
-    and the pieces' bytes are joined in order (bytes that aren't UTF-8 become U+FFFD)."""
+    """(doc_id, text) of rows (doc_id, ids): the distinct ids of a group of rows are joined with the id-to-piece table, of
+    fixed size, and the pieces' bytes are put together in order (bytes that aren't UTF-8 become U+FFFD).
 
-    def work(batches):
-        pieces = piece_bytes(path)
-        for batch in batches:
-            texts = [b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
+    Null ids are no text's: the text is null."""
+    size = encoded.agg(F.sum(F.size("ids"))).first()[0] or 0
+    groups = max(partitions(encoded.sparkSession), 1 + 4 * size // GROUP)
+    rows = encoded.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups)).alias("grp"), F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    pieces = _pieces_by_group(rows.select("grp", F.explode(F.array_distinct("ids")).alias("id")), path)
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = _lookup(right)
+        return pd.DataFrame({"doc_id": left["doc_id"], "text": [None if x is None else _text(x, own) for x in left["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(work, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    out = rows.groupBy("grp").cogroup(pieces.withColumnRenamed("grp", "own").groupBy("own")).applyInPandas(work, "doc_id string, text string")
+    return out.withColumn("doc_id", F.col("doc_id").cast(dict(encoded.dtypes)["doc_id"]))
 
 
 def encode_report(docs: DataFrame, path: str) -> DataFrame:
@@ -195,16 +273,14 @@ def encode_report(docs: DataFrame, path: str) -> DataFrame:
     A null or empty text has no ids and the digests of nothing. Repeated rows repeat. Texts of any
     length are encoded whole. An empty table gives no rows."""
 
-    def finish(lists, doc_ids, path):
-        pieces = piece_bytes(path)
-        decoded = [b"".join(map(pieces.__getitem__, x.tolist())).decode("utf-8", "replace") for x in lists]
+    def finish(doc_ids, lists, pieces):
         return pd.DataFrame(
             {
                 "doc_id": doc_ids,
                 "n_tokens": [len(x) for x in lists],
                 "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists],
-                "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
+                "decoded_sha256": [hashlib.sha256(_text(x, pieces).encode()).hexdigest() for x in lists],
             }
         )
 
-    return encode_documents(docs, path, finish, "doc_id KEY, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_documents(docs, path, finish, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
