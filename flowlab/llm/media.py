@@ -1,8 +1,9 @@
 """AVI motion-JPEG: bytes as intra frames in a RIFF file, read back by its index, and shots by histograms.
 
 Each payload byte is the grey level of one 8 by 8 block: a JPEG block with a DC coefficient only and a
-quantiser of 8 decodes exactly to it. A frame holds 192 blocks, 16 wide and 12 high, coded with the
-standard luminance tables."""
+quantiser of 8 decodes exactly to it. A frame holds 192 blocks, 16 wide and 12 high, coded with the standard
+luminance table for DC and a table of one code, the end of a block, for AC. Frames that others made (baseline, Huffman
+coded) are read as well: to the mean grey level of each luminance block."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import text_of
+from flowlab.llm.common import map_rows, release, text_of
 
 UNIT = 192
 BLOCKS_WIDE, BLOCKS_HIGH = 16, 12
@@ -105,12 +106,125 @@ def _lookup() -> tuple[np.ndarray, np.ndarray]:
 CATEGORY, LENGTH = _lookup()
 
 
+def segments(frame: bytes) -> tuple[dict[int, list[bytes]], bytes]:
+    """The header segments of a JPEG frame by marker, and its entropy-coded data without stuffed zeros (restart marks are left in
+    as 0xFFD0 to 0xFFD7)."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("not a JPEG frame")
+    found: dict[int, list[bytes]] = {}
+    at = 2
+    while at + 4 <= len(frame):
+        marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+        if frame[at] != 0xFF or size < 2:
+            raise ValueError("a broken segment")
+        found.setdefault(marker, []).append(frame[at + 4 : at + 2 + size])
+        at += 2 + size
+        if marker == 0xDA:
+            end = frame.rfind(b"\xff\xd9")
+            return found, frame[at : end if end > at else len(frame)]
+    raise ValueError("no scan")
+
+
+def _huffman(bodies: list[bytes]) -> dict[int, dict[tuple[int, int], int]]:
+    """Per table (class and number) the symbol of each (length, code)."""
+    out: dict[int, dict[tuple[int, int], int]] = {}
+    for body in bodies:
+        at = 0
+        while at + 17 <= len(body):
+            counts, table, code = body[at + 1 : at + 17], {}, 0
+            symbols = iter(body[at + 17 : at + 17 + sum(counts)])
+            for n, count in enumerate(counts, 1):
+                for _ in range(count):
+                    table[n, code] = next(symbols)
+                    code += 1
+                code <<= 1
+            out[body[at]] = table
+            at += 17 + sum(counts)
+    return out
+
+
+class _Bits:
+    def __init__(self, data: bytes):
+        self.data, self.at, self.value, self.left = data, 0, 0, 0
+
+    def take(self, n: int) -> int:
+        while self.left < n:
+            if self.at >= len(self.data):
+                raise ValueError("a frame ends early")
+            byte = self.data[self.at]
+            self.at += 2 if byte == 0xFF else 1  # the zero after it is stuffed
+            self.value, self.left = (self.value << 8 | byte) & (1 << 40) - 1, self.left + 8
+        self.left -= n
+        return self.value >> self.left & (1 << n) - 1
+
+    def symbol(self, table: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for n in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (n, code) in table:
+                return table[n, code]
+        raise ValueError("no such code")
+
+    def restart(self) -> None:
+        self.left = 0
+        self.at += 2
+
+
+def block_levels(frame: bytes) -> np.ndarray:
+    """Mean grey levels (rows, columns) of the luminance blocks of a baseline frame, from their DC coefficients."""
+    head, data = segments(frame)
+    if 0xC0 not in head and 0xC1 not in head:
+        raise ValueError("not a baseline frame")
+    own = (head.get(0xC0) or head[0xC1])[0]
+    high, wide = struct.unpack(">HH", own[1:5])
+    parts = {own[6 + 3 * i]: (own[7 + 3 * i] >> 4, own[7 + 3 * i] & 15, own[8 + 3 * i]) for i in range(own[5])}
+    scale = {}
+    for body in head.get(0xDB, []):
+        at = 0
+        while at < len(body):
+            two = body[at] >> 4
+            scale[body[at] & 15] = int.from_bytes(body[at + 1 : at + 2 + two], "big")
+            at += 65 + 64 * two
+    tables, scan = _huffman(head.get(0xC4, [])), head[0xDA][0]
+    order = [(scan[1 + 2 * i], scan[2 + 2 * i] >> 4, 16 | scan[2 + 2 * i] & 15) for i in range(scan[0])]
+    widest, highest = max(h for h, _, _ in parts.values()), max(v for _, v, _ in parts.values())
+    first = order[0][0]
+    if len(order) == 1:  # a scan of one component goes block by block
+        parts, widest, highest = {first: (1, 1, parts[first][2])}, 1, 1
+    across, down = -(-wide // (8 * widest)), -(-high // (8 * highest))
+    h, v, q = parts[first]
+    out = np.zeros((down * v, across * h))
+    every = int.from_bytes(head[0xDD][0], "big") if 0xDD in head else 0
+    bits, dc = _Bits(data), dict.fromkeys(parts, 0)
+    for unit in range(across * down):
+        if every and unit and unit % every == 0:
+            bits.restart()
+            dc = dict.fromkeys(parts, 0)
+        for name, coarse, fine in order:
+            for block in range(parts[name][0] * parts[name][1]):
+                n = bits.symbol(tables[coarse])
+                step = bits.take(n)
+                dc[name] += step if not n or step >> (n - 1) else step - (1 << n) + 1
+                if name == first:
+                    out[unit // across * v + block // h, unit % across * h + block % h] = dc[name]
+                at = 1
+                while at < 64:  # AC coefficients are passed over
+                    symbol = bits.symbol(tables[fine])
+                    if symbol & 15:
+                        bits.take(symbol & 15)
+                    elif symbol != 0xF0:
+                        break
+                    at += (symbol >> 4) + 1
+    return np.clip(np.round(out * scale[q] / 8) + 128, 0, 255).astype(np.uint8)[: -(-high // 8), : -(-wide // 8)]
+
+
 def decode_frames(frames: list[bytes]) -> np.ndarray:
-    """Grey levels (n, 192) of JPEG frames as encode_frames makes them: all frames go forward together, one block
-    at a time. Raises ValueError on other files."""
+    """Grey levels (n, blocks) of a list of frames, one for each luminance block. Frames as encode_frames makes them go forward
+    together, one block at a time; others are read one by one (all of a list must have one size). Raises ValueError on what
+    is no baseline frame."""
+    if any(f[: len(HEADER)] != HEADER or f[-2:] != END for f in frames):
+        return np.stack([block_levels(f).ravel() for f in frames])
     head = len(HEADER)
-    if any(f[:head] != HEADER or f[-2:] != END for f in frames):
-        raise ValueError("not an intra frame of this kind")
     scans = [f[head:-2] for f in frames]
     lengths = np.array([len(s) for s in scans], np.int64)
     raw = np.frombuffer(b"".join(scans), np.uint8)
@@ -176,10 +290,10 @@ def read_avi(data: bytes) -> list[bytes]:
 
 
 def shots(levels: np.ndarray) -> list[tuple[int, int]]:
-    """(first frame, end) of each shot of frames (n, 192), by adaptive histogram differences."""
-    n = len(levels)
+    """(first frame, end) of each shot of frames (n, blocks), by adaptive histogram differences."""
+    n, blocks = levels.shape
     counts = np.bincount((np.arange(n)[:, None] * BINS + (levels >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    jump = np.abs(np.diff(counts, axis=0)).sum(axis=1) / (2 * UNIT)
+    jump = np.abs(np.diff(counts, axis=0)).sum(axis=1) / (2 * blocks)
     sums, squares = np.r_[0, np.cumsum(jump)], np.r_[0, np.cumsum(jump * jump)]
     here = np.arange(len(jump))
     since = np.maximum(here - LOOK_BACK, 0)
@@ -227,8 +341,9 @@ def to_media(docs: DataFrame) -> DataFrame:
     def work(batches):
         for ids, texts in _chunks(batches):
             yield pd.DataFrame({"doc_id": ids, "media": [data for _, data, _ in stored(texts)]})
+        release()
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, f"doc_id {dict(docs.dtypes)['doc_id']}, media binary")
+    return map_rows(docs.select("doc_id", text_of().alias("text")), work, "media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -242,7 +357,7 @@ def clips(media: DataFrame) -> DataFrame:
                     rows.append((doc_id, k, a, b, a / FRAMES_PER_S, b / FRAMES_PER_S))
             yield pd.DataFrame(rows, columns=["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s"])
 
-    return media.select("doc_id", "media").mapInPandas(work, f"doc_id {dict(media.dtypes)['doc_id']}, clip int, first_frame int, end_frame int, start_s double, end_s double")
+    return map_rows(media.select("doc_id", "media"), work, "clip int, first_frame int, end_frame int, start_s double, end_s double")
 
 
 def media_report(docs: DataFrame) -> DataFrame:
@@ -262,5 +377,5 @@ def media_report(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, schema)
+    columns = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return map_rows(docs.select("doc_id", text_of().alias("text")), work, columns)

@@ -18,18 +18,25 @@ NGRAMS = (3, 4, 5)
 #: (rule, verdict): a host suffix and a path prefix.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: Small labelled URL table the classifier is trained on: words of host or path, by label (1: block).
-SEED_HOSTS = {
-    1: ("spam-farm", "cheap-pills", "casino-bonus", "free-viagra", "win-money", "hot-singles", "xxx-videos", "loan-fast", "replica-watches", "torrent-crack", "bet-now", "miracle-diet"),
-    0: ("library", "news", "university", "research", "museum", "weather", "recipes", "history", "science", "gardening", "blog.thering", "www.therti", "m.ththen", "tionsh", "thther", "theren"),
+# The small labelled URL table: words that hosts and paths of each label (1: block) are made of. They are general; no word is
+# taken from the urls that are judged.
+SEED_WORDS = {
+    1: ("spam", "pills", "casino", "bonus", "viagra", "jackpot", "singles", "xxx", "payday", "replica", "torrent", "crack", "bet", "poker", "slots", "cheap", "free", "win", "hot", "keygen", "warez", "escort", "lottery", "miracle", "prize", "adult"),
+    0: ("library", "news", "university", "research", "museum", "weather", "recipes", "history", "science", "garden", "docs", "school", "blog", "travel", "health", "music", "archive", "journal", "city", "python", "wiki", "forum", "mail", "shop", "static", "stories"),
 }
-SEED_ANY = ("/en/450", "/fr/65.html", "/de/612", "/es/978/", "/en/25", "/about")
-SEED_PATHS = {1: (*SEED_ANY, "/buy-cheap-pills", "/win/free-bonus", "/casino/play"), 0: (*SEED_ANY, "/en/article/12", "/fr/histoire", "/de/wetter")}
-
-
-def seed_urls(spark: SparkSession) -> DataFrame:
-    """The labelled URL table (url, label): each host of a label with each path of it, on three domains."""
-    rows = [(f"https://{host}.example.{end}{path}", float(label)) for label, hosts in SEED_HOSTS.items() for host in hosts for path in SEED_PATHS[label] for end in ("com", "net", "org")]
+SEED_PATHS = {1: ("", "/", "/buy-now", "/win/free-bonus", "/cheap/offer.html", "/casino/play", "/en/9", "/index.html"), 0: ("", "/", "/en/article/12", "/3/library", "/de/wetter", "/about", "/fr/histoire.html", "/index.html")}
+SEED_ENDS = ("com", "net", "org", "info")
+
+
+def seed_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
+    """The labelled URL table (url, label): each word of a label alone and joined with another of them, as a host, with the paths of
+    its label. With `held_out`, hosts of other pairs of words, which the table has not."""
+    rows = []
+    for label, words in SEED_WORDS.items():
+        step = 9 if held_out else 5
+        hosts = [f"{a}-{words[(i + step) % len(words)]}" for i, a in enumerate(words)] + [f"{words[(i + step + 2) % len(words)]}{a}" for i, a in enumerate(words)]
+        hosts += [] if held_out else [*words, *(f"www.{w}" for w in words)]
+        rows += [(f"https://{host}.{SEED_ENDS[(i + k) % len(SEED_ENDS)]}{path}", float(label)) for i, host in enumerate(hosts) for k, path in enumerate(SEED_PATHS[label])]
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -92,7 +99,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame
     """Judge every url of pages (page_id, url; other columns are ignored): page_id, host, path,
     rule, verdict, score.
 
-    The verdict is the longest fitting rule's, else block where the classifier's score is 0.5 or
+    The verdict is the longest fitting rule's (of equally long ones the last in `rules`), else block where the classifier's score is 0.5 or
     more. A null url, or one without ://, has empty host and path, fits no rule and is judged by
     the classifier. Repeated rows are each judged; an empty table gives no rows."""
     weights, intercept = fit(labelled)
