@@ -42,10 +42,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage and survives lost executors."""
+#: A table of short rows is written by one task for so many shuffle partitions: small files burden every file system.
+SHORT = 16
+
+
+def cut(df: DataFrame, name: str, short: int = 1) -> DataFrame:
+    """Write df to the shared folder and read it back, which ends its lineage and survives lost executors. `short`: the tasks
+    of the last stage are put together to one for so many shuffle partitions."""
     path = new_table(df.sparkSession, name)
-    write(df, path)
+    write(df if short == 1 else df.coalesce(max(1, partitions(df.sparkSession) // short)), path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -89,35 +94,46 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def filter_by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """left_semi or left_anti join with a written id table: broadcast if its count is within
-    MAX_BROADCAST_IDS, a shuffled join otherwise."""
-    small = ids.count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if small else ids, key, how)
-
-
 def digest_of():
     """SHA-256 of the text, as 32 bytes."""
     return F.unhex(F.sha2(text_of(), 256))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def match_rows(docs: DataFrame, rows: DataFrame, how: str, small: bool) -> DataFrame:
+    """left_semi or left_anti join of docs with rows (doc_id, digest), null ids among them."""
+    key, own = fresh(docs, "__id"), fresh(docs, "__digest")
+    rows = rows.select(F.col("doc_id").alias(key), F.col("digest").alias(own))
+    return docs.join(F.broadcast(rows) if small else rows, F.col("doc_id").eqNullSafe(F.col(key)) & (digest_of() == F.col(own)), how)
+
+
+def drop_rows(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """docs without the rows that have a doc_id and text of `rows` (doc_id, digest): broadcast if few."""
+    rows = cut(rows, name, SHORT)
+    return match_rows(docs, rows, "left_anti", rows.count() <= MAX_BROADCAST_IDS // 8)  # a row has 40 bytes, an id 8
+
+
 def keep_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """docs without the rows that `marks` (doc_id, digest, kept; one row or more for each row of docs) has as kept = false.
 
     A row is its doc_id, null among them, and its text, so other texts of a repeated doc_id stay. Of rows that repeat both, one stays."""
     rows = marks.groupBy("doc_id", "digest").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
-    rows = cut(rows.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept"), "rows")
+    rows = cut(rows.select("doc_id", "digest", "kept"), "rows", SHORT)
     small = rows.count() <= MAX_BROADCAST_IDS // 8  # a row has 40 bytes, an id 8
-
-    def match(left, part, how):
-        one = rows.where(part).drop("kept")
-        return left.join(F.broadcast(one) if small else one, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest_of() == F.col("__digest")), how)
-
-    left = match(docs, "not kept", "left_anti")
-    if rows.where("kept").isEmpty():
+    left = match_rows(docs, rows.where("not kept"), "left_anti", small)
+    twice = rows.where("kept")
+    if twice.isEmpty():
         return left
-    again = match(left, "kept", "left_semi").withColumn("__own", digest_of()).dropDuplicates(["doc_id", "__own"]).drop("__own")
-    return match(left, "kept", "left_anti").unionByName(again)
+    own = fresh(docs, "__own")
+    again = match_rows(left, twice, "left_semi", small).withColumn(own, digest_of()).dropDuplicates(["doc_id", own]).drop(own)
+    return match_rows(left, twice, "left_anti", small).unionByName(again)
 
 
 def _contract(batches):
@@ -148,14 +164,15 @@ def components(links: DataFrame) -> DataFrame:
     until nothing changes. Each step is a grouped minimum (partially aggregated before its
     shuffle) and a join; the rows never exceed the links. Nodes without links do not appear."""
     spark = links.sparkSession
-    edges = cut(links.where("a <> b").mapInPandas(_contract, "a long, b long"), "links")
+    held = links.where("a <> b").mapInPandas(_contract, "a long, b long")
+    edges = cut(held.repartition(max(1, partitions(spark) // SHORT)), "links")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", SHORT)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        small = cut(small, "small")
+        small = cut(small, "small", SHORT)
         sizes = [d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (edges, small)]
         for path in _made[-3:-1]:  # what this round was made from
             remove(spark, path)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut, keep_rows, text_of
+from flowlab.llm.common import SHORT, cut, keep_rows, text_of
 
 #: Counters of a Misra-Gries summary, and so the bound of the broadcast: 1,024 rows.
 COUNTERS = 1024
@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     frequent = misra_gries(hashed, counters)
     # verified winners: exact counts of the candidates, of which there are `counters` at most
     winners = cut(
-        hashed.join(F.broadcast(frequent.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "winners"
+        hashed.join(F.broadcast(frequent.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "winners", SHORT
     )
     heavy = hashed.join(F.broadcast(winners), "digest")
     light = hashed.join(F.broadcast(winners.select("digest")), "digest", "left_anti")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import cut, filter_by_ids, map_rows, release, text_of
+from flowlab.llm.common import SHORT, cut, filter_by_ids, map_rows, release, text_of
 
 #: Labelled rows per language that are learned from, whole, taken by a hash of doc_id: those with a usual number of
 #: characters first, then the others by how near theirs are.
@@ -290,5 +290,5 @@ def drop_undetermined(docs: DataFrame) -> DataFrame:
 
     Where no language could be learned, texts with a letter stay."""
     found = predict_language(docs, docs.where(~held_out()), unlearned="unlearned")
-    rejected = cut(found.where("lang_pred = 'und'").select("doc_id").distinct(), "undetermined")
+    rejected = cut(found.where("lang_pred = 'und'").select("doc_id").distinct(), "undetermined", SHORT)
     return filter_by_ids(docs, rejected, "doc_id", "left_anti")

@@ -13,14 +13,16 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import MAX_BROADCAST_IDS, cut, text_of
+from flowlab.llm.common import MAX_BROADCAST_IDS, SHORT, cut, fresh, text_of
 
 #: Documents of one posting block: no posting list is longer.
 BLOCK = 4096
 #: Literal strings a part of a pattern may stand for before it is given up as a source of trigrams.
 MAX_STRINGS = 64
-#: Columns that exist only within the scan.
-SPANS, RULES = "__spans", "__rules"
+#: The column of spans, and its type.
+SPANS, SPAN = "__spans", "array<struct<start:int,ord:int,end:int>>"
+#: Spans that are put together before they are joined with those of a text's other blocks.
+ITEMS = 128
 
 
 @dataclass(frozen=True)
@@ -115,9 +117,9 @@ def candidates(docs: DataFrame, rules) -> DataFrame:
     if not grams:
         return docs.select("doc_id", F.array().cast("array<int>").alias("rules")).limit(0)
     found = F.filter(F.array(*[F.when(F.contains("lower" if fold else "text", F.lit(g)), F.lit(n)) for n, (g, fold) in enumerate(grams)]), lambda x: x.isNotNull())
-    texts = docs.select("doc_id", text_of().alias("text"), F.lower(text_of()).alias("lower"))
+    texts = docs.where("doc_id is not null").select("doc_id", text_of().alias("text"), F.lower(text_of()).alias("lower"))
     postings = texts.select("doc_id", F.explode(found).alias("gram"))
-    block = F.floor(F.coalesce(F.col("doc_id"), F.lit(-1)) / BLOCK)
+    block = F.shiftright(F.col("doc_id").cast("long"), BLOCK.bit_length() - 1)
     lists = postings.groupBy(block.alias("block"), "gram").agg(F.collect_set("doc_id").alias("ids"))
     index = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("lists"))
     number = {g: n for n, g in enumerate(grams)}
@@ -134,23 +136,45 @@ def candidates(docs: DataFrame, rules) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_blocks(items: Column, start: Column, add, kind: str, finish) -> Column:
+    """finish(at, parts) of a running value `at` and what each block of items gives: add(acc, item) works on (at, out) within
+    a block, out beginning empty (of type `kind`). Blocks keep the work in proportion to the items: one growing array or text would be
+    copied for each."""
+    none = F.lit("") if kind == "string" else F.array().cast(kind)
+    zero = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def block(acc, j):
+        done = lambda own: F.struct(own["at"].alias("at"), F.array_append(acc["out"], own["out"]).alias("out"))
+        return F.aggregate(F.slice(items, j * ITEMS + 1, F.lit(ITEMS)), F.struct(acc["at"].alias("at"), none.alias("out")), add, done)
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / ITEMS).cast("int"))
+    return F.aggregate(blocks, zero, block, lambda acc: finish(acc["at"], acc["out"]))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Leftmost non-overlapping matches of a rule: array of (start, ord, end), in code points, end exclusive."""
     pattern = ("(?i)" if rule.fold else "") + rule.pattern
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int>>").alias("out"))
 
-    def add(acc, i):
-        begin = acc["at"] + F.char_length(F.get(gaps, i))
-        end = begin + F.char_length(F.get(whole, i))
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"))
-        good = F.char_length(F.get(kept, i)) >= rule.least
-        return F.struct(end.alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def found(whole):
+        gaps = F.split(text, pattern, -1)  # one more than matches
+        kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
+        rows = F.arrays_zip(whole.alias("whole"), gaps.alias("gap"), kept.alias("kept"))
+
+        def add(acc, x):
+            begin = acc["at"] + F.char_length(x["gap"])
+            end = begin + F.coalesce(F.char_length(x["whole"]), F.lit(0))
+            span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"))
+            good = F.char_length(x["kept"]) >= rule.least
+            return F.struct(end.alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, add, lambda acc: acc["out"])
-    return F.when(F.size(whole) > 0, found).otherwise(start["out"])
+        return let(rows, lambda z: in_blocks(z, F.lit(0), add, SPAN, lambda at, parts: F.flatten(parts)))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: F.when(F.size(whole) > 0, found(whole)).otherwise(F.array().cast(SPAN)))
 
 
 def joined(spans: Column, names: list[str]) -> Column:
@@ -159,19 +183,18 @@ def joined(spans: Column, names: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["ord"]), s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, rules=BASE_RULES + MORE_RULES) -> DataFrame:
-    """docs with a column SPANS: array of (start, ord, end), ord the number of the rule.
+def scan(docs: DataFrame, rules=BASE_RULES + MORE_RULES, name: str = SPANS) -> DataFrame:
+    """docs with a column `name`: array of (start, ord, end), ord the number of the rule.
 
     Rules with mandatory trigrams are verified on the candidates that the index leaves; the
-    others scan every text. Candidates are looked up by doc_id: broadcast where at most
-    MAX_BROADCAST_IDS are left, else by a shuffled join."""
-    left = cut(candidates(docs, rules), "candidates").withColumnRenamed("rules", RULES)
-    left = F.broadcast(left) if left.count() <= MAX_BROADCAST_IDS else left
+    others scan every text. Candidates are looked up by doc_id: broadcast where there are few, else by a shuffled join."""
+    asked, key = fresh(docs, "__rules"), fresh(docs, "__id")
+    left = cut(candidates(docs, rules), "candidates", SHORT).select(F.col("doc_id").alias(key), F.col("rules").alias(asked))
+    left = F.broadcast(left) if left.count() <= MAX_BROADCAST_IDS // 8 else left  # a row has an id and up to len(rules) numbers
     text = text_of()
-    none = F.array().cast("array<struct<start:int,ord:int,end:int>>")
     unknown = F.col("doc_id").isNull()  # a row without an id is in no posting list
-    parts = [F.when(F.array_contains(RULES, i) | unknown, spans_of(text, r, i)).otherwise(none) if trigram_query(r) else spans_of(text, r, i) for i, r in enumerate(rules)]
-    return docs.join(left, "doc_id", "left").withColumn(SPANS, F.concat(*parts)).drop(RULES)
+    parts = [F.when(F.array_contains(asked, i) | unknown, spans_of(text, r, i)).otherwise(F.array().cast(SPAN)) if trigram_query(r) else spans_of(text, r, i) for i, r in enumerate(rules)]
+    return docs.join(left, F.col("doc_id") == F.col(key), "left").withColumn(name, F.concat(*parts)).drop(asked, key)
 
 
 def secret_report(docs: DataFrame, base=BASE_RULES, more=MORE_RULES) -> DataFrame:
@@ -195,17 +218,21 @@ def secret_report(docs: DataFrame, base=BASE_RULES, more=MORE_RULES) -> DataFram
 def redact(docs: DataFrame, rules=BASE_RULES + MORE_RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret span replaced by a mark (overlapping spans by one); n_chars, where it
     exists, follows the new text. Texts without secrets stay as they are, null included."""
-    found = scan(docs, rules)
+    spans = fresh(docs, SPANS)
+    found = scan(docs, rules, spans)
     text = text_of()
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(acc, s):
         # a span that begins inside the last one only moves its end
         piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(piece).alias("out"))
+
+    def whole(at, parts):
+        return F.concat(F.array_join(parts, ""), F.substr(text, at + 1, F.char_length(text)))
 
-    clean = F.aggregate(F.array_sort(SPANS), start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
-    out = found.withColumn("text", F.when(F.size(SPANS) > 0, clean).otherwise(F.col("text")))
+    clean = let(F.array_sort(spans), lambda z: in_blocks(z, F.lit(0), add, "string", whole))
+    some = F.size(spans) > 0
+    out = found.withColumn("text", F.when(some, clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(SPANS) > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

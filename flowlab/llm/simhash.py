@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import MAX_BROADCAST_IDS, components, cut, digest_of, keep_rows, text_of
+from flowlab.llm.common import MAX_BROADCAST_IDS, SHORT, components, cut, digest_of, keep_rows, map_rows, release, text_of
 
 #: Depths at which the trie is visited: where nodes may have many children, and below, where nearly all have one.
 DENSE, SPARSE = (8, 12, 16, 20, 24, 28, 32), (48, 64)
@@ -22,6 +22,8 @@ BANDS, MINIMA = 24, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Rows of a band from which they meet its ends only, not their neighbours, before the components are known.
 HEAVY = 500
+#: Shingle hashes that a task keeps for the next pairs, 8 bytes each.
+HELD = 2_000_000
 
 
 def hashes_of(text: str, shingle: int) -> np.ndarray:
@@ -50,8 +52,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             values = [fingerprint(t, shingle) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array(values, dtype=np.uint64).view(np.int64)})
+        release()
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return map_rows(docs.select("doc_id", text_of().alias("text")), work, "fp long")
 
 
 def flips(width: int, budget: int) -> list[int]:
@@ -105,7 +108,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2) -> Da
     repeat in the result. An empty table gives no rows."""
     marks = cut(fingerprints(docs, shingle), "fingerprints")
     classes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    pairs = cut(trie_pairs(classes, budget), "pairs")
+    pairs = cut(trie_pairs(classes, budget), "pairs", SHORT)
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("links"))
     a, b = (classes.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
     links = pairs.join(a, "a").join(b, "b").select(F.col("first_a").cast("long").alias("a"), F.col("first_b").cast("long").alias("b"))
@@ -131,35 +134,38 @@ def shingle_classes(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(hashes_of(t, shingle)) for t in batch["text"]]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes, "bands": [np.array(band_keys(s), dtype=np.uint64).view(np.int64) for s in sets]})
+        release()
 
-    rows = docs.select("doc_id", digest_of().alias("digest"), text_of().alias("text"))
-    return rows.mapInPandas(work, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary, node long, bands array<long>")
+    return map_rows(docs.select("doc_id", digest_of().alias("digest"), text_of().alias("text")), work, "digest binary, node long, bands array<long>")
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(classes.join(ends, "node", "left_semi").select("node", F.col("digest").alias("__digest")), "wanted")
+    wanted = cut(classes.join(ends, "node", "left_semi").select("node", F.col("digest").alias("__digest")), "wanted", SHORT)
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS // 8 else wanted
     # one row of docs for each node: rows that repeat a text are few, and meet again here
     texts = docs.select(text_of().alias("text"), digest_of().alias("__digest")).join(wanted, "__digest").groupBy("node").agg(F.first("text").alias("text"))
-    texts = cut(texts, "texts")
+    texts = cut(texts, "texts", 4)
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def work(batches):
-        held: dict = {}
+        held, size = {}, 0
         for batch in batches:
             ok = []
             for x, y, s, t in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-                if len(held) > 4000:
-                    held.clear()
+                if size > HELD:
+                    held, size = {}, 0
                 for node, text in ((x, s), (y, t)):
                     if node not in held:
                         held[node] = np.unique(hashes_of(text, shingle))
+                        size += len(held[node])
                 n, m = len(held[x]), len(held[y])
                 both = len(np.intersect1d(held[x], held[y], assume_unique=True)) if min(n, m) >= similarity * max(n, m) else 0
                 ok.append(both > 0 and both >= similarity * (n + m - both))
             yield batch.loc[ok, ["a", "b"]]
+        del held
+        release()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(work, "a long, b long")
 
@@ -171,24 +177,24 @@ def similar_components(docs: DataFrame, classes: DataFrame, shingle: int, simila
     that are still in different components and not yet tested meet. So of the pairs that share a band, none that could
     join two components is left out, and a group of copies costs rows in proportion to its size."""
     bands = classes.select("node", F.explode("bands").alias("key"))
-    sizes = cut(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "bands")
+    sizes = cut(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "bands", SHORT)
     heavy = sizes.where(F.col("n") > HEAVY).select("key", "low", "high")
     heavy = F.broadcast(heavy) if heavy.count() <= MAX_BROADCAST_IDS // 8 else heavy
     near = Window.partitionBy("key").orderBy("node")
     light = bands.join(heavy, "key", "left_anti").select("node", F.array(F.lead("node", 1).over(near), F.lead("node", 2).over(near)).alias("next")).select("node", F.explode("next").alias("other"))
     far = bands.join(heavy, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
     tested = light.union(far).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    tested = cut(tested, "candidates")
-    links = cut(verified(docs, classes, tested, shingle, similarity), "verified")
-    found = cut(components(links), "found")
+    tested = cut(tested, "candidates", SHORT)
+    found = components(verified(docs, classes, tested, shingle, similarity))
     # bands that still hold several components
     rows = bands.join(sizes.select("key"), "key", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.mode("component").alias("main")).where("least <> most")
-    rows = cut(rows.join(mixed.select("key", "main"), "key"), "mixed")
+    rows = cut(rows.join(mixed.select("key", "main"), "key"), "mixed", SHORT)
     x, y = rows.where("component <> main").alias("x"), rows.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     more = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    return components(links.union(cut(verified(docs, classes, cut(more, "candidates"), shingle, similarity), "verified")))
+    more = verified(docs, classes, cut(more, "candidates", SHORT), shingle, similarity)
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -197,10 +203,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Rows are linked if their sets of shingles have a Jaccard similarity of `similarity` or more, exactly computed; texts
     without words are one class. Sets are found by MinHash bands: of a pair at 0.8, 1 - 7e-5 are expected to be seen."""
     marks = cut(shingle_classes(docs, shingle), "shingles")
-    classes = cut(marks.groupBy("node").agg(F.min("digest").alias("digest"), F.first("bands").alias("bands")), "classes")
+    classes = cut(marks.groupBy("node").agg(F.min("digest").alias("digest"), F.first("bands").alias("bands")), "classes", 4)
     found = similar_components(docs, classes, shingle, similarity)
     rows = marks.select("doc_id", "digest", "node").join(found, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
-    rows = cut(rows, "components")
+    rows = cut(rows, "components", 4)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first"), F.count("*").alias("n")).where("n > 1")
     marked = rows.join(first, "component").select("doc_id", "digest", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept"))
     return keep_rows(docs, marked)

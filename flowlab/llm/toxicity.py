@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import MAX_BROADCAST_IDS, cut, map_rows, release, text_of
+from flowlab.llm.common import MAX_BROADCAST_IDS, SHORT, cut, map_rows, release, text_of
 
 NGRAMS = (4, 5, 6)
 BITS = 18
@@ -140,7 +140,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     ratio = log_ratios(ones, zeros, n1, n0)
     ids = labelled.select("doc_id", "label").distinct()
     chosen = [ids.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
-    chosen = cut(chosen[0].unionByName(chosen[1]), "sample")  # 2 * sample ids
+    chosen = cut(chosen[0].unionByName(chosen[1]), "sample", SHORT)  # 2 * sample ids
     texts = labelled.join(F.broadcast(chosen), ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def buckets(batches):
@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
 def labelled_documents(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
     """(doc_id, text, label) of the documents that may be learned from: labelled, and not held out."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where(~held_out(fold))
-    known = cut(known, "labels")
+    known = cut(known, "labels", SHORT)
     small = known.count() <= MAX_BROADCAST_IDS
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known) if small else known, "doc_id")
 
