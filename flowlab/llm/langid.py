@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import SHORT, cut, filter_by_ids, map_rows, release, text_of
+from flowlab.llm.common import digest_of, drop_rows, map_rows, release, text_of
 
 #: Labelled rows per language that are learned from, whole, taken by a hash of doc_id: those with a usual number of
 #: characters first, then the others by how near theirs are.
@@ -234,33 +234,35 @@ def phrases(models: Models, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarr
     return np.bincount(lang * len(sizes) + np.tile(text, k), count, k * len(sizes)).astype(np.int64).reshape(k, -1)
 
 
-def predict_language(docs: DataFrame, train: DataFrame, unlearned: str = "und", sample: int = SAMPLE_ROWS) -> DataFrame:
+def predict_language(docs: DataFrame, train: DataFrame, unlearned: str = "und", sample: int = SAMPLE_ROWS, beside: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text; other columns are ignored) with doc_id, lang_pred, score.
 
     The language with the fewest normalised phrases wins: phrases times the binary logarithm of the symbols it was
     learned from, as a phrase is a place in that text, over the text's own symbols. score: by how much the winner's are fewer than
     the next language's, as a share of the next's (with one language: of a phrase for each symbol). Ties go to the first language in
     order of name. A text without a letter, empty or null, is `und` with score 0; every other text is `unlearned` if nothing
-    could be learned. At most `sample` rows a language are learned from; texts of any length are parsed whole. Repeated rows
+    could be learned. `beside` names a column that is handed on. At most `sample` rows a language are learned from; texts of any length are parsed whole. Repeated rows
     repeat; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(train, sample))
+    columns = ["doc_id", *([beside] if beside else []), "text"]
 
-    def judge(models, doc_ids, texts):
+    def judge(models, rows, texts):
+        own = dict(zip(("doc_id", beside), zip(*rows)))
         points, bounds, letters = fold_texts(texts)
         if models is None:
-            return pd.DataFrame({"doc_id": doc_ids, "lang_pred": [unlearned if n else "und" for n in letters.tolist()], "score": 0.0})
+            return pd.DataFrame(own | {"lang_pred": [unlearned if n else "und" for n in letters.tolist()], "score": 0.0})
         size = np.diff(bounds)
         need = phrases(models, models.symbols(points), bounds) * models.bits[:, None] / size
         best = need.argmin(axis=0)
         next_best = np.sort(need, axis=0)[1] if len(need) > 1 else np.full(len(texts), models.bits[0])
         score = np.where(letters > 0, np.clip(1 - need.min(axis=0) / next_best, 0, 1), 0.0)
-        return pd.DataFrame({"doc_id": doc_ids, "lang_pred": [models.names[b] if n else "und" for b, n in zip(best.tolist(), letters.tolist())], "score": score})
+        return pd.DataFrame(own | {"lang_pred": [models.names[b] if n else "und" for b, n in zip(best.tolist(), letters.tolist())], "score": score})
 
     def work(batches):
         ids, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids.append(doc_id)
+            for *row, text in zip(*(batch[c] for c in columns)):
+                ids.append(row)
                 texts.append(text)
                 size += len(text)
                 if size >= CHUNK:
@@ -271,7 +273,8 @@ def predict_language(docs: DataFrame, train: DataFrame, unlearned: str = "und",
         del ids, texts
         release()
 
-    return map_rows(docs.select("doc_id", text_of().alias("text")), work, "lang_pred string, score double")
+    kept = f"{beside} {dict(docs.dtypes)[beside]}, " if beside else ""
+    return map_rows(docs.select(*columns[:-1], text_of().alias("text")), work, kept + "lang_pred string, score double")
 
 
 def held_out(fold: int = 3, rest: int = 1):
@@ -288,7 +291,7 @@ def language_report(docs: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """docs without those in which no language is found: null texts and texts without a letter.
 
-    Where no language could be learned, texts with a letter stay."""
-    found = predict_language(docs, docs.where(~held_out()), unlearned="unlearned")
-    rejected = cut(found.where("lang_pred = 'und'").select("doc_id").distinct(), "undetermined", SHORT)
-    return filter_by_ids(docs, rejected, "doc_id", "left_anti")
+    Each row is judged by its own text, with or without a doc_id. Where no language could be learned, texts with a letter stay."""
+    rows = docs.select("doc_id", "text", digest_of().alias("digest"))
+    found = predict_language(rows, docs.where(~held_out()), unlearned="unlearned", beside="digest")
+    return drop_rows(docs, found.where("lang_pred = 'und'").select("doc_id", "digest").distinct(), "undetermined")
