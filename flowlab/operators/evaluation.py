@@ -32,15 +32,26 @@ def confusion(pred: DataFrame) -> DataFrame:
     return pred.groupBy("day", "actual", "predicted").agg(F.count("*").alias("n"))
 
 
+def _one_vs_rest(conf: DataFrame) -> DataFrame:
+    """(day, label, total, rows, said, tp): each count is a row of its actual and one of its predicted label, summed once."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+    both = F.array(
+        F.struct(F.col("actual").alias("label"), n.alias("rows"), none.alias("said"), F.when(F.col("actual") == F.col("predicted"), n).otherwise(none).alias("tp")),
+        F.struct(F.col("predicted").alias("label"), none.alias("rows"), n.alias("said"), none.alias("tp")),
+    )
+    sums = conf.select("day", F.inline(both)).groupBy("day", "label").agg(*[F.sum(c).alias(c) for c in ("rows", "said", "tp")])
+    return sums.withColumn("total", F.sum("rows").over(Window.partitionBy("day")))
+
+
+def _metrics(r: DataFrame) -> DataFrame:
+    fp, fn = F.col("said") - F.col("tp"), F.col("rows") - F.col("tp")
+    precision = F.when(F.col("said") > 0, F.col("tp") / F.col("said")).otherwise(0.0)
+    return r.select("day", "label", "rows", ((F.col("total") - fp - fn) / F.col("total")).alias("accuracy"), precision.alias("precision"), F.when(F.col("rows") > 0, F.col("tp") / F.col("rows")).alias("recall"))
+
+
 def metrics_closed(conf: DataFrame) -> DataFrame:
     """Per day and label: one-vs-rest accuracy, precision (0 if never predicted), recall (null without rows)."""
-    labels = conf.select("day", F.col("actual").alias("label")).union(conf.select("day", F.col("predicted").alias("label"))).distinct()
-    total = conf.groupBy("day").agg(F.sum("n").alias("total"))
-    actual = conf.groupBy("day", F.col("actual").alias("label")).agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    said = conf.groupBy("day", F.col("predicted").alias("label")).agg(F.sum("n").alias("said"))
-    r = labels.join(total, "day").join(actual, ["day", "label"], "left").join(said, ["day", "label"], "left").fillna(0, ["rows", "tp", "said"])
-    fp, fn = F.col("said") - F.col("tp"), F.col("rows") - F.col("tp")
-    return r.select("day", "label", ((F.col("total") - fp - fn) / F.col("total")).alias("accuracy"), F.when(F.col("said") > 0, F.col("tp") / F.col("said")).otherwise(0.0).alias("precision"), F.when(F.col("rows") > 0, F.col("tp") / F.col("rows")).alias("recall"))
+    return _metrics(_one_vs_rest(conf)).drop("rows")
 
 
 def metrics_open(conf: DataFrame, closed) -> DataFrame:
@@ -64,8 +75,7 @@ def merge_prefixes(conf: DataFrame, prefixes) -> DataFrame:
 
 def weighted_scores(conf: DataFrame) -> DataFrame:
     """One row per day: accuracy, and precision, recall and F1 weighted by the labels' rows."""
-    rows = conf.groupBy("day", F.col("actual").alias("label")).agg(F.sum("n").alias("rows"))
-    m = metrics_closed(conf).join(rows, ["day", "label"])
+    m = _metrics(_one_vs_rest(conf)).where("rows > 0")
     f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
     weigh = lambda c: F.sum(c * F.col("rows")) / F.sum("rows")
     return m.groupBy("day").agg(weigh(F.col("recall")).alias("accuracy"), weigh(F.col("precision")).alias("precision"), weigh(F.col("recall")).alias("recall"), weigh(f1).alias("f1"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlab.functions.symbols import code_symbol
 from flowlab.operators.evaluation import vote
+from flowlab.sources.storage import materialise
 
 
 def vocabulary(seqs: DataFrame) -> DataFrame:
@@ -21,18 +22,78 @@ def encode(seqs: DataFrame, vocab: DataFrame, key: str = "flow_id") -> DataFrame
     return seqs.join(ids.withColumn("word", F.array_join(F.transform("ids", code_symbol), "")), key)
 
 
-def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
+#: Hash blocks of words; the pairs of blocks are dealt out, so that neither one task nor one label holds all pairs.
+BLOCKS = 16
+#: Distances up to which neighbours are looked for by segments, one after another; words with too few meet all others.
+NEAR = (1, 2, 3)
+
+
+def _block(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)).cast("int")
+
+
+def _each_block():
+    return F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+
+
+def _segment(size, i, parts: int):
+    """(begin, length) of segment i of a word of `size` characters, cut into `parts` of about equal length, the longer ones last."""
+    base, short = F.floor(size / parts).cast("int"), parts - size % parts
+    return i * base + F.greatest(F.lit(0), i - short), base + (i >= short).cast("int")
+
+
+def within(words: DataFrame, others: DataFrame, limit: int) -> DataFrame:
+    """(word, other, dist): all pairs of words (word) and others (other) with an edit distance of `limit` or less.
+
+    A word cut into limit + 1 segments keeps one of them whole under so many edits, moved by that many places at most. So pairs
+    meet in an equi-join on (length, segment's number, segment), and only those are measured."""
+    parts, m, n = limit + 1, F.char_length("word"), F.char_length("other")
+
+    def own(i):
+        begin, size = _segment(n, i, parts)
+        return F.struct(n.alias("n"), i.alias("i"), F.substr("other", begin + 1, size).alias("part"))
+
+    def asked(size, i):
+        begin, length = _segment(size, i, parts)
+        low, high = F.greatest(F.lit(0), begin - limit), F.least(m - length, begin + limit)
+        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda at: F.struct(size.alias("n"), i.alias("i"), F.substr("word", at + 1, length).alias("part")))
+
+    numbers = F.sequence(F.lit(0), F.lit(limit))
+    sizes = F.sequence(F.greatest(F.lit(0), m - limit), m + limit)
+    keys = F.array_distinct(F.flatten(F.flatten(F.transform(sizes, lambda size: F.transform(numbers, lambda i: asked(size, i))))))
+    left = words.select("word", F.explode(keys).alias("key")).select("word", "key.*")
+    right = others.select("other", F.explode(F.transform(numbers, own)).alias("key")).select("other", "key.*")
+    pairs = left.join(right, ["n", "i", "part"]).select("word", "other").distinct()
+    return pairs.withColumn("dist", F.levenshtein("word", "other", limit)).where("dist >= 0")
+
+
+def nearest(test: DataFrame, train: DataFrame, k: int, limits=NEAR) -> DataFrame:
     """(id, train_id, label, dist, rank): for each test row (flow_id, word) the k nearest train rows (flow_id, label,
     word), ties by train id.
 
     A word of the test set meets each word of the train set once, however often they occur: the k nearest distinct words
-    hold the k nearest rows. Of a train word's rows the first k are enough."""
+    hold the k nearest rows. Of a train word's rows the first k are enough. The words within 1, 2, ... edits are found by their
+    segments, for the test words that have fewer than k rows nearer; those that have too few within the last limit meet all
+    words, in pairs of hash blocks. Of dense data few do."""
     own = Window.partitionBy("word").orderBy("flow_id")
     few = train.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= k)
-    words = few.groupBy(F.col("word").alias("train_word")).agg(F.count("*").alias("n"), F.min("flow_id").alias("first"))
-    pairs = test.select("word").distinct().join(words).withColumn("dist", F.levenshtein("word", "train_word"))
-    near = pairs.withColumn("at", F.dense_rank().over(Window.partitionBy("word").orderBy("dist"))).where(F.col("at") <= k)
-    rows = near.join(few.select(F.col("word").alias("train_word"), F.col("flow_id").alias("train_id"), "label"), "train_word")
+    few = materialise(few.select("flow_id", "label", "word"), "train")
+    others = few.groupBy(F.col("word").alias("other")).agg(F.count("*").alias("n"))
+    left = materialise(test.select("word").distinct(), "words")
+    found = []
+    for limit in limits:
+        near = materialise(within(left, others, limit).join(others, "other"), "near")
+        done = near.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= k).select("word")
+        found.append(near.join(done, "word", "left_semi"))
+        left = materialise(left.join(done, "word", "left_anti"), "words")
+    a = left.withColumns({"i": _block("word"), "j": _each_block()}).repartition(BLOCKS * BLOCKS, "i", "j")
+    b = others.withColumns({"j": _block("other"), "i": _each_block()})
+    near = a.join(b, ["i", "j"]).withColumn("dist", F.levenshtein("word", "other")).select("other", "word", "dist", "n")
+    for more in found:
+        near = near.unionByName(more)
+    near = near.withColumn("at", F.dense_rank().over(Window.partitionBy("word").orderBy("dist"))).where(F.col("at") <= k)
+    rows = near.select("word", F.col("other").alias("train_word"), "dist").join(few.select(F.col("word").alias("train_word"), F.col("flow_id").alias("train_id"), "label"), "train_word")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("dist", "train_id"))).where(F.col("rank") <= k)
     return test.select(F.col("flow_id").alias("id"), "word").join(ranked, "word").select("id", "train_id", "label", "dist", "rank")
 
@@ -41,18 +102,6 @@ def knn(train: DataFrame, test: DataFrame, k: int, fraction: float | None = None
     return vote(nearest(test, train, k), fraction)
 
 
-#: Hash blocks of words; the pairs of blocks are dealt out, so that neither one task nor one label holds all pairs.
-BLOCKS = 16
-
-
-def _block(*columns: str):
-    return F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)).cast("int")
-
-
-def _each_block():
-    return F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-
-
 def label_pairs(seqs: DataFrame) -> DataFrame:
     """(label_a, label_b, dist, n): the distances of all pairs of sequences of two labels, label_a <= label_b, each pair
     once, with how many pairs have it. Equal sequences of a label are counted, not repeated."""
