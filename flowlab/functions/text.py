@@ -88,3 +88,13 @@ def flow_to_json(flow: Column) -> Column:
 
 def flow_from_json(text: Column) -> Column:
     return F.from_json(text, FLOW)
+
+
+def seeded(seed: int, *parts):
+    """A digest of a seed and some values, 32 hex digits: an order or a draw that any engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p) if isinstance(p, str) else p for p in parts]))
+
+
+def chance(seed: int, *parts):
+    """A number in [0, 1) from the first eight digits of the digest."""
+    return F.conv(F.substring(seeded(seed, *parts), 1, 8), 16, 10).cast("long") / float(1 << 32)

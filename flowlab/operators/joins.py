@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlab.functions.text import flow_key, hostname
+from flowlab.functions.text import flow_key, hostname, seeded
 from flowlab.operators.selection import client_hellos, first_per
 
 
@@ -56,7 +56,7 @@ def co_flow_packets(packets: DataFrame, seed: int) -> DataFrame:
     key = flow_key(F.col("ip_src"), F.col("tcp_srcport"), F.col("ip_dst"), F.col("tcp_dstport"))
     hello = client_hellos(packets).withColumn("key", key)
     first = hello.groupBy("trace_id").agg(F.min_by("key", "frame_number").alias("main"))
-    other = hello.join(first, "trace_id").where(F.col("key") != F.col("main")).groupBy("trace_id").agg(F.min_by("key", F.xxhash64("key.low.ip", "key.low.port", "key.high.ip", "key.high.port", F.lit(seed))).alias("key"))
+    other = hello.join(first, "trace_id").where(F.col("key") != F.col("main")).groupBy("trace_id").agg(F.min_by("key", seeded(seed, "key.low.ip", "key.low.port", "key.high.ip", "key.high.port")).alias("key"))
     return packets.withColumn("key", key).join(other, ["trace_id", "key"]).drop("key")
 
 

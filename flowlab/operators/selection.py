@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.functions.text import chance, seeded
+
 #: Labels of infrastructure, never classified.
 INFRASTRUCTURE = ("browser", "captcha", "cdn", "dns", "unknown")
 
@@ -72,11 +74,8 @@ def plausible(flows: DataFrame, max_len: int = 1600, min_frames: int = 4) -> Dat
 
 def random_drop(seqs: DataFrame, p: float, seed: int, key: str = "flow_id") -> DataFrame:
     """With probability one half a sequence loses each place with probability p, by a seeded hash."""
-    def chance(*parts):
-        return F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-
-    hit = F.filter(F.transform("seq", lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: chance(F.col(key), x["i"]) >= p)
-    return seqs.withColumn("seq", F.when(chance(F.col(key)) < 0.5, F.transform(hit, lambda x: x["s"])).otherwise(F.col("seq")))
+    hit = F.filter(F.transform("seq", lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: chance(seed, key, x["i"]) >= p)
+    return seqs.withColumn("seq", F.when(chance(seed, key) < 0.5, F.transform(hit, lambda x: x["s"])).otherwise(F.col("seq")))
 
 
 def exclude_prefix(df: DataFrame, label: str, prefix: str, column: str = "filename") -> DataFrame:
@@ -101,11 +100,11 @@ def top_k(df: DataFrame, key, by, k: int) -> DataFrame:
 
 def sample_per_label(df: DataFrame, n: int, seed: int, key: str = "flow_id") -> DataFrame:
     """At most n rows of each label, in an order given by a seeded hash."""
-    return top_k(df, ["label"], [F.xxhash64(key, F.lit(seed)), F.col(key)], n).drop("rank")
+    return top_k(df, ["label"], [seeded(seed, key), F.col(key)], n).drop("rank")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded(seed, key), key).limit(n)
 
 
 def limit_rows(df: DataFrame, n: int, *order: str) -> DataFrame:

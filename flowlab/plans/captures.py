@@ -228,7 +228,10 @@ def j7(spark, d):
     return _address(spark, d)
 
 
-@query("j8_co_flow")
+ENDS = "CASE WHEN (ip_src, tcp_srcport) <= (ip_dst, tcp_dstport) THEN ip_src || ':' || tcp_srcport || ':' || ip_dst || ':' || tcp_dstport ELSE ip_dst || ':' || tcp_dstport || ':' || ip_src || ':' || tcp_srcport END"
+
+
+@query("j8_co_flow", PK + f", k AS (SELECT *, {ENDS} AS key FROM packets), h AS (SELECT * FROM k WHERE handshake_type = 1 OR info LIKE '%Client Hello%'), m AS (SELECT trace_id, arg_min(key, frame_number) AS main FROM h GROUP BY trace_id), o AS (SELECT trace_id, arg_min(key, md5('3:' || key)) AS key FROM h JOIN m USING (trace_id) WHERE key <> main GROUP BY trace_id) SELECT trace_id, frame_number FROM k JOIN o USING (trace_id, key)")
 def j8(spark, d):
     return J.co_flow_packets(V.packets(spark, d), 3).select("trace_id", "frame_number")
 

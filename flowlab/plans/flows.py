@@ -119,9 +119,12 @@ def p16(spark, d):
     return V.packets(spark, d).groupBy(_key_text().alias("key")).agg(F.count("*").alias("n"))
 
 
-@query("p17_random_drop")
+DRAW = "('0x' || substr(md5('7:' || {}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query("p17_random_drop", SQ + ", n AS (SELECT flow_id, label, count(*) AS n FROM symbols GROUP BY ALL), k AS (SELECT flow_id, string_agg(symbol, ',' ORDER BY frame_number) AS s FROM symbols WHERE " + DRAW.format("flow_id") + " >= 0.5 OR " + DRAW.format("flow_id || ':' || (frame_number - 1)") + " >= 0.3 GROUP BY flow_id) SELECT flow_id, label, coalesce(s, '') AS seq FROM n LEFT JOIN k USING (flow_id)")
 def p17(spark, d):
-    return P.random_drop(V.seqs(spark, d), 0.3, 7).select("flow_id", "label", "seq")
+    return P.random_drop(V.seqs(spark, d), 0.3, 7).select("flow_id", "label", F.array_join("seq", ",").alias("seq"))
 
 
 @query("p18_exclude_prefix", CA + "SELECT id, filename FROM traces_metadata WHERE NOT (browser = 'Wget' AND filename LIKE 't1%')")
@@ -224,7 +227,7 @@ def a37(spark, d):
     return A.histogram(V.frames(spark, d), "label", "tcp_length", 20)
 
 
-@query("a37_log_histogram")
+@query("a37_log_histogram", FR + ", v AS (SELECT label, ln(CAST(tcp_length AS DOUBLE)) AS v FROM frames WHERE tcp_length > 0), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v) SELECT label, CAST(least(floor((v - lo) / (hi - lo) * 20), 19) AS INT) AS bin, count(*) AS n FROM v, e GROUP BY ALL")
 def a37_log(spark, d):
     return A.histogram(V.frames(spark, d), "label", "tcp_length", 20, log=True)
 
@@ -351,7 +354,7 @@ def t2(spark, d):
     return P.top_k(V.frames(spark, d), ["label"], ["tcp_length", "flow_id", "frame_number"], 5).select("label", "flow_id", "frame_number", "tcp_length")
 
 
-@query("t4_sample_per_label")
+@query("t4_sample_per_label", SQ + " SELECT flow_id, label FROM seqs QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('5:' || flow_id), flow_id) <= 300")
 def t4(spark, d):
     return P.sample_per_label(V.seqs(spark, d), 300, 5).select("flow_id", "label")
 
@@ -361,7 +364,7 @@ def t5(spark, d):
     return P.limit_rows(V.catalog(spark, d)["traces_metadata"].select("id", "filename"), 100, "id")
 
 
-@query("t6_sample_rows")
+@query("t6_sample_rows", CA + "SELECT id, filename FROM traces_metadata ORDER BY md5('3:' || id), id LIMIT 50")
 def t6(spark, d):
     return P.sample_rows(V.catalog(spark, d)["traces_metadata"], 50, 3, "id").select("id", "filename")
 

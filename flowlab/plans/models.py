@@ -408,9 +408,12 @@ def m13(spark, d):
     return L.best_clustering(_points(spark, d), range(2, 5))
 
 
-@query("m14_best_bin_count")
+COUNTS = [2, 4, 8]
+
+
+@query("m14_best_bin_count", f"WITH {V.FRAMES}, c AS (SELECT unnest({COUNTS}) AS bins), w AS (SELECT bins, flow_id, label, string_agg(chr(48 + CAST(least(bins - 1, greatest(0, ceil(tcp_length / (1500 / (bins - 1)) - 0.5))) AS INT)), '' ORDER BY frame_number) AS word FROM frames, c GROUP BY ALL), p AS (SELECT a.bins, a.label = b.label AS inside, levenshtein(a.word, b.word) AS d FROM w a JOIN w b ON a.bins = b.bins AND a.flow_id < b.flow_id), s AS (SELECT bins, avg(d) FILTER (NOT inside) / avg(d) FILTER (inside) AS separation FROM p GROUP BY bins) SELECT bins, round(separation, 6) AS separation, row_number() OVER (ORDER BY separation DESC, bins) = 1 AS best FROM s")
 def m14(spark, d):
-    return L.best_bin_count(V.frames(spark, d), [2, 4, 8])
+    return L.best_bin_count(V.frames(spark, d), COUNTS).withColumn("separation", F.round("separation", 6))
 
 
 GRID = "SELECT method, bins, length, label FROM (VALUES ('equal'), ('log')) a(method), (VALUES (10), (40)) b(bins), (VALUES (5), (10), (15)) c(length), (SELECT DISTINCT 'L' || (user_id % 7) AS label FROM events) e"
@@ -422,7 +425,13 @@ def m15(spark, d):
     return g.crossJoin(V.frames(spark, d).select("label").distinct())
 
 
-@query("m15_sweep")
+SWEEP = (
+    "WITH " + V.SYMBOLS.replace("symbols AS (", "base AS (") + ", symbols AS (SELECT * EXCLUDE (flow_id, label), flow_id * 100 + length AS flow_id, length || '|' || label AS label FROM base, (VALUES (3), (6), (12)) l(length) WHERE frame_number <= length)" + chain_sql(TRAIN, TEST, True)
+    + ", best AS (SELECT flow_id, arg_max(model_label, {'s': score, 'l': model_label}) AS predicted FROM scores WHERE CAST(split_part(model_label, '|', 1) AS INT) = flow_id % 100 GROUP BY flow_id), meta AS (SELECT DISTINCT flow_id, label FROM symbols) SELECT CAST(flow_id % 100 AS INT) AS length, count(*) AS n, count(*) FILTER (label = predicted) AS correct FROM best JOIN meta USING (flow_id) GROUP BY ALL"
+)
+
+
+@query("m15_sweep", SWEEP)
 def m15_sweep(spark, d):
     """Chains for several sequence lengths in one job; the length is part of the chain's label."""
     s = V.seqs(spark, d).crossJoin(F.broadcast(spark.createDataFrame([(3,), (6,), (12,)], "length int")))
@@ -468,10 +477,11 @@ def header_bytes(df):
     return df.withColumn("length", F.col("length") + 5)
 
 
-@query("a35_size_overhead")
+@query("a35_size_overhead", f"WITH {V.RECORDS}, g AS (SELECT *, record_number - row_number() OVER (PARTITION BY flow_id, content_type = 23, direction ORDER BY record_number) AS run FROM records), r AS (SELECT flow_id, content_type = 23 AS data, direction, run, count(*) AS n, sum(length) AS bytes FROM g GROUP BY ALL), f AS (SELECT flow_id, sum(bytes + 5 * n) AS before, sum(bytes + 5 * CASE WHEN data THEN ceil(bytes / 1400) ELSE n END) AS after FROM r GROUP BY flow_id) SELECT round(avg(after / before), 6) AS overhead FROM f")
 def a35(spark, d):
+    """Application data re-cut to records of 1,400 bytes."""
     r = V.records(spark, d)
-    return size_overhead(header_bytes(r), header_bytes(R.resize_records(r, 50, 3100, 7)))
+    return size_overhead(header_bytes(r), header_bytes(R.resize_records(r, size=lambda rng, length: 1400))).withColumn("overhead", F.round("overhead", 6))
 
 
 #: Upper limits of the records' sizes, and the records of a flow that are taken.

@@ -12,8 +12,6 @@ from flowlab import registry  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-#: Slow on few rows: covered by their operators' own tests.
-SLOW = {"m10_cumul_classify", "m13_best_clustering"}
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +49,7 @@ def test_against_sql(spark, duck, small, name):
     assert have == wanted
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
