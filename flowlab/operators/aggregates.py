@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,28 +108,42 @@ def size_overhead(before: DataFrame, after: DataFrame, key: str = "flow_id", val
     return a.join(b, key).agg(F.avg(F.col("after") / F.col("before")).alias("overhead"))
 
 
-def bootstrap_means(df: DataFrame, key: str, value: str, b: int, seed: int) -> DataFrame:
-    """(key, sample, m): means of b resamples of each key, with replacement.
+#: Cumulative probabilities of 0, 1, 2, ... draws of a row in a resample: a Poisson distribution of mean 1.
+DRAWS = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def weighted_mean(v, w):
+    return F.sum(v * w) / F.sum(w)
+
+
+def bootstrap_samples(df: DataFrame, key: str, value: str, b: int, seed: int, statistic=weighted_mean) -> DataFrame:
+    """(key, sample, m): a statistic of b resamples of each key. `statistic` makes an aggregate of a column of values and one
+    of weights, the numbers of times that a row is drawn.
+
+    Each row draws its own number of times for each resample, Poisson with mean 1, which is what drawing with replacement comes to with many
+    rows. So a row needs no other: tasks aggregate their own rows, and no key's rows are gathered in one place."""
+    rows = df.select(key, F.col(value).cast("double").alias("v")).select(key, "v", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("sample"))
+    times = sum((F.col("u") >= p).cast("int") for p in DRAWS[1:]) + (F.col("u") >= DRAWS[0]).cast("int")
+    drawn = rows.withColumn("u", F.rand(seed)).withColumn("w", times).where("w > 0")
+    return drawn.groupBy(key, "sample").agg(statistic(F.col("v"), F.col("w")).alias("m"))
+
 
-    The rows of a key are numbered; a resample draws as many numbers by a seeded hash, and gets the rows by an
-    equi-join on (key, number). No key's rows are gathered in one place."""
-    rows = df.select(key, F.col(value).cast("double").alias("v"))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("v")) - 1)
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
-    draws = rows.join(sizes, key).select(key, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("sample")).select(key, "sample", F.pmod(F.xxhash64(F.col(key), "sample", "i", F.lit(seed)), F.col("n")).alias("i"))
-    return draws.groupBy(key, "sample", "i").count().join(rows.select(key, "i", "v"), [key, "i"]).groupBy(key, "sample").agg((F.sum(F.col("v") * F.col("count")) / F.sum("count")).alias("m"))
+def _observed(df: DataFrame, key: str, value: str, statistic) -> DataFrame:
+    rows = df.select(key, F.col(value).cast("double").alias("v"), F.lit(1).alias("w"))
+    return rows.groupBy(key).agg(statistic(F.col("v"), F.col("w")).alias("mean"))
 
 
-def bootstrap_ci(df: DataFrame, key: str, value: str, level: float = 0.95, b: int = 1000, seed: int = 1) -> DataFrame:
-    """Mean with an interval from reflected percentiles of the resampled means."""
+def bootstrap_ci(df: DataFrame, key: str, value: str, level: float = 0.95, b: int = 1000, seed: int = 1, statistic=weighted_mean) -> DataFrame:
+    """The statistic (`mean`) with an interval from reflected percentiles of the resampled ones."""
     half = (1 - level) / 2
-    means = df.groupBy(key).agg(F.avg(value).alias("mean"))
-    spread = bootstrap_means(df, key, value, b, seed).groupBy(key).agg(F.percentile("m", half).alias("lo"), F.percentile("m", 1 - half).alias("hi"))
-    return means.join(spread, key).select(key, "mean", (2 * F.col("mean") - F.col("hi")).alias("low"), (2 * F.col("mean") - F.col("lo")).alias("high"))
+    spread = bootstrap_samples(df, key, value, b, seed, statistic).groupBy(key).agg(F.percentile("m", half).alias("lo"), F.percentile("m", 1 - half).alias("hi"))
+    return _observed(df, key, value, statistic).join(spread, key).select(key, "mean", (2 * F.col("mean") - F.col("hi")).alias("low"), (2 * F.col("mean") - F.col("lo")).alias("high"))
 
 
-def bootstrap_test(df: DataFrame, key: str, value: str, null: float, b: int = 1000, seed: int = 1) -> DataFrame:
-    """Two-sided p-value of mean = null: resamples recentred at null, twice the smaller tail."""
-    means = df.groupBy(key).agg(F.avg(value).alias("mean"))
-    moved = bootstrap_means(df, key, value, b, seed).join(means, key).withColumn("r", F.col("m") - F.col("mean") + null)
-    return moved.groupBy(key).agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("r") <= F.col("mean")).cast("int")), F.avg((F.col("r") >= F.col("mean")).cast("int")))).alias("p"))
+def bootstrap_test(df: DataFrame, key: str, value: str, null: float, b: int = 1000, seed: int = 1, statistic=weighted_mean, side: str = "both") -> DataFrame:
+    """p-value of statistic = null: resamples recentred at null. side: `both` (twice the smaller tail), `less` or `greater`, the
+    alternative that it is smaller or greater than null."""
+    moved = bootstrap_samples(df, key, value, b, seed, statistic).join(_observed(df, key, value, statistic), key).withColumn("r", F.col("m") - F.col("mean") + null)
+    below, above = (F.avg(c.cast("int")) for c in (F.col("r") <= F.col("mean"), F.col("r") >= F.col("mean")))
+    p = {"both": F.least(F.lit(1.0), 2 * F.least(below, above)), "less": below, "greater": above}[side]
+    return moved.groupBy(key).agg(p.alias("p"))
