@@ -14,6 +14,10 @@ from flowlab.plans.models import OPEN
 from flowlab.streaming import stateful as ST
 
 
+#: Seconds of silence after which a flow's scores are forgotten: flows are three days long.
+FORGET = 3 * 86400.0
+
+
 def frames(spark, d):
     """The events stream as frames; the event's number takes the place of a frame number."""
     e = ST.with_lateness(ST.read_events(spark, d), "1 hour")
@@ -26,14 +30,14 @@ def frames(spark, d):
 
 @query("st1_admit")
 def st1(spark, d):
-    rows = frames(spark, d).select("flow_id", "frame_number", "time_epoch", F.col("tcp_length").alias("payload_len"), F.coalesce("handshake_type", F.lit(0)).alias("handshake_type"))
-    return ST.run_available(ST.admit(rows, 4, 86400.0))
+    rows = frames(spark, d).select("ts", "flow_id", "frame_number", "time_epoch", F.col("tcp_length").alias("payload_len"), F.coalesce("handshake_type", F.lit(0)).alias("handshake_type"))
+    return ST.run_available(ST.admit(rows, 4, 86400.0, expire=2 * 86400.0))
 
 
 @query("st2_detect_records")
 def st2(spark, d):
-    rows = frames(spark, d).select("flow_id", "frame_number", "time_epoch", "direction", (F.col("frame_number") * 0).alias("tcp_seq"), F.when(F.col("tcp_length") % 5 == 0, F.col("tcp_length")).otherwise(0).alias("tcp_len"), "content_type")
-    return ST.run_available(ST.detect_records(rows, 86400.0))
+    rows = frames(spark, d).select("ts", "flow_id", "frame_number", "time_epoch", "direction", (F.col("frame_number") * 0).alias("tcp_seq"), F.when(F.col("tcp_length") % 5 == 0, F.col("tcp_length")).otherwise(0).alias("tcp_len"), "content_type")
+    return ST.run_available(ST.detect_records(rows, 86400.0, expire=86400.0))
 
 
 @query("st3_symbols", f"WITH {V.FRAMES}, e AS (SELECT event_id, CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN 1 ELSE 0 END AS a, CAST(floor(value * 3) AS BIGINT) AS s, CASE event_type WHEN 'signup' THEN 22 WHEN 'purchase' THEN 20 WHEN 'error' THEN 21 ELSE 23 END AS t FROM events) SELECT event_id AS frame_number, CAST(((((5381::HUGEINT * 33 + a) * 33 + s // 256) * 33 + s % 256) * 33 + t) % 18446744073709551616 AS VARCHAR) AS h FROM e")
@@ -52,8 +56,8 @@ def st4(spark, d):
     edges = C.fit_chain(V.seqs(spark, d).where("dset = 'train'")).collect()
     table = {(r.label, r["tail"], r["head"]): r.prob for r in edges}
     limits = {r.label: -12.0 for r in edges}
-    rows = _symbols(spark, d).select("flow_id", "frame_number", "time_epoch", "symbol")
-    return ST.run_available(ST.online_chain(rows, table, 4, limits)).select("flow_id", "model_label", F.round("score", 6).alias("score"), (F.round("score", 6) >= -12).alias("member"))
+    rows = _symbols(spark, d).select("ts", "flow_id", "frame_number", "time_epoch", "symbol")
+    return ST.run_available(ST.online_chain(rows, table, 4, limits, expire=FORGET)).select("flow_id", "model_label", F.round("score", 6).alias("score"), (F.round("score", 6) >= -12).alias("member"))
 
 
 def _online_profiles(spark, d):
@@ -70,16 +74,14 @@ def st5(spark, d):
     """Profiles of all labels, fitted in batch, applied to the stream after 4 symbols."""
     _, codes, params = _online_profiles(spark, d)
     known = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    rows = _symbols(spark, d).select("flow_id", "frame_number", "time_epoch", F.coalesce(F.try_element_at(known, "symbol"), F.lit(-1)).cast("int").alias("id"))
-    return ST.run_available(ST.online_phmm(rows, H.models_of(params), 4))
+    rows = _symbols(spark, d).select("ts", "flow_id", "frame_number", "time_epoch", F.coalesce(F.try_element_at(known, "symbol"), F.lit(-1)).cast("int").alias("id"))
+    return ST.run_available(ST.online_phmm(rows, H.models_of(params), 4, expire=FORGET))
 
 
 @query("st6_votes", "SELECT user_id * 100 + (day(ts) - 1) // 3 AS flow_id, CAST(sum(CAST(value > 50 AS INT)) AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id, (day(ts) - 1) // 3 ORDER BY ts, event_id) AS n FROM events) WHERE n <= 5 GROUP BY flow_id HAVING count(*) = 5")
 def st6(spark, d):
-    rows = frames(spark, d).select("flow_id", "frame_number", "time_epoch", (F.col("tcp_length") > 150).cast("int").alias("decision"))
-    exact = ST.with_lateness(ST.read_events(spark, d), "1 hour").select((F.col("user_id") * 100 + F.expr("(day(ts) - 1) div 3")).alias("flow_id"), F.col("event_id").alias("frame_number"), (F.unix_micros("ts") / 1e6).alias("time_epoch"), (F.col("value") > 50).cast("int").alias("decision"))
-    assert rows.columns == exact.columns
-    return ST.run_available(ST.votes(exact, 5))
+    rows = ST.with_lateness(ST.read_events(spark, d), "1 hour").select("ts", (F.col("user_id") * 100 + F.expr("(day(ts) - 1) div 3")).alias("flow_id"), F.col("event_id").alias("frame_number"), (F.unix_micros("ts") / 1e6).alias("time_epoch"), (F.col("value") > 50).cast("int").alias("decision"))
+    return ST.run_available(ST.votes(rows, 5, expire=FORGET))
 
 
 @query("st7_ttl", "SELECT a.user_id, a.ts AS enter, b.ts AS exit FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOURS")

@@ -1,4 +1,7 @@
-"""Per-flow state machines on Structured Streaming. Rows of a flow are put in order within each micro-batch."""
+"""Per-flow state machines on Structured Streaming. Rows of a flow are put in order within each micro-batch.
+
+With `expire`, seconds, a flow that has been silent for so long, as the watermark of the event time `ts` tells, loses its state by
+a timer. Its last rows then come out as well, where an operator has some."""
 
 from __future__ import annotations
 
@@ -27,6 +30,24 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def run_counted(stream: DataFrame) -> tuple[DataFrame, int]:
+    """run_available in append mode, and how many rows its stateful operators dropped as too late."""
+    spark = stream.sparkSession
+    path = new_table(spark, "stream")
+    writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).format("parquet").option("path", path)
+    query = writer.start()
+    query.awaitTermination()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    return spark.read.schema(stream.schema).parquet(path), late
+
+
+def late_counts(stream: DataFrame, delay: str, window: str, key: str) -> DataFrame:
+    """(start, key, n): rows in windows of event time; a window comes out when the watermark has passed it, and rows that come
+    later than that are dropped."""
+    rows = with_lateness(stream, delay).groupBy(F.window("ts", window), key).agg(F.count("*").alias("n"))
+    return rows.select(F.col("window.start").alias("start"), key, "n")
+
+
 def with_lateness(stream: DataFrame, delay: str, column: str = "ts") -> DataFrame:
     """Rows later than `delay` behind the newest are dropped by the stateful operators that follow."""
     return stream.withWatermark(column, delay)
@@ -36,19 +57,30 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["time_epoch", "frame_number"], ignore_index=True)
 
 
-def _stateful(stream: DataFrame, step, out: str, state: str, keys=("flow_id",)) -> DataFrame:
+def _stateful(stream: DataFrame, step, out: str, state: str, keys=("flow_id",), expire: float | None = None, at_end=None) -> DataFrame:
     """step(rows, old state or None) -> (rows out, new state). The state holds what the flow has done so far; idle times are
-    judged by the rows' own times, so a replay gives the same rows."""
+    judged by the rows' own times, so a replay gives the same rows. at_end(key, state) gives the rows of a flow whose
+    timer has run out."""
 
     def work(key, frames, held: GroupState):
-        rows, new = step(_ordered(frames), held.get if held.exists else None)
+        if held.hasTimedOut:
+            old = held.get
+            held.remove()
+            if at_end is not None:
+                yield at_end(key, old)
+            return
+        rows = _ordered(frames)
+        got, new = step(rows, held.get if held.exists else None)
         held.update(new)
-        yield rows
+        if expire is not None:
+            held.setTimeoutTimestamp(max(int((rows["time_epoch"].iat[-1] + expire) * 1000), held.getCurrentWatermarkMs() + 1))
+        yield got
 
-    return stream.groupBy(*keys).applyInPandasWithState(work, out, state, "append", GroupStateTimeout.NoTimeout)
+    kind = GroupStateTimeout.NoTimeout if expire is None else GroupStateTimeout.EventTimeTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(work, out, state, "append", kind)
 
 
-def admit(stream: DataFrame, max_packets: int, idle: float = 5.0) -> DataFrame:
+def admit(stream: DataFrame, max_packets: int, idle: float = 5.0, expire: float | None = None) -> DataFrame:
     """Packets (flow_id, frame_number, time_epoch, payload_len, handshake_type) of open flows: a ClientHello opens a flow, it ends
     after max_packets or when no packet came for `idle` seconds; packets without payload are passed over."""
 
@@ -70,12 +102,13 @@ def admit(stream: DataFrame, max_packets: int, idle: float = 5.0) -> DataFrame:
         return pd.DataFrame(out, columns=["flow_id", "frame_number", "time_epoch", "place"]), (count, last, is_open)
 
     kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, frame_number long, time_epoch double, place int", "count int, last double, open int")
+    return _stateful(stream, step, f"flow_id {kind}, frame_number long, time_epoch double, place int", "count int, last double, open int", expire=expire)
 
 
-def detect_records(stream: DataFrame, idle: float = 1.0) -> DataFrame:
+def detect_records(stream: DataFrame, idle: float = 1.0, expire: float | None = None) -> DataFrame:
     """Feature rows of in-sequence packets (flow_id, direction, frame_number, time_epoch, tcp_seq, tcp_len, content_type): out-of-
-    sequence packets are dropped; a pause of over `idle` seconds puts an end row (direction 0) before the next packet."""
+    sequence packets are dropped; a pause of over `idle` seconds puts an end row (direction 0) before the next packet. A flow whose
+    timer runs out has its end row then, with frame number -1."""
 
     def step(rows, old):
         up, down, last = old or (-1, -1, 0.0)
@@ -92,10 +125,10 @@ def detect_records(stream: DataFrame, idle: float = 1.0) -> DataFrame:
         return pd.DataFrame(out, columns=["flow_id", "frame_number", "direction", "size", "content_type"]), (up, down, last)
 
     kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, frame_number long, direction int, size int, content_type int", "up long, down long, last double")
+    return _stateful(stream, step, f"flow_id {kind}, frame_number long, direction int, size int, content_type int", "up long, down long, last double", expire=expire, at_end=lambda key, old: pd.DataFrame([(key[0], -1, 0, 0, 0)], columns=["flow_id", "frame_number", "direction", "size", "content_type"]))
 
 
-def online_chain(stream: DataFrame, edges: dict[tuple[str, str, str], float], n: int, thresholds: dict[str, float], default: float = 1e-6) -> DataFrame:
+def online_chain(stream: DataFrame, edges: dict[tuple[str, str, str], float], n: int, thresholds: dict[str, float], default: float = 1e-6, expire: float | None = None) -> DataFrame:
     """(flow_id, model_label, score, member) once a flow has n symbols (rows flow_id, frame_number, time_epoch, symbol): a first-order
     chain per label, scored as symbols arrive. The edge table of a model set is small and travels with the code."""
     labels = sorted(thresholds)
@@ -115,10 +148,10 @@ def online_chain(stream: DataFrame, edges: dict[tuple[str, str, str], float], n:
         return pd.DataFrame(out, columns=["flow_id", "model_label", "score", "member"]), (count, prev, sums)
 
     kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, model_label string, score double, member boolean", "count int, prev string, sums array<double>")
+    return _stateful(stream, step, f"flow_id {kind}, model_label string, score double, member boolean", "count int, prev string, sums array<double>", expire=expire)
 
 
-def online_phmm(stream: DataFrame, models: dict, n: int) -> DataFrame:
+def online_phmm(stream: DataFrame, models: dict, n: int, expire: float | None = None) -> DataFrame:
     """(flow_id, model_label, score) once a flow has n symbols (rows with `id`): the state is the flow's first symbols; with
     the n-th they are scored under each label's profile."""
     from flowlab.operators.hmm import LOWEST, Profile
@@ -136,10 +169,10 @@ def online_phmm(stream: DataFrame, models: dict, n: int) -> DataFrame:
         return pd.DataFrame(out, columns=["flow_id", "model_label", "score"]), (ids,)
 
     kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, model_label string, score double", "ids array<int>")
+    return _stateful(stream, step, f"flow_id {kind}, model_label string, score double", "ids array<int>", expire=expire)
 
 
-def votes(stream: DataFrame, num_models: int) -> DataFrame:
+def votes(stream: DataFrame, num_models: int, expire: float | None = None) -> DataFrame:
     """(flow_id, votes): the sum of the first num_models decisions (rows flow_id, frame_number, time_epoch, decision) of a flow."""
 
     def step(rows, old):
@@ -153,7 +186,7 @@ def votes(stream: DataFrame, num_models: int) -> DataFrame:
         return pd.DataFrame(out, columns=["flow_id", "votes"]), (count, total)
 
     kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, votes long", "count int, total long")
+    return _stateful(stream, step, f"flow_id {kind}, votes long", "count int, total long", expire=expire)
 
 
 def idle_sessions(stream: DataFrame, gap: str, key: str = "flow_id") -> DataFrame:

@@ -83,3 +83,38 @@ def test_bad_packet_lines_are_left_out(spark, tmp_path):
     (tmp_path / "t1.csv").write_text("frame.number,time\n1,0.5,a,b,TLSv1.2,60,1,443,x\nbroken line\n2,0.6,b,a,TCP,60,443,1,y\n")
     got = R.read_packets(spark, str(tmp_path))
     assert sorted(r.frame_number for r in got.collect()) == [1, 2] and {r.trace_id for r in got.collect()} == {"t1"}
+
+
+def in_files(spark, df, path, parts):
+    """df as a stream of files, one a micro-batch; parts gives each row's file."""
+    for i in sorted(r[0] for r in df.select(parts).distinct().collect()):
+        df.where(parts == i).coalesce(1).write.parquet(f"{path}/part{i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part*")
+
+
+def test_timers_over_several_batches(spark, small, tmp_path, rows):
+    """Admission of a stream in ten files, with state that goes by timers, gives what a plain pass gives."""
+    e = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = in_files(spark, e, tmp_path, F.floor((F.dayofmonth("ts") - 1) / 3))
+    stream = ST.with_lateness(stream, "1 hour").select("ts", (F.col("user_id") * 100 + F.expr("(day(ts) - 1) div 3")).alias("flow_id"), F.col("event_id").alias("frame_number"), (F.unix_micros("ts") / 1e6).alias("time_epoch"), F.floor(F.col("value") * 3).cast("int").alias("payload_len"), (F.col("event_type") == "signup").cast("int").alias("handshake_type"))
+    got = ST.run_available(ST.admit(stream, 4, 86400.0, expire=2 * 86400.0))
+    want = streams.st1(spark, small)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_a_silent_flow_ends_by_its_timer(spark, tmp_path):
+    data = [(1, 1, 1000.0, -1, 0, 10, 22), (2, 2, 1000.5, -1, 0, 10, 22), (2, 3, 1100.0, -1, 10, 5, 23), (3, 4, 1500.0, -1, 0, 5, 23), (3, 5, 1900.0, -1, 5, 5, 23)]
+    df = spark.createDataFrame(data, "flow_id long, frame_number long, time_epoch double, direction int, tcp_seq long, tcp_len int, content_type int").withColumn("ts", F.timestamp_seconds("time_epoch"))
+    stream = ST.with_lateness(in_files(spark, df, tmp_path, F.col("frame_number")), "1 second")
+    got = ST.run_available(ST.detect_records(stream, 1.0, expire=1.0)).collect()
+    # flows 1 and 2 are silent; 2 speaks again as a new flow; 3 begins, is silent and speaks again
+    ends = sorted((r.flow_id, r.frame_number) for r in got if r.direction == 0)
+    assert [flow for flow, _ in ends] == [1, 2, 2, 3] and sum(r.direction != 0 for r in got) == 5
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    data = [(1, "a", 100), (1, "b", 110), (2, "a", 7200), (3, "a", 7250), (4, "a", 105), (4, "b", 7300), (5, "b", 20000)]
+    df = spark.createDataFrame(data, "file int, kind string, at long").withColumn("ts", F.timestamp_seconds("at"))
+    got, late = ST.run_counted(ST.late_counts(in_files(spark, df, tmp_path, F.col("file")), "10 minutes", "1 hour", "kind"))
+    assert late == 1
+    assert sorted((r.start.timestamp() if r.start.tzinfo else r.at, r.kind, r.n) for r in got.select("start", F.unix_timestamp("start").alias("at"), "kind", "n").collect()) == [(0, "a", 1), (0, "b", 1), (7200, "a", 2), (7200, "b", 1)]
