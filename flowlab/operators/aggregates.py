@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.text import flow_key, record_type_name
+from flowlab.operators.windows import running
 
 
 def frame_counts(frames: DataFrame, key: str = "flow_id") -> DataFrame:
@@ -55,10 +56,12 @@ def sizes_by_type(records: DataFrame, key: str = "flow_id") -> DataFrame:
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
     """(value, share): the share of values up to each distinct value. Values are counted before they are ordered;
-    the running sum is over distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).count()
-    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(F.col(value).alias("value"), (F.sum("count").over(run) / F.sum("count").over(Window.partitionBy())).alias("share"))
+    the running sum is over distinct values, in ranges of about equal numbers of them."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    ranges = counts.agg(F.percentile_approx("value", [i / 64 for i in range(1, 64)], 1000).alias("__edges"), F.sum("n").alias("__all"))
+    rows = counts.join(F.broadcast(ranges))  # one row
+    bucket = F.size(F.filter("__edges", lambda e: e < F.col("value")))
+    return running(rows, [], bucket, ["value"], {"upto": F.col("n")}).select("value", (F.col("upto") / F.col("__all")).alias("share"))
 
 
 def conversations(packets: DataFrame) -> DataFrame:

@@ -12,6 +12,20 @@ def cumulative(frames: DataFrame, key: str = "flow_id") -> DataFrame:
     return frames.withColumns({"total": F.sum(F.abs("tcp_length")).over(run), "signed": F.sum(F.col("tcp_length") * F.col("direction")).over(run)})
 
 
+def running(df: DataFrame, keys, bucket, order, sums: dict) -> DataFrame:
+    """df with running sums (name -> column) of the rows of a key in the order of `bucket` and then `order`.
+
+    In two steps: within each bucket, which is a task's share, and then the sums of the buckets before it, a short table. So a
+    key with a third of all rows is spread over its buckets."""
+    rows = df.withColumn("__bucket", bucket)
+    own = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    offsets = totals.select(*keys, "__bucket", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    out = rows.withColumns({n: F.sum(c).over(own) for n, c in sums.items()}).join(offsets, [*keys, "__bucket"])
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__bucket", *[f"__{n}" for n in sums])
+
+
 def resample(df: DataFrame, n: int, value: str, key: str = "flow_id", order: str = "frame_number") -> DataFrame:
     """(key, points): the values of a flow, linearly interpolated at n even places from first to last."""
     rows = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("v"))
@@ -73,10 +87,13 @@ def distinct_adjacent(df: DataFrame, key: str, order: str, col: str) -> DataFram
 
 def split(urls: DataFrame, n_test: int = 10, n_val: int = 10, seed: str = "") -> DataFrame:
     """dset by the rank of a tag's distinct urls in an order given by md5: the first n_test test, the next n_val
-    validation, the rest training. All rows of one url stay together."""
+    validation, the rest training. All rows of one url stay together.
+
+    Only the first n_test + n_val urls of a tag are ranked further than their own task; the rest is told by their absence."""
     order = Window.partitionBy("tag").orderBy(F.md5(F.concat(F.col("url"), F.lit(seed))), "url")
-    rank = F.dense_rank().over(order)
-    return urls.withColumn("dset", F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "val").otherwise("train"))
+    first = urls.select("tag", "url").distinct().withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n_test + n_val)
+    rows = urls.join(first, ["tag", "url"], "left")
+    return rows.withColumn("dset", F.when(F.col("__rank") <= n_test, "test").when(F.col("__rank") <= n_test + n_val, "val").otherwise("train")).drop("__rank").select(*urls.columns, "dset")
 
 
 def one_unknown_per_day(meta: DataFrame, closed) -> DataFrame:

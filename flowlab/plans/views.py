@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.symbols import edges_equal, nearest_edge, record_symbol
+from flowlab.operators.windows import running
 
 BIN_EDGES = (1500, 4)
 
@@ -135,11 +136,10 @@ PACKETS = """packets AS (SELECT user_id AS trace_id, row_number() OVER (PARTITIO
 def nf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as counters of network functions: user mod 5 = service."""
     e = table(spark, sf_dir, "events")
-    own = Window.partitionBy("serviceid").orderBy("ts", "event_id")
     rows = e.withColumn("serviceid", (F.col("user_id") % 5).cast("int"))
+    rows = running(rows, ["serviceid"], F.to_date("ts"), ["ts", "event_id"], {"n": F.lit(1), "rx": F.floor("value"), "cost": F.floor(F.col("value") * 10)})
     return rows.select(
-        "serviceid", F.row_number().over(own).alias("n"), F.unix_millis("ts").alias("ts"), (F.col("user_id") % 3).cast("int").alias("instanceid"), F.sum(F.floor("value")).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("rx"),
-        F.sum(F.floor(F.col("value") * 10)).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("cost"), F.floor(F.col("value") * 5).alias("drop"), (F.col("user_id") % 4).alias("models"), F.date_format("ts", "yyyy-MM-dd").alias("run"),
+        "serviceid", "n", F.unix_millis("ts").alias("ts"), (F.col("user_id") % 3).cast("int").alias("instanceid"), "rx", "cost", F.floor(F.col("value") * 5).alias("drop"), (F.col("user_id") % 4).alias("models"), F.date_format("ts", "yyyy-MM-dd").alias("run"),
     )
 
 
