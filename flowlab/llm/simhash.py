@@ -22,6 +22,8 @@ BANDS, MINIMA = 24, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Rows of a band from which they meet its ends only, not their neighbours, before the components are known.
 HEAVY = 500
+#: Nodes of a band up to which its pairs are rows of their own, nodes of a block of a larger one, and shingles of a table.
+FEW, BLOCK, COLUMNS = 24, 256, 4096
 #: Shingle hashes that a task keeps for the next pairs, 8 bytes each.
 HELD = 2_000_000
 
@@ -139,14 +141,18 @@ def shingle_classes(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select("doc_id", digest_of().alias("digest"), text_of().alias("text")), work, "digest binary, node long, bands array<long>")
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut(classes.join(ends, "node", "left_semi").select("node", F.col("digest").alias("__digest")), "wanted", SHORT)
+def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of some nodes: the text of one row of docs for each."""
+    wanted = cut(classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("digest").alias("__digest")), "wanted", SHORT)
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS // 8 else wanted
-    # one row of docs for each node: rows that repeat a text are few, and meet again here
+    # rows that repeat a text are few, and meet again here
     texts = docs.select(text_of().alias("text"), digest_of().alias("__digest")).join(wanted, "__digest").groupBy("node").agg(F.first("text").alias("text"))
-    texts = cut(texts, "texts", 4)
+    return cut(texts, "texts", 4)
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+    texts = texts_of(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def work(batches):
@@ -170,12 +176,68 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(work, "a long, b long")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left shares with each on the right (sorted, without repeats)."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        value = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
+        hit = common[at] == value if len(common) else np.zeros(len(value), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((row[hit][order], at[hit][order]))
+    for start in range(0, len(common), COLUMNS):
+        tables = []
+        for (row, at), sets in zip(places, (left, right)):
+            low, high = np.searchsorted(at, (start, start + COLUMNS))
+            table = np.zeros((len(sets), COLUMNS), np.float32)
+            table[row[low:high], at[low:high] - start] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def block_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between different components of the bands of rows (key, node, component, main, n): every node outside a band's main
+    component is compared with every other node of the band, in pairs of blocks of about BLOCK nodes, as products of tables
+    of their shingles. No row is made for a pair that isn't a link, and of the links of a node with a component one is enough."""
+
+    def hashed(batches):
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "hashes": [np.unique(hashes_of(t, shingle)).tobytes() for t in batch["text"]]})
+        release()
+
+    sets = texts_of(docs, classes, rows.select("node")).mapInPandas(hashed, "node long, hashes binary")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, each = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = rows.where("component <> main").select("key", "node", "component", own.alias("i"), each.alias("j"), F.lit(True).alias("left"))
+    right = rows.select("key", "node", "component", each.alias("i"), own.alias("j"), F.lit(False).alias("left"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[frame["left"]], frame[~frame["left"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        sides = [[np.frombuffer(h, "<u8") for h in f["hashes"]] for f in (x, y)]
+        sizes = [np.array([len(h) for h in s]) for s in sides]
+        both = shared_counts(*sides)
+        near = (both > 0) & (both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both))
+        near &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+        i, j = np.nonzero(near)
+        out = pd.DataFrame({"a": x["node"].to_numpy()[i], "b": y["node"].to_numpy()[j], "to": y["component"].to_numpy()[j]})
+        return out.drop_duplicates(["a", "to"])[["a", "b"]]
+
+    return left.union(right).join(sets, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def similar_components(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, component) of the nodes of `classes` (node, digest, bands) that have links: pairs that share a band and are verified.
 
-    Nodes of a band meet their next two in it, those of a very large one its first and last; then all pairs of a band
-    that are still in different components and not yet tested meet. So of the pairs that share a band, none that could
-    join two components is left out, and a group of copies costs rows in proportion to its size."""
+    Nodes of a band meet their next two in it, those of a very large one its first and last. In the bands that still hold
+    several components afterwards, all pairs of different components meet: one by one in bands of up to FEW nodes, in blocks in
+    larger ones. So of the pairs that share a band, none that could join two components is left out, and a group of copies costs rows
+    in proportion to its size."""
     bands = classes.select("node", F.explode("bands").alias("key"))
     sizes = cut(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"), "bands", SHORT)
     heavy = sizes.where(F.col("n") > HEAVY).select("key", "low", "high")
@@ -187,14 +249,16 @@ def similar_components(docs: DataFrame, classes: DataFrame, shingle: int, simila
     tested = cut(tested, "candidates", SHORT)
     found = components(verified(docs, classes, tested, shingle, similarity))
     # bands that still hold several components
-    rows = bands.join(sizes.select("key"), "key", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    rows = bands.join(sizes.select("key", "n"), "key").join(found, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.mode("component").alias("main")).where("least <> most")
     rows = cut(rows.join(mixed.select("key", "main"), "key"), "mixed", SHORT)
-    x, y = rows.where("component <> main").alias("x"), rows.alias("y")
+    small = rows.where(F.col("n") <= FEW)
+    x, y = small.where("component <> main").alias("x"), small.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     more = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = verified(docs, classes, cut(more, "candidates", SHORT), shingle, similarity)
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    blocks = block_links(docs, classes, rows.where(F.col("n") > FEW), shingle, similarity)
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(blocks))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowlab.llm import simhash
@@ -66,9 +68,12 @@ def test_stage_on_the_given_documents(spark, small):
     assert got == brute_kept({r.doc_id: r.text for r in docs.collect()})
 
 
-def test_large_bands_and_strangers_in_them(spark, monkeypatch):
+@pytest.mark.parametrize("few", [2, 1000])
+def test_large_bands_and_strangers_in_them(spark, monkeypatch, few):
     """Bands over HEAVY: their first and last are tested first, all others that could join components after."""
     monkeypatch.setattr(simhash, "HEAVY", 3)
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK", 5)
     monkeypatch.setattr(simhash, "MINIMA", 1)
     monkeypatch.setattr(simhash, "FACTORS", simhash.FACTORS[: simhash.BANDS])
     docs = planted()
@@ -87,3 +92,24 @@ def test_rows_of_one_id_are_judged_apart(spark):
 def test_no_rows(spark):
     assert simhash.drop_near_copies(spark.createDataFrame([], DOCS)).count() == 0
     assert simhash.drop_near_copies(spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))).count() == 1
+
+
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    left, right = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 40), (30, 0, 1, 50)))
+    assert simhash.shared_counts(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+
+
+def test_edited_copies_of_one_text(spark):
+    """A star of copies that are alike to the first text and not to each other, with some that are alike to none."""
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(200)]
+    docs = {0: " ".join(base)}
+    for i in range(1, 120):
+        own = list(base)
+        for _ in range(rng.choice((1, 3, 5, 7, 9))):
+            own[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        docs[i] = " ".join(own)
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(docs.items()), DOCS)).collect()}
+    assert got == brute_kept(docs) and 1 < len(got) < 119
