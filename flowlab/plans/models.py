@@ -491,7 +491,7 @@ LIMITS, FIRST = [*range(100, 2**14, 1000), 2**14], 30
 def _resized(spark, d, limits=LIMITS):
     """Records of each setting `hi:direction`: re-cut to at most hi bytes, or (hi 0) as they are without those of one direction."""
     r = V.records(spark, d).drop("handshake_type")
-    parts = [R.resize_records(r, 50, hi, 1).withColumn("setting", F.lit(f"{hi}:0")) for hi in limits]
+    parts = [R.resize_records(r, 50, list(limits), 1).withColumn("setting", F.concat("hi", F.lit(":0"))).drop("hi")]
     parts += [r.where(F.col("direction") != side).withColumn("setting", F.lit(f"0:{side}")) for side in (-1, 1)]
     out = parts[0]
     for part in parts[1:]:
