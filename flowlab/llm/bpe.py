@@ -123,9 +123,9 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _pieces_by_group(ids: DataFrame, path: str) -> DataFrame:
-    """(grp, piece_ids, pieces) of rows (grp, id): each group's distinct ids joined with the id-to-piece table, which is
+    """(grp, piece_ids, pieces) of the distinct rows (grp, id): each group's ids joined with the id-to-piece table, which is
     broadcast (its size is that of the vocabulary)."""
-    joined = ids.distinct().join(F.broadcast(piece_table(ids.sparkSession, path)), "id")
+    joined = ids.join(F.broadcast(piece_table(ids.sparkSession, path)), "id")
     return joined.groupBy("grp").agg(F.collect_list(F.struct("id", "piece")).alias("rows")).select("grp", F.col("rows.id").alias("piece_ids"), F.col("rows.piece").alias("pieces"))
 
 
@@ -211,7 +211,8 @@ def encode_documents(docs: DataFrame, path: str, finish, schema: str) -> DataFra
 
     table = dealt.groupBy("grp").applyInPandas(words, "bucket long, grp long, words binary").groupBy("bucket").applyInPandas(encode, "grp long, bucket long, ids binary, distinct_ids array<int>")
     table = cut(table, "encoded")
-    pieces = _pieces_by_group(table.select("grp", F.explode("distinct_ids").alias("id")), path)
+    own = table.groupBy("grp").agg(F.array_distinct(F.flatten(F.collect_list("distinct_ids"))).alias("ids"))  # at most one for each token of a group
+    pieces = _pieces_by_group(own.select("grp", F.explode("ids").alias("id")), path)
     right = table.select("grp", "bucket", "ids").unionByName(pieces, allowMissingColumns=True)
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +257,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     size = encoded.agg(F.sum(F.size("ids"))).first()[0] or 0
     groups = max(partitions(encoded.sparkSession), 1 + 4 * size // GROUP)
     rows = encoded.select(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups)).alias("grp"), F.col("doc_id").cast("string").alias("doc_id"), "ids")
-    pieces = _pieces_by_group(rows.select("grp", F.explode(F.array_distinct("ids")).alias("id")), path)
+    pieces = _pieces_by_group(rows.select("grp", F.explode(F.array_distinct("ids")).alias("id")).distinct(), path)
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         own = _lookup(right)
