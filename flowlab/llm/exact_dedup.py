@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlab.llm.common import SHORT, cut, keep_rows, text_of
@@ -47,8 +47,9 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
     heavy = hashed.join(F.broadcast(winners), "digest")
     light = hashed.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    group = Window.partitionBy("digest")
-    light = light.withColumns({"keep_id": F.max("doc_id").over(group), "group_size": F.count("*").over(group)})
+    # a group is aggregated before its shuffle and joined back, so that no task has to hold one
+    rest = light.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    light = light.join(rest, "digest").select(heavy.columns)
     return heavy.unionByName(light).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
