@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import bpe, exact_dedup, langid, lexical, media, packing, secret_scan, simhash, substring, toxicity, url_filter
+from flowlab.llm import alignment, bpe, exact_dedup, langid, lexical, media, packing, secret_scan, simhash, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_best_fit_packing, op4_bpe_round_trip, op5_simhash_near_dedup, op6_toxicity, op7_substring_dedup, op8_language_id, op9_media_columns, op10_exact_dedup, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_best_fit_packing, op4_bpe_round_trip, op5_simhash_near_dedup, op6_toxicity, op7_substring_dedup, op8_language_id, op9_media_columns, op10_exact_dedup, op12_token_alignment, op13_ranked_search)}
 
 #: One kind of secret spans: matches and gaps by the kind's pattern, positions by running lengths.
 _SPANS = """
