@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.llm import alignment, bpe, exact_dedup, langid, lexical, media, packing, secret_scan, simhash, substring, toxicity, url_filter
+from flowlab.llm import alignment, bpe, exact_dedup, langid, lexical, media, packing, secret_scan, simhash, substring, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -62,7 +66,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_best_fit_packing, op4_bpe_round_trip, op5_simhash_near_dedup, op6_toxicity, op7_substring_dedup, op8_language_id, op9_media_columns, op10_exact_dedup, op12_token_alignment, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_best_fit_packing, op4_bpe_round_trip, op5_simhash_near_dedup, op6_toxicity, op7_substring_dedup, op8_language_id, op9_media_columns, op10_exact_dedup, op11_suffix_dedup, op12_token_alignment, op13_ranked_search)}
 
 #: One kind of secret spans: matches and gaps by the kind's pattern, positions by running lengths.
 _SPANS = """
@@ -97,6 +101,18 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FRO
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)""",
     "op10_exact_dedup": """SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
 doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256 FROM documents""",
+    # bytes as pairs of hex digits
+    "op11_suffix_dedup": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, unnest(range(length(h) // 2 - 99)) AS p FROM d),
+hashed AS (SELECT doc_id, p, md5(h[2 * p + 1:2 * p + 200]) AS m FROM windows JOIN d USING (doc_id)),
+hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) AS k FROM hashed) WHERE k > 1),
+runs AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS new FROM hits)),
+gone AS (SELECT doc_id, run, min(p) AS s, max(p) + 100 AS e FROM runs GROUP BY ALL),
+pieces AS (SELECT doc_id, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY s) UNION ALL SELECT doc_id, max(e), max(length(h)) FROM gone JOIN d USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(h[2 * s + 1:2 * e], '' ORDER BY s) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n, count(*) AS spans FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op13_ranked_search": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 words AS (SELECT r, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
 tf AS (SELECT r, term, count(*) AS tf FROM words GROUP BY ALL), len AS (SELECT r, sum(tf) AS n FROM tf GROUP BY r),
