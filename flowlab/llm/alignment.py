@@ -19,9 +19,9 @@ from flowlab.llm.bpe import piece_bytes
 from flowlab.llm.common import map_rows, new_table, partitions, release, text_of, write
 
 #: Characters of documents whose pairs are one sorted run, and documents of a run at most.
-RUN_CHARS, RUN_DOCS = 4_000_000, 50_000
-#: Distinct words whose tokens a task holds.
-WORDS = 250_000
+RUN_CHARS, RUN_DOCS = 3_000_000, 50_000
+#: Distinct words whose tokens a task holds, and how many new ones are encoded as one text.
+WORDS, TOGETHER = 200_000, 20_000
 #: Characters of the corpus for each radix part: with more data there are more parts, until each A id is one.
 PART_CHARS = 16_000_000
 #: Runs that are merged at once.
@@ -30,6 +30,7 @@ FAN_IN = 256
 #: Where a text has to be cut with care: its first space, or a space behind white space.
 ODD = re.compile(r"\A |\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
+SPACE = re.compile(r"\s")
 
 _loaded: dict = {}
 
@@ -60,7 +61,7 @@ class Aligner:
             # what no text gives has no bytes, so a text that holds it has no tokens
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else b"" if self.b.is_unknown(i) or self.b.is_control(i) else piece.replace("▁", " ").encode())
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.names = [str(i) for i in range(max(len(self.bytes_a), self.size_b))]
+        self.names = [f"{i}{sign}" for i in range(max(len(self.bytes_a), self.size_b)) for sign in ",|;"]
         self.forget()
 
     def forget(self) -> None:
@@ -75,20 +76,54 @@ class Aligner:
             return [w[1:] for w in CUT.split(" " + text)]
         return text.split(" ")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are new."""
+    def together(self, words: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Tokens of words without white space, encoded as one text: (ids of A, those of B, how many of A each word has, of B). None
+        if the tokens don't give the words back, cut where they end."""
+        text = " ".join(words)
+        raw = b" " + text.encode("utf-8", "surrogatepass")
+        bounds = np.cumsum(1 + np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)))
+        out = []
+        for ids, pieces, lengths in ((self.a.encode(" " + text, add_special_tokens=False).ids, self.bytes_a, self.length_a), (self.b.encode(text, num_threads=1), self.bytes_b, self.length_b)):
+            flat = np.array(ids, np.int64)
+            ends = np.cumsum(lengths[flat])
+            if b"".join(map(pieces.__getitem__, ids)) != raw or not len(ends):
+                return None
+            at = np.searchsorted(ends, bounds)
+            if (ends[at] != bounds).any():
+                return None
+            out.append((flat, np.diff(at, prepend=-1)))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
+
+    def alone(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """The same for any words, one by one, and which of them the tokens of both give back; the others have no tokens."""
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         ids_b = [b if w else self.space_b for w, b in zip(words, self.b.encode(words, num_threads=1))]  # a single space at the end
         raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
         good = [b"".join(map(self.bytes_a.__getitem__, a)) == r and b"".join(map(self.bytes_b.__getitem__, b)) == r for a, b, r in zip(ids_a, ids_b, raw)]
-        n = len(words)
         empty: list = []
         ids_a, ids_b = ([x if ok else empty for x, ok in zip(ids, good)] for ids in (ids_a, ids_b))
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(words)) for ids in (ids_a, ids_b))
         flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, int(k.sum())) for ids, k in ((ids_a, n_a), (ids_b, n_b)))
+        return flat_a, flat_b, n_a, n_b, np.array(good, bool)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are new: those without white space as one text for each TOGETHER of them."""
+        plain, odd = [], []
+        for w in words:
+            (odd if not w or SPACE.search(w) else plain).append(w)
+        for start in range(0, len(plain), TOGETHER):
+            part = plain[start : start + TOGETHER]
+            found = self.together(part)
+            self._keep(part, *(found if found else self.alone(part)))
+        if odd:
+            self._keep(odd, *self.alone(odd))
+
+    def _keep(self, words: list[str], flat_a: np.ndarray, flat_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, good: np.ndarray | None = None) -> None:
+        n = len(words)
         # both sides of the good words have the same bytes: common ends are common in all words put together
         end_a, end_b = np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])
-        ends = np.intersect1d(end_a, end_b)
+        at = np.minimum(np.searchsorted(end_b, end_a), max(len(end_b) - 1, 0))
+        ends = end_a[end_b[at] == end_a] if len(end_b) else end_a
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
         word_of_a = np.repeat(np.arange(n), n_a)
@@ -112,15 +147,14 @@ class Aligner:
         # tokens in order of group, side and place, each followed by the sign between it and the next
         side = np.r_[np.zeros(len(flat_a), np.int64), np.ones(len(flat_b), np.int64)]
         of = np.r_[group_a, group_b]
-        order = np.lexsort((side, of))
+        order = np.argsort(2 * of + side, kind="stable")
         ids, of, side = np.r_[flat_a, flat_b][order], of[order], side[order]
-        sign = np.where(of[1:] != of[:-1], 2, np.where(side[1:] != side[:-1], 1, 0)).tolist() + [2]
-        parts = [self.names[i] + ",|;"[s] for i, s in zip(ids.tolist(), sign)]
+        sign = np.where(of[1:] != of[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
+        parts = list(map(self.names.__getitem__, (3 * ids + np.r_[sign, np.full(min(1, len(ids)), 2)]).tolist()))
         stop = np.cumsum(n_a + n_b).tolist()
-        begin = 0
-        for ok, end in zip(good, stop):
-            self.groups.append("".join(parts[begin:end])[:-1] if ok else None)
-            begin = end
+        self.groups += ["".join(parts[begin:end])[:-1] for begin, end in zip([0, *stop], stop)]
+        for i in np.flatnonzero(~good) if good is not None else ():
+            self.groups[i - n] = None
         self.counts = np.concatenate([self.counts, counts])
         self.known.update(zip(words, range(len(self.known), len(self.known) + n)))
 
