@@ -113,10 +113,10 @@ class PartTable:
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """Pieces of every row of docs: doc_id, piece, start, length, ids_crc32. Each document's ids are
-    closed by end_id; only those longer than capacity are cut."""
+    """Pieces of every row of docs: doc_id, piece, start, length, ids_crc32, and salt, the row's number in its task. Each document's
+    ids are closed by end_id; only those longer than capacity are cut."""
 
-    def pieces(table, doc_ids, texts):
+    def pieces(table, doc_ids, texts, row):
         ids, counts = table.encode(texts)
         ids = np.insert(ids, np.cumsum(counts), end_id)
         counts = counts + 1
@@ -126,22 +126,23 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096)
         length = np.minimum(np.repeat(counts, many) - start, capacity)
         begin = np.repeat(np.cumsum(counts) - counts, many) + start
         crc = [zlib.crc32(ids[a:b].data) for a, b in zip(begin.tolist(), (begin + length).tolist())]
-        columns = [doc_ids.take(pa.array(np.repeat(np.arange(len(doc_ids)), many))), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+        columns = [doc_ids.take(pa.array(np.repeat(np.arange(len(doc_ids)), many))), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.repeat(row + np.arange(len(doc_ids)), many))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     def work(batches):
-        table = PartTable(path)
+        table, row = PartTable(path), 0
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text")
             part = np.cumsum(pc.binary_length(texts).to_numpy()) // CHUNK
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b > a:
-                    yield pieces(table, doc_ids.slice(a, b - a), texts.slice(a, b - a))
+                    yield pieces(table, doc_ids.slice(a, b - a), texts.slice(a, b - a), row + a)
+            row += len(batch)
         del table
         release()
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, salt long"
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(work, schema)
 
 
@@ -185,15 +186,17 @@ def _pack(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFrame:
-    """pieces with sequence_id and offset.
+    """pieces (doc_id, piece, length, ids_crc32, salt) with sequence_id and offset, without salt.
 
-    Blocks of about `block` pieces, dealt by a hash, are packed in a task each. The sequences with
+    Blocks of about `block` pieces, dealt by a hash of all these columns, are packed in a task each: rows without a doc_id, or that repeat
+    one, even with one text, are told apart by their salt. The sequences with
     over FULL of their room left are opened again, and their pieces, a small share, are packed in
     bigger blocks of their own. Sequence numbers: the block in the upper half, odd in the second round."""
     columns, kind = pieces.columns, dict(pieces.dtypes)["doc_id"]
+    kept = [c for c in columns if c != "salt"]
     count = max(1, -(-pieces.count() // block))
     pieces = pieces.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
-    deal = F.xxhash64("doc_id", "piece")
+    deal = F.xxhash64("doc_id", "piece", "ids_crc32", "length", "salt")
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", block long, sequence_id long, offset long, room long"
     first = cut(pieces.withColumn("block", 2 * F.pmod(deal, F.lit(count))).groupBy("block").applyInPandas(lambda f: _pack(f, capacity), schema), "packed")
     small = F.col("room") > int(FULL * capacity)
@@ -201,7 +204,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, block: int = BLOCK) -> DataFra
     left = max(1, -(-rest.count() // block))
     second = rest.withColumn("block", 2 * F.pmod(deal, F.lit(left)) + 1).groupBy("block").applyInPandas(lambda f: _pack(f, capacity), schema)
     packed = first.where(~small).unionByName(second).withColumn("doc_id", F.col("doc_id").cast(kind))
-    return packed.select(*columns, "sequence_id", "offset")
+    return packed.select(*kept, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:

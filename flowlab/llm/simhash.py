@@ -104,19 +104,20 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2) -> Da
     (16 hex digits), component_id (the smallest doc_id reachable over links, itself included), links
     (other distinct fingerprints linked directly).
 
-    Documents with one fingerprint form a class at once; only distinct fingerprints meet in the
-    trie, so a group of copies is one trie leaf however large it is. A null or empty text, or
-    one of white space, has fingerprint 0, linked like any other. Rows that repeat a doc_id
-    repeat in the result. An empty table gives no rows."""
+    Rows with one fingerprint form a class at once; only distinct fingerprints meet in the trie, and components are those of
+    fingerprints, so a group of copies is one trie leaf however large it is. A row without a doc_id links like any other, but gives
+    no name: its component_id is the smallest doc_id of the others, null where there is none. Rows that repeat a doc_id with other texts are
+    rows of their own: each has the component of its own fingerprint. A null or empty text, or one of white space, has fingerprint 0. An
+    empty table gives no rows. doc_id may be of any type that has an order."""
     marks = cut(fingerprints(docs, shingle), "fingerprints")
     classes = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     pairs = cut(trie_pairs(classes, budget), "pairs", SHORT)
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("links"))
-    a, b = (classes.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
-    links = pairs.join(a, "a").join(b, "b").select(F.col("first_a").cast("long").alias("a"), F.col("first_b").cast("long").alias("b"))
-    found = components(links)
-    labelled = classes.join(found, classes["first"] == found["node"], "left").join(ends, "fp", "left")
-    labelled = labelled.select("fp", F.coalesce("component", "first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    found = components(pairs)
+    linked = cut(classes.join(found, classes["fp"] == found["node"]).select("fp", "first", "component"), "linked", SHORT)
+    names = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(names, "component").select("fp", "least").join(ends, "fp")
+    labelled = classes.join(linked, "fp", "left").select("fp", F.when(F.col("links").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     return marks.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 

@@ -184,6 +184,17 @@ def test_packing(tables):
         assert len(by_sequence) <= 1.01 * total / 4096 + 2
 
 
+def test_packing_deals_rows_without_or_with_one_id(spark):
+    """4,000 pieces of rows without a doc_id, or of one doc_id and one text, are in blocks of about 100."""
+    for first in ("null", "7"):
+        docs = spark.sql(f"SELECT CAST({first} AS BIGINT) AS doc_id, 'some words of a text' AS text FROM range(0, 4000, 1, 3)")
+        got = packing.pack(packing.cut(packing.tokenise(docs, WORD, capacity=64), "pieces"), 64, block=100)
+        sizes = [r.n for r in got.groupBy((F.col("sequence_id") / (1 << 33)).cast("long").alias("block")).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 400 and len(sizes) > 10
+        full = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+        assert all(r.n == r.end <= 64 for r in full)
+
+
 def test_sum_of_squares_choice():
     rng = np.random.default_rng(1)
     for capacity in (10, 37):
@@ -252,6 +263,32 @@ def test_simhash(tables):
             assert (r["fingerprint"], r["component_id"]) == (f"{values[r['doc_id']]:016x}", label[r["doc_id"]])
 
 
+def test_simhash_rows_without_or_with_repeated_ids(spark, monkeypatch):
+    """A class without a doc_id is a bridge; rows that repeat a doc_id with other texts are told apart."""
+    marks = [(1, 0), (None, 3), (2, 15), (None, 1 << 40), (None, 1 << 40), (7, 0b11 << 50), (7, 0b1111 << 50), (9, 0b1111 << 50), (7, -1), (5, -1), (8, 0b1111 << 20), (8, -2), (4, 0b1111 << 20)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: spark.createDataFrame(marks, "doc_id long, fp long"))
+    got = sorted(((r.doc_id, int(r.fingerprint, 16)), r.component_id) for r in simhash.simhash_components(None).collect() if r.doc_id is not None)
+    labels = list(range(len(marks)))
+    for _ in marks:
+        for i, (_, a) in enumerate(marks):
+            for j, (_, b) in enumerate(marks):
+                if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+                    labels[i] = labels[j] = min(labels[i], labels[j])
+    least = {k: min((d for (d, _), x in zip(marks, labels) if x == k and d is not None), default=None) for k in labels}
+    assert got == sorted(((d, v & (1 << 64) - 1), least[k]) for (d, v), k in zip(marks, labels) if d is not None)
+    assert least[0] == 1 and ((2, 15), 1) in got
+    lone = {(r.fingerprint, r.component_id) for r in simhash.simhash_components(None).collect() if r.doc_id is None}
+    assert lone == {(f"{3:016x}", 1), (f"{1 << 40:016x}", 1)}
+
+
+def test_simhash_of_null_and_text_ids(spark):
+    texts = ["one two three four", "one two three four", None, "five six seven", "five six seven"]
+    for kind, ids in (("long", [3, None, None, None, None]), ("string", ["b", "a", None, None, "z"])):
+        got = [(r.doc_id, r.component_id) for r in simhash.simhash_components(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")).collect()]
+        least = {t: min((i for i, u in zip(ids, texts) if u == t and i is not None), default=None) for t in texts}
+        assert sorted(got, key=str) == sorted(((i, least[t]) for i, t in zip(ids, texts)), key=str)
+
+
 def test_trie_finds_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(1 << 63), 1 << 63, 60, dtype=np.int64).tolist() + [0, -1]
