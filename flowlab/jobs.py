@@ -19,7 +19,7 @@ from flowlab.operators import reassembly as R
 from flowlab.operators import selection as P
 from flowlab.operators import similarity as S
 from flowlab.operators import windows as W
-from flowlab.streaming import stateful as ST
+from flowlab.streaming import ordered as O
 
 
 @dataclass(frozen=True)
@@ -130,12 +130,15 @@ def similarity(words: DataFrame) -> dict[str, DataFrame]:
     return {"pairs": pairs, "summary": S.similarity_summary(pairs), "matrix": S.distance_matrix(pairs), "median": S.median_sequence(words)}
 
 
-def online_classify(stream: DataFrame, model, n: int) -> DataFrame:
-    """(flow_id, model_label, score, member) of streamed symbols (flow_id, frame_number, time_epoch, symbol) once a flow has n of them, under
-    the chains of an `ano` model. A model has a row for each label and pair of symbols and goes to the tasks."""
+def online_classify(packets: DataFrame, model, n: int, symbol, max_packets: int, idle: float = 5.0, pause: float = 1.0) -> DataFrame:
+    """(ts, flow_id, label, votes, enter, seconds) of a stream of packets with a watermark on ts (flow_id, frame_number, payload_len,
+    handshake_type, direction, tcp_seq, tcp_len, content_type): admission, record detection, symbols, the chains of an `ano` model after n symbols or at
+    the flow's end, and the fan-in of their decisions, with the time since the flow's admission. `symbol` makes a symbol of direction, size and
+    content_type. A model has a row for each label and pair of symbols and goes to the tasks. A table of packets gives what the stream does."""
     kind, (edges, limits) = model
     table = {(r.label, r.tail, r.head): r.prob for r in edges.collect()}
-    return ST.online_chain(stream, table, n, {r.model_label: r.threshold for r in limits.collect()})
+    run = O.classify_packets if packets.isStreaming else O.classify_table
+    return run(packets, table, n, {r.model_label: r.threshold for r in limits.collect()}, symbol, max_packets, idle, pause)
 
 
 def nf_report(stats: DataFrame) -> dict[str, DataFrame]:

@@ -1,17 +1,10 @@
-"""Per-flow state machines on Structured Streaming. Rows of a flow are put in order within each micro-batch.
-
-With `expire`, seconds, a flow that has been silent for so long, as the watermark of the event time `ts` tells, loses its state by
-a timer. Its last rows then come out as well, where an operator has some."""
+"""Streams of Spark's own stateful operators: windows, sessions, joins of two streams, and how a stream is read and run. State machines
+over the rows of a flow are in `ordered`."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlab.sources.storage import new_table
 
@@ -53,142 +46,6 @@ def with_lateness(stream: DataFrame, delay: str, column: str = "ts") -> DataFram
     return stream.withWatermark(column, delay)
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(["time_epoch", "frame_number"], ignore_index=True)
-
-
-def _stateful(stream: DataFrame, step, out: str, state: str, keys=("flow_id",), expire: float | None = None, at_end=None) -> DataFrame:
-    """step(rows, old state or None) -> (rows out, new state). The state holds what the flow has done so far; idle times are
-    judged by the rows' own times, so a replay gives the same rows. at_end(key, state) gives the rows of a flow whose
-    timer has run out."""
-
-    def work(key, frames, held: GroupState):
-        if held.hasTimedOut:
-            old = held.get
-            held.remove()
-            if at_end is not None:
-                yield at_end(key, old)
-            return
-        rows = _ordered(frames)
-        got, new = step(rows, held.get if held.exists else None)
-        held.update(new)
-        if expire is not None:
-            held.setTimeoutTimestamp(max(int((rows["time_epoch"].iat[-1] + expire) * 1000), held.getCurrentWatermarkMs() + 1))
-        yield got
-
-    kind = GroupStateTimeout.NoTimeout if expire is None else GroupStateTimeout.EventTimeTimeout
-    return stream.groupBy(*keys).applyInPandasWithState(work, out, state, "append", kind)
-
-
-def admit(stream: DataFrame, max_packets: int, idle: float = 5.0, expire: float | None = None) -> DataFrame:
-    """Packets (flow_id, frame_number, time_epoch, payload_len, handshake_type) of open flows: a ClientHello opens a flow, it ends
-    after max_packets or when no packet came for `idle` seconds; packets without payload are passed over."""
-
-    def step(rows, old):
-        count, last, is_open = old or (0, 0.0, 0)
-        out = []
-        for n, t, size, kind in zip(rows["frame_number"], rows["time_epoch"], rows["payload_len"], rows["handshake_type"]):
-            if size <= 0:
-                continue
-            if is_open and t - last > idle:
-                is_open = 0
-            if not is_open and kind == 1:
-                is_open, count = 1, 0
-            if is_open:
-                count, last = count + 1, t
-                out.append((rows["flow_id"].iat[0], n, t, count))
-                if count >= max_packets:
-                    is_open = 0
-        return pd.DataFrame(out, columns=["flow_id", "frame_number", "time_epoch", "place"]), (count, last, is_open)
-
-    kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, frame_number long, time_epoch double, place int", "count int, last double, open int", expire=expire)
-
-
-def detect_records(stream: DataFrame, idle: float = 1.0, expire: float | None = None) -> DataFrame:
-    """Feature rows of in-sequence packets (flow_id, direction, frame_number, time_epoch, tcp_seq, tcp_len, content_type): out-of-
-    sequence packets are dropped; a pause of over `idle` seconds puts an end row (direction 0) before the next packet. A flow whose
-    timer runs out has its end row then, with frame number -1."""
-
-    def step(rows, old):
-        up, down, last = old or (-1, -1, 0.0)
-        out = []
-        for n, t, d, seq, size, kind in zip(rows["frame_number"], rows["time_epoch"], rows["direction"], rows["tcp_seq"], rows["tcp_len"], rows["content_type"]):
-            if last and t - last > idle:
-                out.append((rows["flow_id"].iat[0], n, 0, 0, 0))
-                up = down = -1
-            want = up if d < 0 else down
-            if want in (-1, seq):
-                out.append((rows["flow_id"].iat[0], n, d, size, kind))
-                up, down = (seq + size, down) if d < 0 else (up, seq + size)
-            last = t
-        return pd.DataFrame(out, columns=["flow_id", "frame_number", "direction", "size", "content_type"]), (up, down, last)
-
-    kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, frame_number long, direction int, size int, content_type int", "up long, down long, last double", expire=expire, at_end=lambda key, old: pd.DataFrame([(key[0], -1, 0, 0, 0)], columns=["flow_id", "frame_number", "direction", "size", "content_type"]))
-
-
-def online_chain(stream: DataFrame, edges: dict[tuple[str, str, str], float], n: int, thresholds: dict[str, float], default: float = 1e-6, expire: float | None = None) -> DataFrame:
-    """(flow_id, model_label, score, member) once a flow has n symbols (rows flow_id, frame_number, time_epoch, symbol): a first-order
-    chain per label, scored as symbols arrive. The edge table of a model set is small and travels with the code."""
-    labels = sorted(thresholds)
-    table = {k: float(np.log(p)) for k, p in edges.items()}
-    miss = float(np.log(default))
-
-    def step(rows, old):
-        count, prev, sums = old or (0, "START", [0.0] * len(labels))
-        sums, out = list(sums), []
-        for s in rows["symbol"]:
-            if count >= n:
-                break
-            sums = [x + table.get((label, prev, s), miss) for x, label in zip(sums, labels)]
-            prev, count = s, count + 1
-            if count == n:
-                out = [(rows["flow_id"].iat[0], label, x, bool(x >= thresholds[label])) for label, x in zip(labels, sums)]
-        return pd.DataFrame(out, columns=["flow_id", "model_label", "score", "member"]), (count, prev, sums)
-
-    kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, model_label string, score double, member boolean", "count int, prev string, sums array<double>", expire=expire)
-
-
-def online_phmm(stream: DataFrame, models: dict, n: int, expire: float | None = None) -> DataFrame:
-    """(flow_id, model_label, score) once a flow has n symbols (rows with `id`): the state is the flow's first symbols; with
-    the n-th they are scored under each label's profile."""
-    from flowlab.operators.hmm import LOWEST, Profile
-
-    flat = {k: (m.length, m.size, m.flat()) for k, m in models.items()}
-
-    def step(rows, old):
-        before = list(old[0]) if old else []
-        ids = (before + rows["id"].tolist())[:n]
-        out = []
-        if len(ids) == n and len(before) < n:
-            for k, v in flat.items():
-                score = Profile.of(*v).forward(np.array([ids]), np.array([n]))[1][0]
-                out.append((rows["flow_id"].iat[0], k, float(max(score, LOWEST))))
-        return pd.DataFrame(out, columns=["flow_id", "model_label", "score"]), (ids,)
-
-    kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, model_label string, score double", "ids array<int>", expire=expire)
-
-
-def votes(stream: DataFrame, num_models: int, expire: float | None = None) -> DataFrame:
-    """(flow_id, votes): the sum of the first num_models decisions (rows flow_id, frame_number, time_epoch, decision) of a flow."""
-
-    def step(rows, old):
-        count, total = old or (0, 0)
-        out = []
-        for d in rows["decision"]:
-            if count < num_models:
-                count, total = count + 1, total + int(d)
-                if count == num_models:
-                    out.append((rows["flow_id"].iat[0], total))
-        return pd.DataFrame(out, columns=["flow_id", "votes"]), (count, total)
-
-    kind = dict(stream.dtypes)["flow_id"]
-    return _stateful(stream, step, f"flow_id {kind}, votes long", "count int, total long", expire=expire)
-
-
 def idle_sessions(stream: DataFrame, gap: str, key: str = "flow_id") -> DataFrame:
     """Sessions of a flow without a pause of `gap`: grouped by the window expression itself."""
     own = F.session_window("ts", gap)

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowlab import jobs
 from flowlab.operators.hmm import Profile
 from flowlab.plans import streams
 from flowlab.sources import readers as R
+from flowlab.streaming import ordered as O
 from flowlab.streaming import stateful as ST
 
 
@@ -40,26 +42,30 @@ def test_admission(spark, small, rows):
     assert sorted(got) == sorted(want) and got
 
 
+def plain_stream(spark, small, *columns):
+    return streams.packets(spark, small).select("ts", "flow_id", "frame_number", *columns)
+
+
 def test_online_profile_equals_batch(spark, small, rows):
-    models = {"a": Profile.start(3, 3, 1), "b": Profile.start(3, 3, 2)}
-    stream = streams.frames(spark, small).select("flow_id", "frame_number", "time_epoch", (F.col("tcp_length") % 3).cast("int").alias("id"))
-    got = {(r.flow_id, r.model_label): r.score for r in ST.run_available(ST.online_phmm(stream, models, 4)).collect()}
+    """The forward columns give the batch score of every prefix, for profiles of different lengths."""
+    models = {"a": Profile.start(3, 3, 1), "b": Profile.start(5, 3, 2)}
+    stream = plain_stream(spark, small, (F.col("tcp_length") % 3).cast("int").alias("id"))
+    machine = O.OnlineProfile(models, 7, every=True)
+    got = {(r.flow_id, r.place, r.model_label): r.score for r in O.run_closed(stream, "1 hour", lambda s: O.ordered(s, machine)).rows.collect()}
     want = {}
     for flow, own in rows.groupby("flow_id"):
-        ids = (own["size"] % 3).tolist()[:4]
-        if len(ids) == 4:
-            for k, m in models.items():
-                want[flow, k] = m.forward(np.array([ids]), np.array([4]))[1][0]
+        ids = (own["size"] % 3).tolist()[:7]
+        for k, m in models.items():
+            for n in range(1, len(ids) + 1):
+                want[flow, n, k] = m.forward(np.array([ids[:n]]), np.array([n]))[1][0]
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
-def test_record_detector_drops_out_of_sequence(spark, tmp_path):
+def test_record_detector_drops_out_of_sequence(spark):
     data = [(1, 1, 0.0, -1, 0, 10, 22), (1, 2, 0.1, 1, 0, 7, 22), (1, 3, 0.2, -1, 20, 5, 23), (1, 4, 0.3, -1, 10, 5, 23), (1, 5, 9.0, -1, 99, 5, 23)]
-    schema = "flow_id long, frame_number long, time_epoch double, direction int, tcp_seq long, tcp_len int, content_type int"
-    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/in")
-    out = ST.run_available(ST.detect_records(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 1.0))
-    got = sorted((r.frame_number, r.direction, r.size) for r in out.collect())
-    assert got == [(1, -1, 10), (2, 1, 7), (4, -1, 5), (5, -1, 5), (5, 0, 0)]
+    df = spark.createDataFrame(data, "flow_id long, frame_number long, at double, direction int, tcp_seq long, tcp_len int, content_type int").withColumn("ts", F.timestamp_seconds("at"))
+    got = sorted((r.frame_number, r.direction, r.size, r.at) for r in O.replay(df, O.DetectRecords(1.0)).withColumn("at", F.unix_millis("ts")).collect())
+    assert got == [(-1, 0, 0, 1300), (-1, 0, 0, 10000), (1, -1, 10, 0), (2, 1, 7, 100), (4, -1, 5, 300), (5, -1, 5, 9000)]
 
 
 def test_flow_documents_are_completed(spark, tmp_path):
@@ -92,24 +98,61 @@ def in_files(spark, df, path, parts):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part*")
 
 
-def test_timers_over_several_batches(spark, small, tmp_path, rows):
-    """Admission of a stream in ten files, with state that goes by timers, gives what a plain pass gives."""
-    e = spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    stream = in_files(spark, e, tmp_path, F.floor((F.dayofmonth("ts") - 1) / 3))
-    stream = ST.with_lateness(stream, "1 hour").select("ts", (F.col("user_id") * 100 + F.expr("(day(ts) - 1) div 3")).alias("flow_id"), F.col("event_id").alias("frame_number"), (F.unix_micros("ts") / 1e6).alias("time_epoch"), F.floor(F.col("value") * 3).cast("int").alias("payload_len"), (F.col("event_type") == "signup").cast("int").alias("handshake_type"))
-    got = ST.run_available(ST.admit(stream, 4, 86400.0, expire=2 * 86400.0))
-    want = streams.st1(spark, small)
-    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+def disordered(spark, small):
+    """The events as packets, each of three flows' worth of columns that any machine wants, and the files they arrive in: up to two days late."""
+    f, part = streams._arriving_packets(spark, small)
+    f = f.withColumns({"symbol": streams.online_symbol("tcp_len"), "id": F.pmod("tcp_len", F.lit(3)).cast("int"), "decision": F.pmod("tcp_len", F.lit(2)).cast("int")})
+    return f.withColumn("part", part).persist()
+
+
+MACHINES = {
+    "admit": O.Admit(4, 86400.0),
+    "detect": O.DetectRecords(43200.0),
+    "chain": O.OnlineChain({("a", "START", "23;1;C"): 0.5, ("b", "23;1;C", "23;1;C"): 0.25}, 3, {"a": -30.0, "b": -20.0}, idle=86400.0),
+    "profile": O.OnlineProfile({"a": Profile.start(3, 3, 1)}, 4, idle=86400.0),
+    "votes": O.Votes(2, idle=86400.0),
+}
+
+
+@pytest.mark.parametrize("name", sorted(MACHINES))
+@pytest.mark.parametrize("parts", [1, 5])
+def test_any_split_gives_the_batch_result(spark, small, name, parts):
+    rows = disordered(spark, small)
+    columns = ["ts", "flow_id", *O.names_of(MACHINES[name].rows)]
+    part = F.floor(F.col("part") * parts / 7) if parts == 5 else F.lit(0)
+    stream = O.arriving(rows.select(*columns, part.alias("file")), F.col("file"), parts).drop("file")
+    got = O.run_closed(stream, "3 days", lambda s: O.ordered(s, MACHINES[name]))
+    want = O.replay(rows, MACHINES[name])
+    assert got.late == 0 and got.rows.count() == want.count() > 100
+    assert got.rows.exceptAll(want).count() == 0
+
+
+def test_a_row_behind_the_watermark_is_dropped_and_counted(spark):
+    data = [(0, 1, 1, 100.0), (0, 1, 2, 200.0), (1, 1, 3, 5000.0), (2, 1, 4, 5100.0), (3, 1, 5, 150.0), (3, 1, 6, 5050.0)]
+    df = spark.createDataFrame(data, "file int, flow_id long, frame_number long, at double").select("file", F.timestamp_seconds("at").alias("ts"), "flow_id", "frame_number", F.lit(1).alias("decision"))
+    ran = O.run_closed(O.arriving(df, F.col("file"), 4).drop("file"), "100 seconds", lambda s: O.ordered(s, O.Votes(5)))
+    assert ran.late == 1 and [(r.flow_id, r.votes) for r in ran.rows.collect()] == [(1, 5)]
 
 
-def test_a_silent_flow_ends_by_its_timer(spark, tmp_path):
+def test_a_silent_flow_ends_and_begins_anew(spark):
     data = [(1, 1, 1000.0, -1, 0, 10, 22), (2, 2, 1000.5, -1, 0, 10, 22), (2, 3, 1100.0, -1, 10, 5, 23), (3, 4, 1500.0, -1, 0, 5, 23), (3, 5, 1900.0, -1, 5, 5, 23)]
-    df = spark.createDataFrame(data, "flow_id long, frame_number long, time_epoch double, direction int, tcp_seq long, tcp_len int, content_type int").withColumn("ts", F.timestamp_seconds("time_epoch"))
-    stream = ST.with_lateness(in_files(spark, df, tmp_path, F.col("frame_number")), "1 second")
-    got = ST.run_available(ST.detect_records(stream, 1.0, expire=1.0)).collect()
-    # flows 1 and 2 are silent; 2 speaks again as a new flow; 3 begins, is silent and speaks again
-    ends = sorted((r.flow_id, r.frame_number) for r in got if r.direction == 0)
-    assert [flow for flow, _ in ends] == [1, 2, 2, 3] and sum(r.direction != 0 for r in got) == 5
+    df = spark.createDataFrame(data, "flow_id long, frame_number long, at double, direction int, tcp_seq long, tcp_len int, content_type int").withColumn("ts", F.timestamp_seconds("at"))
+    for parts in (1, 6):
+        got = O.run_closed(O.arriving(df, F.col("frame_number") % parts, parts), "1 second", lambda s: O.ordered(s, O.DetectRecords(1.0))).rows.collect()
+        ends = sorted((r.flow_id, r.ts.timestamp() % 10000) for r in got if r.direction == 0)
+        assert [flow for flow, _ in ends] == [1, 2, 2, 3, 3] and sum(r.direction != 0 for r in got) == 5
+
+
+def test_online_classification_equals_its_batch_twin(spark, small):
+    """Four machines in one query over files in disorder, against the same over the table and against jobs.online_classify."""
+    got = streams.st10(spark, small)
+    table, limits = streams._chains(spark, small)
+    rows, _ = streams._arriving_packets(spark, small)
+    want = O.classify_table(rows, table, 4, limits, streams.online_symbol(), 12, 86400.0, 43200.0).drop("ts")
+    assert got.count() == want.count() > 100 and got.exceptAll(want).count() == 0
+    edges = spark.createDataFrame([(*k, v) for k, v in table.items()], "label string, tail string, head string, prob double")
+    model = "ano", (edges, spark.createDataFrame(list(limits.items()), "model_label string, threshold double"))
+    assert jobs.online_classify(rows, model, 4, streams.online_symbol(), 12, 86400.0, 43200.0).drop("ts").exceptAll(want).count() == 0
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
