@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.text import flow_key, record_type_name
+from flowlab.operators.quantiles import with_percentiles
 from flowlab.operators.windows import running
+from flowlab.sources.storage import materialise
 
 
 def frame_counts(frames: DataFrame, key: str = "flow_id") -> DataFrame:
@@ -30,14 +34,15 @@ def handshake_counts(frames: DataFrame, key: str = "flow_id") -> DataFrame:
 def summary8(df: DataFrame, key: str, value: str, log2: bool = False) -> DataFrame:
     """min, p01, p05, median, mean, p95, p99, max of each key; log2: also of the logarithms (zeros are left out
     there). Exact percentiles, by linear interpolation. A key without values has the summary of one 0."""
-    def stats(v, prefix, empty):
-        p = F.percentile(v, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.5, 0.95, 0.99)]))
-        named = [F.min(v).alias("min"), *[F.get(p, i).alias(n) for i, n in enumerate(("p01", "p05", "median", "p95", "p99"))], F.avg(v).alias("mean"), F.max(v).alias("max")]
-        return [F.coalesce(c.cast("double"), F.lit(empty)).alias(prefix + n) for c, n in zip(named, ("min", "p01", "p05", "median", "p95", "p99", "mean", "max"))]
-
     v = F.col(value).cast("double")
-    cols = stats(v, "", 0.0) + (stats(F.when(v > 0, F.log2(v)), "log_", None) if log2 else [])
-    return df.groupBy(key).agg(*cols)
+    columns = {"": v} | ({"log_": F.when(v > 0, F.log2(v))} if log2 else {})
+    plain = [f(c).alias(f"__{prefix}{n}") for prefix, c in columns.items() for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
+    found = with_percentiles(df, [key], {f"__{prefix}p": c for prefix, c in columns.items()}, (0.01, 0.05, 0.5, 0.95, 0.99), plain)
+    out = []
+    for prefix in columns:
+        own = {n: F.col(f"__{prefix}{n}") for n in ("min", "mean", "max")} | {n: F.get(f"__{prefix}p", i) for i, n in enumerate(("p01", "p05", "median", "p95", "p99"))}
+        out += [F.coalesce(own[n].cast("double"), F.lit(None if prefix else 0.0)).alias(prefix + n) for n in ("min", "p01", "p05", "median", "p95", "p99", "mean", "max")]
+    return found.select(key, *out)
 
 
 def size_lists(frames: DataFrame, key: str = "flow_id") -> DataFrame:
@@ -97,7 +102,16 @@ def histogram(df: DataFrame, key: str, value: str, bins: int, log: bool = False)
     return rows.join(F.broadcast(edges)).groupBy(key, F.coalesce(at, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def urls_by_host(urls: DataFrame, host) -> DataFrame:
+def urls_of_hosts(urls: DataFrame, host) -> DataFrame:
+    """(host, id): one row for each url, whatever number a host has."""
+    return urls.select(host.alias("host"), "id")
+
+
+def urls_by_host(urls: DataFrame, host, most: int = 100_000) -> DataFrame:
+    """(host, ids): the urls of each host in one array. Hosts with over `most` urls are an error: urls_of_hosts has them in rows."""
+    largest = urls.groupBy(host.alias("host")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a host has {largest} urls, more than {most}: use urls_of_hosts")
     return urls.groupBy(host.alias("host")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
@@ -111,28 +125,69 @@ def size_overhead(before: DataFrame, after: DataFrame, key: str = "flow_id", val
     return a.join(b, key).agg(F.avg(F.col("after") / F.col("before")).alias("overhead"))
 
 
-#: Cumulative probabilities of 0, 1, 2, ... draws of a row in a resample: a Poisson distribution of mean 1.
-DRAWS = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12))
+#: Distinct values of a key that one task of a bootstrap holds, and draws that it keeps at once.
+VALUES, DRAWS = 4096, 1 << 22
+
+
+def _seed(seed: int, *names) -> list[int]:
+    """A generator's seed from names: the same in every run and on every machine."""
+    return list(hashlib.sha256(repr((seed, *names)).encode()).digest()[:16])
+
+
+def bootstrap_weights(df: DataFrame, key: str, value: str, b: int, seed: int, salt: str = "") -> DataFrame:
+    """(key, sample, v, w): b resamples of each key, as the number of times w that its distinct values v are drawn; each resample has
+    exactly as many draws as the key has values (nulls apart).
+
+    A splitting tree: equal values are counted first, and the values of a key are cut into leaves of about VALUES. From the counts of
+    the leaves, a short table, the draws of each resample are split over the leaves, and then within a leaf over its values, both as a multinomial
+    distribution whose generator is seeded by the resample's and the leaf's name. So a leaf needs nothing but its own values and its share, a lost task
+    draws the same again, and the result does not depend on how rows are partitioned."""
+    kind = dict(df.dtypes)[key]
+    own = df.select(F.col(key).alias("__key"), F.col(value).cast("double").alias("v")).where("v is not null").groupBy("__key", "v").agg(F.count("*").alias("n"))
+    own = materialise(own, "values")
+    leaves = own.groupBy(F.col("__key").alias("__own")).agg((1 + F.count("*") / VALUES).cast("int").alias("leaves"))
+    own = own.join(leaves, F.col("__key").eqNullSafe(F.col("__own"))).select("__key", "v", "n", F.pmod(F.xxhash64("v"), F.col("leaves")).cast("int").alias("leaf"))
+    counts = own.groupBy("__key", "leaf").agg(F.sum("n").alias("n"))
+
+    def shares(frame: pd.DataFrame) -> pd.DataFrame:
+        """(leaf, shares): how many draws of each resample a leaf gets."""
+        frame = frame.sort_values("leaf", ignore_index=True)
+        name, n = frame["__key"].iat[0], frame["n"].to_numpy()
+        rng = np.random.default_rng(_seed(seed, salt, "split", str(name)))
+        drawn = rng.multinomial(int(n.sum()), n / n.sum(), size=b)
+        return pd.DataFrame({"__key": frame["__key"], "leaf": frame["leaf"], "shares": list(drawn.T)})
+
+    split = counts.groupBy("__key").applyInPandas(shares, f"__key {kind}, leaf int, shares array<long>").withColumnsRenamed({"__key": "__own", "leaf": "__leaf"})
+
+    def draw(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                v, n, share = np.asarray(r.vs, float), np.asarray(r.ns, float), np.asarray(r.shares, np.int64)
+                rng = np.random.default_rng(_seed(seed, salt, "leaf", str(r.name), r.leaf))
+                step = max(1, DRAWS // len(v))
+                for at in range(0, b, step):
+                    w = rng.multinomial(share[at : at + step], n / n.sum())
+                    sample, place = np.nonzero(w)
+                    yield pd.DataFrame({"name": pd.Series([r.name] * len(sample), dtype=object), "sample": at + sample + 1, "v": v[place], "w": w[sample, place]})
+
+    held = own.groupBy("__key", "leaf").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("rows"))  # about VALUES of them
+    rows = held.join(split, F.col("__key").eqNullSafe(F.col("__own")) & (F.col("leaf") == F.col("__leaf")))
+    out = rows.select(F.col("__key").alias("name"), "leaf", F.col("rows.v").alias("vs"), F.col("rows.n").alias("ns"), "shares").mapInPandas(draw, f"name {kind}, sample int, v double, w long")
+    return out.withColumnRenamed("name", key)
 
 
 def weighted_mean(v, w):
     return F.sum(v * w) / F.sum(w)
 
 
-def bootstrap_samples(df: DataFrame, key: str, value: str, b: int, seed: int, statistic=weighted_mean) -> DataFrame:
+def bootstrap_samples(df: DataFrame, key: str, value: str, b: int, seed: int, statistic=weighted_mean, salt: str = "") -> DataFrame:
     """(key, sample, m): a statistic of b resamples of each key. `statistic` makes an aggregate of a column of values and one
-    of weights, the numbers of times that a row is drawn.
-
-    Each row draws its own number of times for each resample, Poisson with mean 1, which is what drawing with replacement comes to with many
-    rows. So a row needs no other: tasks aggregate their own rows, and no key's rows are gathered in one place."""
-    rows = df.select(key, F.col(value).cast("double").alias("v")).select(key, "v", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("sample"))
-    times = sum((F.col("u") >= p).cast("int") for p in DRAWS[1:]) + (F.col("u") >= DRAWS[0]).cast("int")
-    drawn = rows.withColumn("u", F.rand(seed)).withColumn("w", times).where("w > 0")
-    return drawn.groupBy(key, "sample").agg(statistic(F.col("v"), F.col("w")).alias("m"))
+    of weights, the numbers of times that a value is drawn."""
+    return bootstrap_weights(df, key, value, b, seed, salt).groupBy(key, "sample").agg(statistic(F.col("v"), F.col("w")).alias("m"))
 
 
 def _observed(df: DataFrame, key: str, value: str, statistic) -> DataFrame:
-    rows = df.select(key, F.col(value).cast("double").alias("v"), F.lit(1).alias("w"))
+    rows = df.select(key, F.col(value).cast("double").alias("v"), F.lit(1).alias("w")).where("v is not null")
     return rows.groupBy(key).agg(statistic(F.col("v"), F.col("w")).alias("mean"))
 
 
@@ -143,10 +198,27 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, level: float = 0.95, b: in
     return _observed(df, key, value, statistic).join(spread, key).select(key, "mean", (2 * F.col("mean") - F.col("hi")).alias("low"), (2 * F.col("mean") - F.col("lo")).alias("high"))
 
 
+def _p_value(moved: DataFrame, by, side: str):
+    """moved: the resampled statistic r under the null hypothesis, and the observed one, s."""
+    below, above = (F.avg(c.cast("int")) for c in (F.col("r") <= F.col("s"), F.col("r") >= F.col("s")))
+    p = {"both": F.least(F.lit(1.0), 2 * F.least(below, above)), "less": below, "greater": above}[side]
+    return moved.groupBy(*by).agg(p.alias("p"))
+
+
 def bootstrap_test(df: DataFrame, key: str, value: str, null: float, b: int = 1000, seed: int = 1, statistic=weighted_mean, side: str = "both") -> DataFrame:
     """p-value of statistic = null: resamples recentred at null. side: `both` (twice the smaller tail), `less` or `greater`, the
     alternative that it is smaller or greater than null."""
-    moved = bootstrap_samples(df, key, value, b, seed, statistic).join(_observed(df, key, value, statistic), key).withColumn("r", F.col("m") - F.col("mean") + null)
-    below, above = (F.avg(c.cast("int")) for c in (F.col("r") <= F.col("mean"), F.col("r") >= F.col("mean")))
-    p = {"both": F.least(F.lit(1.0), 2 * F.least(below, above)), "less": below, "greater": above}[side]
-    return moved.groupBy(key).agg(p.alias("p"))
+    moved = bootstrap_samples(df, key, value, b, seed, statistic).join(_observed(df, key, value, statistic), key)
+    return _p_value(moved.select(key, (F.col("m") - F.col("mean") + null).alias("r"), F.col("mean").alias("s")), [key], side)
+
+
+def bootstrap_two_samples(first: DataFrame, second: DataFrame, key: str, value: str, b: int = 1000, seed: int = 1, statistic=weighted_mean, side: str = "both") -> DataFrame:
+    """(key, difference, p): of each key in both tables the difference of the statistic, first less second, and the p-value of it being 0. The
+    two are resampled apart, and the resampled differences are recentred at 0. side as in bootstrap_test."""
+    both = []
+    for salt, df in (("first", first), ("second", second)):
+        rows = bootstrap_samples(df, key, value, b, seed, statistic, salt).join(_observed(df, key, value, statistic), key)
+        both.append(rows.select(key, "sample", F.col("m").alias(f"m_{salt}"), F.col("mean").alias(f"s_{salt}")))
+    moved = both[0].join(both[1], [key, "sample"]).withColumn("s", F.col("s_first") - F.col("s_second"))
+    moved = moved.select(key, "s", (F.col("m_first") - F.col("m_second") - F.col("s")).alias("r"))
+    return _p_value(moved, [key, "s"], side).select(key, F.col("s").alias("difference"), "p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.operators.quantiles import with_percentiles
+
 
 def arg_best(scores: DataFrame) -> DataFrame:
     """(flow_id, predicted, score): the best score, on a tie the first label."""
@@ -23,8 +25,10 @@ def vote(neighbours: DataFrame, fraction: float | None = None, unknown: str = "u
 
 def thresholds(scores: DataFrame, q: float | None = None) -> DataFrame:
     """Per model (rows: its own label's training scores): the largest |score|; or the percentile 100 - q."""
-    how = F.max(F.abs("score")) if q is None else F.percentile("score", (100 - q) / 100)
-    return scores.groupBy("model_label").agg(how.alias("threshold"))
+    if q is None:
+        return scores.groupBy("model_label").agg(F.max(F.abs("score")).alias("threshold"))
+    found = with_percentiles(scores, ["model_label"], {"p": F.col("score")}, [(100 - q) / 100])
+    return found.select("model_label", F.get("p", 0).alias("threshold"))
 
 
 def confusion(pred: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ def entropies(resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ip_sets(resolutions: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(label, ip) twice: addresses of a label's own host (hosts: url_id, label, host), and the others seen with its urls."""
-    rows = resolutions.join(F.broadcast(hosts), "url_id")
+    """(label, ip) twice: addresses of a label's own host (hosts: url_id, label, host; as many as there are urls, so Spark decides by
+    their size how they are joined), and the others seen with its urls."""
+    rows = resolutions.join(hosts, "url_id")
     own = F.col("domain") == F.col("host")
     primary = rows.where(own).select("label", "ip").distinct()
     return primary, rows.where(~own).select("label", "ip").distinct().join(primary, ["label", "ip"], "left_anti")

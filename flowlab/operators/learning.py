@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions.symbols import edges_equal, nearest_edge
+from flowlab.sources.storage import materialise
 
 
 def edges_kmeans(df: DataFrame, value: str, k: int, seed: int = 1) -> list[float]:
@@ -129,6 +130,7 @@ def best_bin_count(frames: DataFrame, counts, largest: int = 1500) -> DataFrame:
     inside = F.col("label_a") == F.col("label_b")
     mean = lambda c: F.sum(F.when(c, F.col("dist") * F.col("n"))) / F.sum(F.when(c, F.col("n")))
     scores = pairs.groupBy(F.col("bins").cast("int").alias("bins")).agg((mean(~inside) / mean(inside)).alias("separation"))
+    scores = materialise(scores, "separations")  # a row for each count; the pairs are measured once
     top = scores.agg(F.max_by("bins", F.struct("separation", -F.col("bins"))).alias("top"))
     return scores.join(F.broadcast(top)).select("bins", "separation", (F.col("bins") == F.col("top")).alias("best"))
 

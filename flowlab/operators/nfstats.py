@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.operators.quantiles import with_percentiles
 from flowlab.operators.windows import diffs
 
 
@@ -28,6 +29,5 @@ def capacity(runs: DataFrame, by: str, size: str = "models", largest: int = 10)
 
 
 def latency_summary(ttl: DataFrame, by=()) -> DataFrame:
-    p = F.percentile("delta", F.array(*[F.lit(q) for q in (0.5, 0.95, 0.975, 0.99)]))
-    names = ("median", "p95", "p975", "p99")
-    return ttl.groupBy(*by).agg(F.avg("delta").alias("mean"), *[F.get(p, i).alias(n) for i, n in enumerate(names)])
+    found = with_percentiles(ttl, by, {"p": F.col("delta")}, (0.5, 0.95, 0.975, 0.99), [F.avg("delta").alias("mean")])
+    return found.select(*by, "mean", *[F.get("p", i).alias(n) for i, n in enumerate(("median", "p95", "p975", "p99"))])

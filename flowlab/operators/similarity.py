@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,82 +26,125 @@ def encode(seqs: DataFrame, vocab: DataFrame, key: str = "flow_id") -> DataFrame
     return seqs.join(ids.withColumn("word", F.array_join(F.transform("ids", code_symbol), "")), key)
 
 
-#: Hash blocks of words; the pairs of blocks are dealt out, so that neither one task nor one label holds all pairs.
-BLOCKS = 16
-#: Distances up to which neighbours are looked for by segments, one after another; words with too few meet all others.
-NEAR = (1, 2, 3)
-
-
-def _block(*columns: str):
-    return F.pmod(F.xxhash64(*columns), F.lit(BLOCKS)).cast("int")
-
-
-def _each_block():
-    return F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-
-
-def _segment(size, i, parts: int):
-    """(begin, length) of segment i of a word of `size` characters, cut into `parts` of about equal length, the longer ones last."""
-    base, short = F.floor(size / parts).cast("int"), parts - size % parts
-    return i * base + F.greatest(F.lit(0), i - short), base + (i >= short).cast("int")
-
-
-def within(words: DataFrame, others: DataFrame, limit: int) -> DataFrame:
-    """(word, other, dist): all pairs of words (word) and others (other) with an edit distance of `limit` or less.
-
-    A word cut into limit + 1 segments keeps one of them whole under so many edits, moved by that many places at most. So pairs
-    meet in an equi-join on (length, segment's number, segment), and only those are measured."""
-    parts, m, n = limit + 1, F.char_length("word"), F.char_length("other")
-
-    def own(i):
-        begin, size = _segment(n, i, parts)
-        return F.struct(n.alias("n"), i.alias("i"), F.substr("other", begin + 1, size).alias("part"))
-
-    def asked(size, i):
-        begin, length = _segment(size, i, parts)
-        low, high = F.greatest(F.lit(0), begin - limit), F.least(m - length, begin + limit)
-        places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda at: F.struct(size.alias("n"), i.alias("i"), F.substr("word", at + 1, length).alias("part")))
-
-    numbers = F.sequence(F.lit(0), F.lit(limit))
-    sizes = F.sequence(F.greatest(F.lit(0), m - limit), m + limit)
-    keys = F.array_distinct(F.flatten(F.flatten(F.transform(sizes, lambda size: F.transform(numbers, lambda i: asked(size, i))))))
-    left = words.select("word", F.explode(keys).alias("key")).select("word", "key.*")
-    right = others.select("other", F.explode(F.transform(numbers, own)).alias("key")).select("other", "key.*")
-    pairs = left.join(right, ["n", "i", "part"]).select("word", "other").distinct()
-    return pairs.withColumn("dist", F.levenshtein("word", "other", limit)).where("dist >= 0")
-
-
-def nearest(test: DataFrame, train: DataFrame, k: int, limits=NEAR) -> DataFrame:
+#: Pivots of a metric index: about the square root of its number of words, within these bounds.
+PIVOTS = (16, 512)
+#: Pivots whose distances stand beside each word as columns of their own.
+COLUMNS = 6
+#: Words of a ring that are one part of it; rows that a search looks at before it knows how far it has to look.
+RING, FIRST = 4096, 48
+#: A radius that holds all words.
+ALL = 1 << 30
+
+_GAUGES = [f"g{i}" for i in range(COLUMNS)]
+
+
+def _measured(words: DataFrame, column: str, pivots: list[str]) -> DataFrame:
+    """words with `v`, the distances to all pivots, and the first of them as columns."""
+    v = F.transform(F.array(*[F.lit(p) for p in pivots]), lambda p: F.levenshtein(F.col(column), p))
+    return words.withColumn("v", v).withColumns({g: F.coalesce(F.get("v", i), F.lit(0)) for i, g in enumerate(_GAUGES)})
+
+
+class MetricIndex:
+    """Words (other, n: how many rows have it), in cells about pivots and rings within a cell: a word's cell is that of its nearest
+    pivot, its ring their distance. The rings, at most the pivots times the longest word, are known to the driver, with the
+    number of rows and of parts of about RING words of each."""
+
+    def __init__(self, others: DataFrame):
+        number = others.count()
+        count = min(max(math.isqrt(number), PIVOTS[0]), PIVOTS[1])
+        self.pivots = [r.other for r in others.orderBy(F.xxhash64("other"), "other").limit(count).collect()]
+        rows = _measured(others, "other", self.pivots) if self.pivots else others.withColumns({"v": F.array(F.lit(0))} | {g: F.lit(0) for g in _GAUGES})
+        rows = rows.withColumn("rho", F.array_min("v")).withColumn("cell", F.array_position("v", F.col("rho")).cast("int") - 1)
+        self.words = materialise(rows.select("other", "n", "cell", "rho", F.xxhash64("other").alias("h"), *_GAUGES), "index")
+        rings = sorted((r.cell, r.rho, r.rows, r.words) for r in self.words.groupBy("cell", "rho").agg(F.sum("n").alias("rows"), F.count("*").alias("words")).collect())
+        self.cell, self.rho, self.rows, words = (np.array(x, np.int64) for x in zip(*rings)) if rings else (np.zeros(0, np.int64),) * 4
+        self.parts = -(-words // RING)
+
+    def asked(self, words: DataFrame, k: int, first: bool) -> DataFrame:
+        """(word, r, gauges, cell, rho, part): the rings in which each word (with v, gauges and the radius r) is looked for. first: those
+        of the nearest words for sure, by the sum of the way to the pivot and the ring, until they hold k and FIRST rows. Else all others
+        that may hold a word within r: the triangle inequality bounds the distance by that of the way and the ring, and by half of
+        how much farther the cell's pivot is than the nearest."""
+        cell, rho, rows, parts = self.cell, self.rho, self.rows, self.parts
+
+        def work(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                v = np.stack(batch["v"].to_numpy()).astype(np.int64)[:, cell]
+                order = np.argsort(v + rho, axis=1, kind="stable")
+                held = np.cumsum(rows[order], axis=1) - rows[order] < max(k, FIRST)
+                near = np.zeros(v.shape, bool)
+                np.put_along_axis(near, order, held, axis=1)
+                if not first:
+                    far = np.maximum(np.abs(v - rho), (v - np.stack(batch["v"].to_numpy()).min(axis=1, keepdims=True) + 1) // 2)
+                    near = ~near & (far <= batch["r"].to_numpy()[:, None])
+                word, ring = np.nonzero(near)
+                many = parts[ring]
+                word, ring = np.repeat(word, many), np.repeat(ring, many)
+                part = np.arange(len(ring)) - np.repeat(np.cumsum(many) - many, many)
+                out = batch[["word", "r", *_GAUGES]].iloc[word]
+                yield out.assign(cell=cell[ring], rho=rho[ring], part=part)
+
+        schema = "word string, r int, " + ", ".join(f"{g} int" for g in _GAUGES) + ", cell int, rho int, part int"
+        return words.select("word", "r", "v", *_GAUGES).mapInPandas(work, schema)
+
+    def meet(self, asked: DataFrame) -> DataFrame:
+        """(word, other, dist, n): the words of the rings that are within the radius; the gauges rule out most others."""
+        spark, ring = asked.sparkSession, ["cell", "rho"]
+        counts = spark.createDataFrame([(int(c), int(d), int(p)) for c, d, p in zip(self.cell, self.rho, self.parts)], "cell int, rho int, parts int")
+        own = self.words.join(F.broadcast(counts), ring).withColumn("part", F.pmod("h", F.col("parts")).cast("int")).drop("parts", "h")
+        # the pairs are many for the bytes that are shuffled: both sides are dealt to all tasks
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        a, b = (x.repartition(tasks, *ring, "part").alias(n) for x, n in ((asked, "a"), (own, "b")))
+        close = [F.abs(F.col(f"a.{g}") - F.col(f"b.{g}")) <= F.col("a.r") for g in _GAUGES]
+        close.append(F.abs(F.char_length("a.word") - F.char_length("b.other")) <= F.col("a.r"))
+        on = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*ring, "part")] + close)
+        return a.join(b, on).select("word", "other", F.levenshtein("word", "other").alias("dist"), "n", "r").where("dist <= r").drop("r")
+
+
+def nearest(test: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """(id, train_id, label, dist, rank): for each test row (flow_id, word) the k nearest train rows (flow_id, label,
     word), ties by train id.
 
-    A word of the test set meets each word of the train set once, however often they occur: the k nearest distinct words
-    hold the k nearest rows. Of a train word's rows the first k are enough. The words within 1, 2, ... edits are found by their
-    segments, for the test words that have fewer than k rows nearer; those that have too few within the last limit meet all
-    words, in pairs of hash blocks. Of dense data few do."""
+    A word of the test set is looked for once, however often it occurs; of a train word's rows the first k are enough. The train words are a
+    metric index. The rings nearest to a word give k rows, and the distance of the k-th is a radius that holds the k nearest; of the
+    other rings only those that may hold a word within it are joined. The result is exact."""
     own = Window.partitionBy("word").orderBy("flow_id")
     few = train.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= k)
     few = materialise(few.select("flow_id", "label", "word"), "train")
-    others = few.groupBy(F.col("word").alias("other")).agg(F.count("*").alias("n"))
-    left = materialise(test.select("word").distinct(), "words")
-    found = []
-    for limit in limits:
-        near = materialise(within(left, others, limit).join(others, "other"), "near")
-        done = near.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= k).select("word")
-        found.append(near.join(done, "word", "left_semi"))
-        left = materialise(left.join(done, "word", "left_anti"), "words")
-    a = left.withColumns({"i": _block("word"), "j": _each_block()}).repartition(BLOCKS * BLOCKS, "i", "j")
-    b = others.withColumns({"j": _block("other"), "i": _each_block()})
-    near = a.join(b, ["i", "j"]).withColumn("dist", F.levenshtein("word", "other")).select("other", "word", "dist", "n")
-    for more in found:
-        near = near.unionByName(more)
+    index = MetricIndex(few.groupBy(F.col("word").alias("other")).agg(F.count("*").alias("n")))
+    if not index.pivots:
+        return test.sparkSession.createDataFrame([], f"id {dict(test.dtypes)['flow_id']}, train_id {dict(train.dtypes)['flow_id']}, label string, dist int, rank int")
+    words = materialise(_measured(test.select("word").distinct(), "word", index.pivots), "words")
+    near = materialise(index.meet(index.asked(words.withColumn("r", F.lit(ALL)), k, first=True)), "near")
+    upto = near.groupBy("word", "dist").agg(F.sum("n").alias("n"))
+    upto = upto.withColumn("held", F.sum("n").over(Window.partitionBy("word").orderBy("dist"))).where(F.col("held") >= k).groupBy("word").agg(F.min("dist").alias("r"))
+    wanted = words.join(upto, "word", "left").withColumn("r", F.coalesce("r", F.lit(ALL)))
+    near = near.unionByName(index.meet(index.asked(wanted, k, first=False)))
     near = near.withColumn("at", F.dense_rank().over(Window.partitionBy("word").orderBy("dist"))).where(F.col("at") <= k)
     rows = near.select("word", F.col("other").alias("train_word"), "dist").join(few.select(F.col("word").alias("train_word"), F.col("flow_id").alias("train_id"), "label"), "train_word")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("dist", "train_id"))).where(F.col("rank") <= k)
     return test.select(F.col("flow_id").alias("id"), "word").join(ranked, "word").select("id", "train_id", "label", "dist", "rank")
 
 
+#: Words of a hash block; the pairs of blocks are dealt out over up to MOST_TASKS tasks, so that neither one task nor one label
+#: holds all pairs: they are many for the few bytes that Spark sees.
+BLOCK, MOST_TASKS = 512, 1024
+
+
+def _blocks(words: DataFrame) -> int:
+    return max(4, -(-words.count() // BLOCK))
+
+
+def _block(blocks: int, *columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
+
+
+def _each_block(blocks: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
 def knn(train: DataFrame, test: DataFrame, k: int, fraction: float | None = None) -> DataFrame:
     return vote(nearest(test, train, k), fraction)
 
@@ -105,10 +152,11 @@ def knn(train: DataFrame, test: DataFrame, k: int, fraction: float | None = None
 def label_pairs(seqs: DataFrame) -> DataFrame:
     """(label_a, label_b, dist, n): the distances of all pairs of sequences of two labels, label_a <= label_b, each pair
     once, with how many pairs have it. Equal sequences of a label are counted, not repeated."""
-    w = seqs.groupBy("label", "word").agg(F.count("*").alias("n"))
+    w = materialise(seqs.groupBy("label", "word").agg(F.count("*").alias("n")), "words")
+    blocks = _blocks(w)
     a, b = (w.select(F.col("label").alias(f"label_{x}"), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    a = a.withColumns({"i": _block("label_a", "word_a"), "j": _each_block()}).repartition(BLOCKS * BLOCKS, "i", "j")
-    b = b.withColumns({"j": _block("label_b", "word_b"), "i": _each_block()})
+    a = a.withColumns({"i": _block(blocks, "label_a", "word_a"), "j": _each_block(blocks)}).repartition(min(blocks * blocks, MOST_TASKS), "i", "j")
+    b = b.withColumns({"j": _block(blocks, "label_b", "word_b"), "i": _each_block(blocks)}).repartition(min(blocks * blocks, MOST_TASKS), "i", "j")
     upper = (F.col("label_a") < F.col("label_b")) | (F.col("label_a") == F.col("label_b")) & (F.col("word_a") <= F.col("word_b"))
     same = (F.col("label_a") == F.col("label_b")) & (F.col("word_a") == F.col("word_b"))
     pairs = a.join(b.withColumnsRenamed({"i": "i_b", "j": "j_b"}), (F.col("i") == F.col("i_b")) & (F.col("j") == F.col("j_b")) & upper).withColumn("n", F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long"))
@@ -128,8 +176,9 @@ def distance_matrix(pairs: DataFrame) -> DataFrame:
 
 def median_sequence(seqs: DataFrame) -> DataFrame:
     """(label, word): the sequence whose median distance to all of its label, itself included, is least; ties: the first."""
-    w = seqs.groupBy("label", "word").agg(F.count("*").alias("n"))
-    other = w.select("label", _block("word").alias("block"), F.col("word").alias("o"), F.col("n").alias("m"))
-    w = w.withColumn("block", _each_block()).repartition(BLOCKS * BLOCKS, "label", "block")
+    w = materialise(seqs.groupBy("label", "word").agg(F.count("*").alias("n")), "words")
+    blocks = _blocks(w)
+    other = w.select("label", _block(blocks, "word").alias("block"), F.col("word").alias("o"), F.col("n").alias("m"))
+    w = w.withColumn("block", _each_block(blocks)).repartition(min(blocks * blocks, MOST_TASKS), "label", "block")
     d = w.join(other, ["label", "block"]).groupBy("label", "word").agg(F.percentile(F.levenshtein("word", "o"), 0.5, F.col("m")).alias("d"))
     return d.groupBy("label").agg(F.min_by("word", F.struct("d", "word")).alias("word"), F.min("d").alias("median"))

@@ -109,10 +109,11 @@ def change_points(jobs: DataFrame) -> DataFrame:
 
 
 def day_index(meta: DataFrame, day: str = "scheduled_date") -> DataFrame:
-    """day_index of each distinct day; the day table is small, the rows are joined to it."""
-    days = meta.select(day).distinct()
-    ranked = days.withColumn("day_index", F.row_number().over(Window.orderBy(day)) - 1)
-    return meta.join(F.broadcast(ranked), day)
+    """day_index of each distinct day. Days are numbered in two steps, within their first seven letters (a month) and by the months
+    before; Spark sends their table to the tasks where it is small, and else joins it like any other."""
+    days = meta.select(day).where(F.col(day).isNotNull()).distinct()
+    ranked = running(days, [], F.substring(F.col(day).cast("string"), 1, 7), [day], {"day_index": F.lit(1)})
+    return meta.join(ranked.withColumn("day_index", (F.col("day_index") - 1).cast("int")), day)
 
 
 def size_sequences(df: DataFrame, n: int, key: str = "flow_id") -> DataFrame:

@@ -247,6 +247,19 @@ def a39_test(spark, d):
     return A.bootstrap_test(V.frames(spark, d), "label", "tcp_length", 150.0, b=100)
 
 
+@query("a39_bootstrap_two_samples")
+def a39_two(spark, d):
+    """Mean frame sizes of the two directions."""
+    f = V.frames(spark, d)
+    return A.bootstrap_two_samples(f.where("direction < 0"), f.where("direction > 0"), "label", "tcp_length", b=100)
+
+
+@query("a39_bootstrap_draws", FR + "SELECT label, CAST(sample AS INT) AS sample, CAST(count(*) AS BIGINT) AS draws FROM frames, range(1, 21) AS r(sample) GROUP BY ALL")
+def a39_draws(spark, d):
+    """Every resample has as many draws as its key has rows."""
+    return A.bootstrap_weights(V.frames(spark, d), "label", "tcp_length", 20, 1).groupBy("label", "sample").agg(F.sum("w").alias("draws"))
+
+
 # windows
 
 

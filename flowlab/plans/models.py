@@ -16,6 +16,7 @@ from flowlab.operators.aggregates import size_overhead
 from flowlab.plans import views as V
 from flowlab.plans.base import query
 from flowlab.plans.flows import rounded
+from flowlab.sources.storage import materialise
 
 SQ = f"WITH {V.SEQS}"
 
@@ -125,10 +126,10 @@ def a21(spark, d):
 
 
 def _open(spark, d):
-    """Scores of all sequences under chains of the training rows, without END."""
-    s = V.seqs(spark, d)
+    """Scores of all sequences under chains of the training rows, without END; written once, as limits and decisions both read them."""
+    s = materialise(V.seqs(spark, d), "seqs")
     scores = C.score_chain(s, C.fit_chain(s.where(TRAIN))).withColumn("score", F.round("score", 9))
-    return scores.join(s.select("flow_id", "label", "dset", "day"), "flow_id")
+    return materialise(scores.join(s.select("flow_id", "label", "dset", "day"), "flow_id"), "scores")
 
 
 SCORED = OPEN + ", meta AS (SELECT DISTINCT flow_id, label, dset, day FROM symbols), sc AS (SELECT s.flow_id, model_label, round(score, 9) AS score, label, dset, day FROM scores s JOIN meta USING (flow_id))"
@@ -267,59 +268,47 @@ def m1(spark, d):
     return S.knn(w.where(TRAIN), w.where(TEST), 3, 0.5).withColumn("share", F.round("share", 6))
 
 
-PAIR = ", pairs AS (SELECT least(a.label, b.label) AS label_a, greatest(a.label, b.label) AS label_b, levenshtein(a.word, b.word) AS dist FROM seqs a JOIN seqs b ON a.dset = 'val' AND b.dset = 'val' AND a.flow_id < b.flow_id)"
+PAIR = ", pairs AS (SELECT least(a.label, b.label) AS label_a, greatest(a.label, b.label) AS label_b, levenshtein(a.word, b.word) AS dist FROM seqs a JOIN seqs b ON a.flow_id < b.flow_id)"
 
 
 def _pairs(spark, d):
-    return S.label_pairs(V.words(spark, d).where("dset = 'val'"))
-
-
-@query("j9_label_pairs", SQ + PAIR + " SELECT label_a, label_b, CAST(dist AS INT) AS dist, count(*) AS n FROM pairs GROUP BY ALL")
-def j9(spark, d):
-    return _pairs(spark, d)
-
-
-@query("a28_similarity", SQ + PAIR + " SELECT label_a, label_b, CAST(min(dist) AS INT) AS min, round(quantile_cont(dist, 0.05), 6) AS p05, round(quantile_cont(dist, 0.5), 6) AS median, round(quantile_cont(dist, 0.95), 6) AS p95, round(avg(dist), 6) AS mean, CAST(max(dist) AS INT) AS max FROM pairs GROUP BY ALL")
-def a28(spark, d):
-    return rounded(S.similarity_summary(_pairs(spark, d)), "label_a", "label_b", "min", "max")
-
+    """Of the flows of all users."""
+    return S.label_pairs(V.words(spark, d))
 
-@query("a29_distance_matrix", SQ + PAIR + ", m AS (SELECT label_a, label_b, 2 * avg(dist) AS d FROM pairs GROUP BY ALL) SELECT label_a, label_b, round(d, 6) AS d FROM m UNION ALL SELECT label_b, label_a, round(d, 6) FROM m WHERE label_a <> label_b")
-def a29(spark, d):
-    return rounded(S.distance_matrix(_pairs(spark, d)), "label_a", "label_b")
 
+J9_SQL = SQ + PAIR + " SELECT label_a, label_b, CAST(dist AS INT) AS dist, count(*) AS n FROM pairs GROUP BY ALL"
 
-@query("a30_median_sequence", SQ + ", x AS (SELECT a.label, a.word, quantile_cont(levenshtein(a.word, b.word), 0.5) AS d FROM seqs a JOIN seqs b ON a.label = b.label AND a.dset = 'val' AND b.dset = 'val' GROUP BY a.label, a.word) SELECT label, arg_min(word, {'d': d, 'w': word}) AS word, min(d) AS median FROM x GROUP BY label")
-def a30(spark, d):
-    return S.median_sequence(V.words(spark, d).where("dset = 'val'"))
 
+@query("j9_label_pairs_all", J9_SQL)
+@query("j9_label_pairs", J9_SQL)
+def j9(spark, d):
+    return _pairs(spark, d)
 
-# the same over the flows of all users; the queries above, as their SQL, take those of the validation set
 
-PAIR_ALL = PAIR.replace("a.dset = 'val' AND b.dset = 'val' AND ", "")
+A28_SQL = SQ + PAIR + " SELECT label_a, label_b, CAST(min(dist) AS INT) AS min, round(quantile_cont(dist, 0.05), 6) AS p05, round(quantile_cont(dist, 0.5), 6) AS median, round(quantile_cont(dist, 0.95), 6) AS p95, round(avg(dist), 6) AS mean, CAST(max(dist) AS INT) AS max FROM pairs GROUP BY ALL"
 
 
-def _all_pairs(spark, d):
-    return S.label_pairs(V.words(spark, d))
+@query("a28_similarity_all", A28_SQL)
+@query("a28_similarity", A28_SQL)
+def a28(spark, d):
+    return rounded(S.similarity_summary(_pairs(spark, d)), "label_a", "label_b", "min", "max")
 
 
-@query("j9_label_pairs_all", SQ + PAIR_ALL + " SELECT label_a, label_b, CAST(dist AS INT) AS dist, count(*) AS n FROM pairs GROUP BY ALL")
-def j9_all(spark, d):
-    return _all_pairs(spark, d)
+A29_SQL = SQ + PAIR + ", m AS (SELECT label_a, label_b, 2 * avg(dist) AS d FROM pairs GROUP BY ALL) SELECT label_a, label_b, round(d, 6) AS d FROM m UNION ALL SELECT label_b, label_a, round(d, 6) FROM m WHERE label_a <> label_b"
 
 
-@query("a28_similarity_all", SQ + PAIR_ALL + " SELECT label_a, label_b, CAST(min(dist) AS INT) AS min, round(quantile_cont(dist, 0.05), 6) AS p05, round(quantile_cont(dist, 0.5), 6) AS median, round(quantile_cont(dist, 0.95), 6) AS p95, round(avg(dist), 6) AS mean, CAST(max(dist) AS INT) AS max FROM pairs GROUP BY ALL")
-def a28_all(spark, d):
-    return rounded(S.similarity_summary(_all_pairs(spark, d)), "label_a", "label_b", "min", "max")
+@query("a29_distance_matrix_all", A29_SQL)
+@query("a29_distance_matrix", A29_SQL)
+def a29(spark, d):
+    return rounded(S.distance_matrix(_pairs(spark, d)), "label_a", "label_b")
 
 
-@query("a29_distance_matrix_all", SQ + PAIR_ALL + ", m AS (SELECT label_a, label_b, 2 * avg(dist) AS d FROM pairs GROUP BY ALL) SELECT label_a, label_b, round(d, 6) AS d FROM m UNION ALL SELECT label_b, label_a, round(d, 6) FROM m WHERE label_a <> label_b")
-def a29_all(spark, d):
-    return rounded(S.distance_matrix(_all_pairs(spark, d)), "label_a", "label_b")
+A30_SQL = SQ + ", x AS (SELECT a.label, a.word, quantile_cont(levenshtein(a.word, b.word), 0.5) AS d FROM seqs a JOIN seqs b ON a.label = b.label GROUP BY a.label, a.word) SELECT label, arg_min(word, {'d': d, 'w': word}) AS word, min(d) AS median FROM x GROUP BY label"
 
 
-@query("a30_median_sequence_all", SQ + ", x AS (SELECT a.label, a.word, quantile_cont(levenshtein(a.word, b.word), 0.5) AS d FROM seqs a JOIN seqs b ON a.label = b.label GROUP BY a.label, a.word) SELECT label, arg_min(word, {'d': d, 'w': word}) AS word, min(d) AS median FROM x GROUP BY label")
-def a30_all(spark, d):
+@query("a30_median_sequence_all", A30_SQL)
+@query("a30_median_sequence", A30_SQL)
+def a30(spark, d):
     return S.median_sequence(V.words(spark, d))
 
 

@@ -50,9 +50,10 @@ def read_ttl(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("tv_sec is not null").withColumn("t", F.col("tv_sec") + F.col("tv_nsec") / 1e9)
 
 
-def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Per-trial JSON documents (configuration and result), the folder as trial_dir."""
-    rows = spark.read.schema(schema.TRIAL).json(path, multiLine=True)
+def read_trials(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Per-trial JSON documents (configuration and result), the folder as trial_dir. lines: a document in each line, so that a
+    folder's trials are a few files that can be split."""
+    rows = spark.read.schema(schema.TRIAL).json(path, multiLine=not lines)
     return rows.withColumn("trial_dir", F.coalesce("trial_dir", F.regexp_extract("_metadata.file_path", r"([^/]*)/[^/]*$", 1)))
 
 

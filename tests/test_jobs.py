@@ -15,6 +15,7 @@ from flowlab.operators import reassembly as R
 from flowlab.operators import similarity as S
 from flowlab.plans import models
 from flowlab.plans import views as V
+from flowlab.sources import writers as K
 
 
 @pytest.fixture(scope="module")
@@ -70,8 +71,115 @@ def test_other_jobs(spark, small, split):
     rows = jobs.dataset(cat["traces_metadata"], cat["urls"], seqs, ["L0"], 3).select("label", F.size("seq").alias("n")).collect()
     assert {r.label for r in rows} == {"L0", "unknown"} and max(r.n for r in rows) == 3
     wire = R.segments_of(models._wire(spark, small).where("flow_id < 200"), 200)
-    main, records, inside = jobs.flows_from_packets(V.packets(spark, small), wire)
-    assert main.count() > 0 and records.count() > 0 and inside.count() >= records.count()
+    packets = V.packets(spark, small)
+    found = jobs.flows_from_packets(packets, wire)
+    assert found["packets"].count() > 0 and found["records"].count() > 0 and found["inside"].count() >= found["records"].count()
+    traces = {r.trace_id for r in packets.select("trace_id").distinct().collect()}
+    assert {r.trace_id for r in found["failures"].collect()} == traces - {r.trace_id for r in found["packets"].select("trace_id").distinct().collect()}
+    report = jobs.flow_report(V.frames(spark, small), V.records(spark, small), packets, 3600)
+    assert all(df.count() > 0 for df in report.values()) and len(report) == 7
+
+
+def test_flows_of_packets_alone(spark):
+    """Segments are the packets themselves: a record cut over two of them, a retransmission; a trace without a ClientHello is a failure."""
+    hello, data = bytes([22, 3, 3, 0, 4]) + b"abcd", bytes([23, 3, 3, 0, 6]) + b"efghij"
+    rows = [("t", 1, "c", "s", 1, 443, "TLSv1.2", "Client Hello", 1, 0, hello[:6]), ("t", 2, "c", "s", 1, 443, "TLSv1.2", "", None, 0, hello[:6]), ("t", 3, "c", "s", 1, 443, "TLSv1.2", "", None, 6, hello[6:] + data), ("t", 4, "s", "c", 443, 1, "TLSv1.2", "", None, 0, data), ("u", 1, "c", "s", 2, 443, "TCP", "", None, 0, b"x")]
+    df = spark.createDataFrame([(*r[:10], bytearray(r[10]), len(r[10])) for r in rows], "trace_id string, frame_number long, ip_src string, ip_dst string, tcp_srcport int, tcp_dstport int, protocol string, info string, handshake_type int, tcp_seq long, payload binary, tcp_len int")
+    found = jobs.flows_from_packets(df)
+    assert sorted((r.direction, r.record_number, r.content_type, r.length) for r in found["records"].collect()) == [(-1, 0, 22, 4), (-1, 1, 23, 6), (1, 0, 23, 6)]
+    assert [tuple(r) for r in found["failures"].collect()] == [("u", "no ClientHello")]
+
+
+def test_dataset_with_splits_and_sink(spark, small, tmp_path):
+    cat = V.catalog(spark, small)
+    labelled = lambda df: df.withColumn("label", F.concat(F.lit("L"), (F.col("flow_id") % 5).cast("string")))
+    rows = labelled(V.records(spark, small))
+    seqs = jobs.sequences(rows, "record", [0, 3000, 9000], keep=["label"], length=3)
+    first = {r.flow_id: r.seq for r in seqs.collect()}
+    one = next(k for k, v in first.items() if len(v) == 3 and "0" not in v)
+    sizes = [r for r in rows.where(F.col("flow_id") == one).orderBy("record_number").limit(3).collect()]
+    edge = lambda n: min(range(3), key=lambda i: (abs((0, 3000, 9000)[i] - n), i))
+    assert first[one] == [f"{r.content_type}{':%d' % r.handshake_type if r.handshake_type is not None else ''};{edge(r.length)};{'C' if r.direction < 0 else 'S'}" for r in sizes]
+    with pytest.raises(ValueError):
+        jobs.sequences(rows, "packet")
+    out = jobs.dataset(cat["traces_metadata"], cat["urls"], seqs, ["L0", "L1"], day="start_capture", one_unknown=True, per_label=60, split=(4, 3), path=f"{tmp_path}/set").toPandas()
+    assert set(out.label) == {"L0", "L1", "unknown"} and set(out.dset) == {"train", "val", "test"} and out.groupby("label").size().max() <= 60
+    assert out.groupby(["label", "address"]).dset.nunique().max() == 1
+    assert out[out.dset == "test"].groupby("label").address.nunique().max() <= 4
+    days = sorted(r[0] for r in cat["traces_metadata"].where("was_successful").select("start_capture").distinct().collect())
+    when = {r.id: r.start_capture for r in cat["traces_metadata"].collect()}
+    assert all(days[r.day] == when[r.flow_id] for r in out.itertuples())
+    unknown = jobs.dataset(cat["traces_metadata"], cat["urls"], seqs, ["L0", "L1"], day="start_capture", one_unknown=True).where("label = 'unknown'").toPandas()
+    assert len(unknown) <= 3 * unknown.day.nunique() and not unknown.flow_id.duplicated().any()
+
+
+def test_scores_of_kinds(split):
+    train, test = split
+    for kind, settings in (("knn", {"k": 5}), ("mc1", {}), ("mc2", {}), ("ano", {})):
+        model = jobs.train(kind, train, **settings)
+        found = jobs.scores(model, test)
+        best = {r.flow_id: (r.score, r.model_label) for r in found.orderBy("score").collect()}
+        told = {r.flow_id: r.predicted for r in jobs.classify(model, test).collect()}
+        assert best.keys() == told.keys() and (kind == "ano" or sum(best[k][1] == told[k] for k in told) >= 29)
+    jobs.register("labels only", lambda rows: None, lambda m, rows: rows)
+    with pytest.raises(ValueError):
+        jobs.scores(jobs.train("labels only", train), test)
+
+
+def test_ipset_kind(spark, small):
+    from flowlab.plans import captures
+
+    r, hosts = V.resolutions(spark, small), captures._hosts(spark)
+    model = jobs.train("ipset", r.where("load % 10 < 8"), hosts=hosts)
+    test = r.where("load % 10 >= 8")
+    told = {x.flow_id: x.predicted for x in jobs.classify(model, test).collect()}
+    scores = {}
+    for x in jobs.scores(model, test).collect():
+        scores.setdefault(x.flow_id, []).append((-round(x.score, 9), x.model_label))
+    assert told == {k: min(v)[1] for k, v in scores.items()} and told
+
+
+def test_evaluation_and_choice(spark, split):
+    _, test = split
+    predicted = test.select("flow_id", F.when(F.col("flow_id") % 5 == 0, "x").otherwise(F.col("label")).alias("predicted"))
+    found = jobs.evaluation(predicted, test, b=200)
+    rows = test.select("flow_id", "day", "label").toPandas().merge(predicted.toPandas())
+    for r in found["weighted"].collect():
+        own = rows[rows.day == r.day]
+        assert r.accuracy == pytest.approx((own.label == own.predicted).mean())
+    for r in found["intervals"].collect():
+        assert r["mean"] == pytest.approx((rows[rows.day == r.day].eval("label == predicted")).mean()) and r.low <= r["mean"] <= r.high
+    assert {r.day for r in found["by_day"].collect()} == {0, 1, 2} and {r.label for r in found["by_label"].collect()} == {"x", "y"}
+    opened = jobs.evaluation(predicted, test, closed=["x"], b=50)
+    assert {r.label for r in opened["metrics"].collect()} == {"x", "unknown"}
+    trials = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.9), ("a", 3, 0.5), ("b", 4, 0.2)], "kind string, size int, accuracy double")
+    chosen = jobs.choose(trials, ["kind"], [("accuracy", True, 0.01), ("size", False, 0)], "accuracy")
+    assert sorted((r.kind, r["size"]) for r in chosen["best"].collect()) == [("a", 1), ("b", 4)] and chosen["stats"].count() == 2
+
+
+def test_network_function_report(spark, small):
+    stats = V.nf_stats(spark, small)
+    found = jobs.nf_report(stats, spark.createDataFrame([(1.0,), (3.0,)], "delta double"), limit=3, skip=2)
+    assert found["latency"].first()["mean"] == 2.0
+    runs = {(r.run, r.models): r.dropped for r in found["drops"].collect()}
+    rows = stats.toPandas()
+    assert runs == {k: bool((g[g.serviceid >= 2]["drop"].max() if (g.serviceid >= 2).any() else 0) > 3) for k, g in rows.groupby(["run", "models"])}
+    assert {r.run for r in found["capacity"].collect()} == {k[0] for k in runs}
+
+
+def test_predictions_once(spark, tmp_path):
+    rows = [(i, f"p{i}", {"a": 0.5}) for i in range(20)]
+    df = spark.createDataFrame(rows, "flow_id long, predicted string, scores map<string,double>")
+    for _ in range(2):
+        K.write_predictions(df, f"{tmp_path}/batch", 3)
+    K.write_predictions(df.where("flow_id < 5").withColumn("predicted", F.lit("new")), f"{tmp_path}/batch", 10)
+    got = {r.flow_id: (r.predicted, r.scores, r.scores_json) for r in K.read_predictions(spark, f"{tmp_path}/batch").collect()}
+    assert got == {i: ("new" if i < 5 else f"p{i}", {"a": 0.5}, '{"a":0.5}') for i in range(20)}
+    df.repartition(4).write.parquet(f"{tmp_path}/in")
+    for run in ("one", "two"):  # the second starts anew, as if its checkpoint were lost
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+        K.stream_predictions(stream, f"{tmp_path}/stream", f"{tmp_path}/{run}").awaitTermination()
+    assert sorted(r.flow_id for r in K.read_predictions(spark, f"{tmp_path}/stream").collect()) == list(range(20)) and spark.read.parquet(f"{tmp_path}/stream").count() == 20
 
 
 def test_size_generator(spark):

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -181,3 +182,59 @@ def test_bootstrap(spark):
     ci = A.bootstrap_ci(df, "k", "v", b=200).first()
     assert ci.low < ci["mean"] < ci.high and ci.high - ci.low == pytest.approx(4 / math.sqrt(300), rel=0.4)
     assert A.bootstrap_test(df, "k", "v", 5.0, b=200).first().p > 0.01 > A.bootstrap_test(df, "k", "v", 6.0, b=200).first().p
+
+
+def test_bootstrap_draws_are_repeatable(spark, monkeypatch):
+    """As many draws as rows, the same however the rows are partitioned, and spread as drawing with replacement does."""
+    monkeypatch.setattr(A, "VALUES", 10)
+    df = spark.range(300).select(F.when(F.col("id") < 250, "a").otherwise("b").alias("k"), F.pmod(F.col("id") * 7, F.lit(90)).cast("double").alias("v"))
+    df = df.union(spark.createDataFrame([("a", None), ("c", None)], df.schema))
+    rows = [sorted(map(tuple, A.bootstrap_weights(x, "k", "v", 200, 5).collect())) for x in (df, df.repartition(5, "v"), df.coalesce(1))]
+    assert rows[0] == rows[1] == rows[2]
+    total = {}
+    for k, sample, _, w in rows[0]:
+        total[k, sample] = total.get((k, sample), 0) + w
+    assert total == {(k, s): n for k, n in (("a", 250), ("b", 50)) for s in range(1, 201)}
+    # a value that n of N rows have is drawn a binomial number of times
+    own = [r[3] for r in rows[0] if r[:1] == ("a",) and r[2] == 0.0]
+    n = sum(1 for i in range(250) if i * 7 % 90 == 0)
+    own += [0] * (200 - len(own))
+    assert np.mean(own) == pytest.approx(n, abs=4 * np.sqrt(n / 200)) and np.var(own) == pytest.approx(n, rel=0.5)
+    assert rows[0] != sorted(map(tuple, A.bootstrap_weights(df, "k", "v", 200, 6).collect()))
+
+
+def test_bootstrap_of_two_samples(spark):
+    rng = np.random.default_rng(3)
+    make = lambda mean, n: spark.createDataFrame([("k", float(x)) for x in rng.normal(mean, 2, n)], "k string, v double")
+    first, same, other = make(5, 400), make(5, 300), make(6, 300)
+    equal, apart = (A.bootstrap_two_samples(first, x, "k", "v", b=200).first() for x in (same, other))
+    assert equal.p > 0.02 > apart.p and apart.difference == pytest.approx(-1, abs=0.5)
+    assert A.bootstrap_two_samples(first, other, "k", "v", b=200, side="less").first().p < 0.02 < A.bootstrap_two_samples(first, other, "k", "v", b=200, side="greater").first().p
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_nearest_by_the_metric_index(spark, monkeypatch):
+    """Words near and far, more neighbours wanted than there are, small parts of rings."""
+    monkeypatch.setattr(SI, "RING", 3)
+    monkeypatch.setattr(SI, "FIRST", 4)
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    train = [(i, f"L{i % 3}", word(rng.choice((0, 1, 4, 9, 9, 9, 20)))) for i in range(150)] + [(200 + i, "M", "abcabcabc") for i in range(5)]
+    test = [(1000 + i, word(rng.choice((0, 3, 9, 9, 14, 30)))) for i in range(40)] + [(1100, "abcabcabc"), (1101, "abcabcabd")]
+    a, b = spark.createDataFrame(test, "flow_id long, word string"), spark.createDataFrame(train, "flow_id long, label string, word string")
+    for k in (1, 4, 500):
+        got = sorted(map(tuple, SI.nearest(a, b, k).collect()))
+        want = []
+        for i, w in test:
+            near = sorted((plain_distance(w, o), j, label) for j, label, o in train)[:k]
+            want += [(i, j, label, d, r) for r, (d, j, label) in enumerate(near, 1)]
+        assert got == sorted(want)
+    assert SI.nearest(a, b.limit(0), 3).count() == 0 == SI.nearest(a.limit(0), b, 3).count()
