@@ -30,6 +30,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
+def _part(v, lo, hi):
+    """The part of the range lo < hi that v is in, rising with v; lo and hi are never in one. A range over zero is cut by the sign, one over
+    more than a factor of 4 by logarithms, and others evenly, so a few passes are enough for any values, however far apart."""
+    log = lambda x: F.log(F.abs(x))
+    even = (v - lo) / (hi - lo)
+    far = (log(v) - log(lo)) / (log(hi) - log(lo))
+    share = F.when(F.greatest(F.abs(lo), F.abs(hi)) > 4 * F.least(F.abs(lo), F.abs(hi)), far).otherwise(even)
+    inner = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+    return F.when(F.signum(lo) != F.signum(hi), F.signum(v).cast("long")).when(v == hi, F.lit(BINS)).otherwise(inner)
+
+
 def selected(rows: DataFrame, hot: DataFrame, number: int, qs) -> DataFrame:
     """(h, p array) of rows (h, v) and hot (h, n): exact percentiles by distributed selection.
 
@@ -44,8 +55,7 @@ def selected(rows: DataFrame, hot: DataFrame, number: int, qs) -> DataFrame:
     while not targets.where("lo < hi").isEmpty():
         ranges = _small(targets.where("lo < hi").select("h", "lo", "hi").distinct(), 2 * number * len(qs))
         inside = rows.join(ranges, "h").where("v BETWEEN lo AND hi")
-        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        counts = inside.groupBy("h", "lo", "hi", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        counts = inside.groupBy("h", "lo", "hi", _part(F.col("v"), F.col("lo"), F.col("hi")).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         before = Window.partitionBy("h", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
         own = (F.col("rank") - F.col("below") >= F.col("before")) & (F.col("rank") - F.col("below") < F.col("before") + F.col("c"))
@@ -71,6 +81,8 @@ def with_percentiles(df: DataFrame, keys, values: dict, qs, others=(), hot: int
     if not number:
         full = [F.percentile(v, F.array(*[F.lit(q) for q in qs])).alias(names[n]) for n, v in named.items()]
         return df.groupBy(*keys).agg(*full, *others)
+    if not keys:  # all rows are one key's
+        return with_percentiles(df.withColumn("__all", F.lit(0)), ["__all"], values, qs, others, hot).drop("__all")
     rows = rows.join(_small(sizes.select(*_marked(keys, "__k"), "h", *[F.col(n).alias(f"n{n}") for n in named]), number), _equal(keys, "__k"), "left")
     out = df.groupBy(*keys).agg(*others, F.count("*").alias("__rows"))
     for n, name in names.items():
