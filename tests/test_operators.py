@@ -238,3 +238,31 @@ def test_nearest_by_the_metric_index(spark, monkeypatch):
             want += [(i, j, label, d, r) for r, (d, j, label) in enumerate(near, 1)]
         assert got == sorted(want)
     assert SI.nearest(a, b.limit(0), 3).count() == 0 == SI.nearest(a.limit(0), b, 3).count()
+
+
+def test_records_of_long_streams_by_block_maps(spark, monkeypatch):
+    """Streams over many blocks of 66 kB, maps composed three at a time, against a walk from header to header: records within a block and
+    across two, streams that end in a header, in a record or with a byte that begins none."""
+    monkeypatch.setattr(R, "BLOCK", 66_000)
+    monkeypatch.setattr(R, "FAN", 3)
+    rng = random.Random(8)
+    body = np.random.default_rng(1).choice(np.array([0, 3, 20, 22, 23, 90], np.uint8), 70_000).tobytes()
+    segments, want = [], []
+    for flow in range(8):
+        for side in (-1, 1):
+            stream = b""
+            for _ in range(rng.choice((0, 1, 30, 60, 90))):
+                n = rng.choice((0, 1, 7, 500, 16_384, 30_000, 65_535))
+                stream += bytes([rng.choice((20, 21, 22, 23, 24)), 3, 3, n >> 8, n & 255]) + body[: n - n % 3] + body[-(n % 3) :][: n % 3]
+            stream += rng.choice((b"", b"\x17", b"\x17\x03\x03\x00", b"\x17\x03\x03\xff\x00ab", b"\x00\x01\x02\x03\x04\x05", b"\x09" + b"\x17" * 90))
+            want += [(flow, side, i, *r) for i, r in enumerate(R.walk(stream))]
+            at = 0
+            while at < len(stream):
+                n = rng.choice((1, 5, 1300, 40_000, 150_000))
+                part = stream[at : at + n]
+                segments.append((flow, side, at, at + len(part), bytearray(part)))
+                at += len(part)
+    rng.shuffle(segments)
+    df = spark.createDataFrame(segments, "flow_id long, direction int, lo long, hi long, payload binary").repartition(4)
+    assert sorted(map(tuple, R.record_spans(df).collect())) == sorted(want) and len(want) > 300
+    assert max(s[3] for s in segments) > 20 * R.BLOCK and R.record_spans(df.limit(0)).count() == 0
