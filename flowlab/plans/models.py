@@ -322,7 +322,7 @@ def _ids(spark, d):
     return S.encode(s, vocab), vocab.count()
 
 
-def _profiles(spark, d, iterations=2, seeds=(1,)):
+def _profiles(spark, d, iterations=8, seeds=(1,)):
     ids, size = _ids(spark, d)
     return ids, H.phmm_fit(ids, 6, size, seeds, iterations)
 
@@ -353,7 +353,7 @@ def m7(spark, d):
 @query("m8_dense_hmm")
 def m8(spark, d):
     ids, size = _ids(spark, d)
-    return H.hmm_score(ids.where(TEST), H.hmm_fit(ids.where(TRAIN), 3, size, iterations=2))
+    return H.hmm_score(ids.where(TEST), H.hmm_fit(ids.where(TRAIN), 3, size, iterations=8))
 
 
 # learning

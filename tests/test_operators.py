@@ -266,3 +266,20 @@ def test_records_of_long_streams_by_block_maps(spark, monkeypatch):
     df = spark.createDataFrame(segments, "flow_id long, direction int, lo long, hi long, payload binary").repartition(4)
     assert sorted(map(tuple, R.record_spans(df).collect())) == sorted(want) and len(want) > 300
     assert max(s[3] for s in segments) > 20 * R.BLOCK and R.record_spans(df.limit(0)).count() == 0
+
+
+def test_a_stopped_training_goes_on(spark, tmp_path, monkeypatch):
+    """A training in two runs by a folder gives what one run gives; sums by a tree give the same for any number of tasks; it ends by tolerance."""
+    monkeypatch.setattr(H, "FAN", 2)
+    rng = random.Random(4)
+    rows = [(i, "xy"[i % 2], "val" if i % 5 == 0 else "train", [rng.choice((0, 0, 1) if i % 2 else (1, 2)) for _ in range(rng.randint(2, 7))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "flow_id long, label string, dset string, ids array<int>")
+    for fit, cut in ((lambda d, **k: H.phmm_fit(d, 3, 3, tolerance=0, **k), {"iterations": 2}), (lambda d, **k: H.hmm_fit(d, 2, 3, tolerance=0, **k), {"iterations": 2})):
+        whole = {r.label: r.params for r in fit(df.repartition(7), iterations=4).collect()}
+        where = f"{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        fit(df.coalesce(1), path=where, **cut)
+        after = {r.label: r.params for r in fit(df.repartition(3), iterations=4, path=where).collect()}
+        assert whole.keys() == after.keys() == {"x", "y"} and all(whole[k] == pytest.approx(after[k], rel=1e-6, abs=1e-9) for k in whole)
+    assert H.Progress(spark, where).load()[0] == 4
+    H.phmm_fit(df, 3, 3, iterations=50, tolerance=0.5, path=f"{tmp_path}/soon")
+    assert H.Progress(spark, f"{tmp_path}/soon").load()[0] == 2
