@@ -12,10 +12,12 @@ from flowlab.plans import views as V
 def test_online_profiles_of_all_labels_are_fitted(spark, small):
     ids, _, params = streams._online_profiles(spark, small)
     params = params.persist()
-    first = ids.where(F.size("ids") >= 4).withColumn("ids", F.slice("ids", 1, 4))
-    want = {(r.flow_id, r.model_label): r.score for r in phmm_score(first, params).collect()}
-    got = {(r.flow_id, r.model_label): r.score for r in streams.st5(spark, small).collect()}
-    assert {k for _, k in got} == {r.label for r in ids.select("label").distinct().collect()}
+    # the batch score of each prefix: its flow_id is (flow_id, place)
+    first = ids.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(6)))).where("size(ids) >= place")
+    first = first.select(F.concat_ws("|", "flow_id", "place").alias("flow_id"), F.expr("slice(ids, 1, place)").alias("ids"))
+    want = {(*map(int, r.flow_id.split("|")), r.model_label): r.score for r in phmm_score(first, params).collect()}
+    got = {(r.flow_id, r.place, r.model_label): r.score for r in streams.st5(spark, small).collect()}
+    assert {k for _, _, k in got} == {r.label for r in ids.select("label").distinct().collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
