@@ -19,7 +19,7 @@ from flowlab.llm.common import cut, release, text_of
 BLOCK = 16384
 #: Bytes of texts that are tokenised together, and parts of words that a task holds (about 30 bytes each): when there are more, those of
 #: the last texts stay.
-CHUNK, PARTS = 4 << 20, 300_000
+CHUNK, PARTS = 1 << 20, 100_000
 NEVER = 1 << 40
 #: A sequence with less than this share of room left is final after the first round.
 FULL = 0.01
@@ -130,6 +130,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096)
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     def work(batches):
+        release()  # what the worker's stage before has left
         table, row = PartTable(path), 0
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text")
