@@ -175,7 +175,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
     """(doc_id, text, label) of the documents that may be learned from: labelled, and not held out."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where(~held_out(fold))
+    known = labels.where(F.col("toxic").cast("int").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).where(~held_out(fold))
     known = cut(known, "labels", SHORT)
     small = known.count() <= MAX_BROADCAST_IDS
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known) if small else known, "doc_id")
@@ -189,7 +189,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: in
     """One row per row of docs (doc_id, text; other columns are ignored): doc_id, held_out, score, predicted.
 
     Labels (doc_id, toxic) of held out rows are not learned from; of repeated labels the largest counts; null
-    labels are none. A null or empty text has no n-gram and the intercept's score; a score of exactly 0.5 counts as label 1. Repeated
+    labels, and others than 0 and 1, are none. A null or empty text has no n-gram and the intercept's score; a score of exactly 0.5 counts as label 1. Repeated
     rows repeat. An empty table gives no rows."""
     weights, intercept = fit(labelled_documents(docs, labels, fold), sample)
     shared = docs.sparkSession.sparkContext.broadcast((weights, intercept))  # 2^BITS floats: 1 MB

@@ -96,3 +96,10 @@ def test_sample_is_a_bound_on_rows(spark):
     for weights, start in (few, many):
         z = [start + weights[T.ngram_buckets(t)].sum() for t in ("kind words here", "awful nasty words")]
         assert z[0] < 0 < z[1]
+
+
+def test_other_labels_are_none(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, -1), (3, 2), (4, None), (5, 1), (5, 7), (None, 1)], "doc_id long, toxic int")
+    known = {0: 0, 1: 1, 5: 1}
+    assert {r.doc_id: r.label for r in T.labelled_documents(docs, labels).collect()} == {i: v for i, v in known.items() if zlib.crc32(str(i).encode()) % 5}
