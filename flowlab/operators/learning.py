@@ -125,8 +125,8 @@ def best_bin_count(frames: DataFrame, counts, largest: int = 1500) -> DataFrame:
     coded = F.array(*[F.struct(F.lit(n).alias("bins"), F.char(48 + nearest_edge(F.col("tcp_length"), edges_equal(largest, n))).alias("s")) for n in counts])
     rows = frames.select("flow_id", "label", "frame_number", F.inline(coded))
     words = rows.groupBy("flow_id", "label", "bins").agg(F.array_sort(F.collect_list(F.struct("frame_number", "s"))).alias("own"))
-    words = words.select("flow_id", F.concat_ws("|", "bins", "label").alias("label"), F.array_join(F.transform("own", lambda x: x["s"]), "").alias("word"))
-    pairs = label_pairs(words).withColumns({"bins": F.substring_index("label_a", "|", 1), "other": F.substring_index("label_b", "|", 1)}).where(F.col("bins") == F.col("other"))
+    words = words.select("flow_id", "bins", F.concat_ws("|", "bins", "label").alias("label"), F.array_join(F.transform("own", lambda x: x["s"]), "").alias("word"))
+    pairs = label_pairs(words, "bins").withColumn("bins", F.substring_index("label_a", "|", 1))
     inside = F.col("label_a") == F.col("label_b")
     mean = lambda c: F.sum(F.when(c, F.col("dist") * F.col("n"))) / F.sum(F.when(c, F.col("n")))
     scores = pairs.groupBy(F.col("bins").cast("int").alias("bins")).agg((mean(~inside) / mean(inside)).alias("separation"))

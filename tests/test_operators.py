@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -283,3 +285,39 @@ def test_a_stopped_training_goes_on(spark, tmp_path, monkeypatch):
     assert H.Progress(spark, where).load()[0] == 4
     H.phmm_fit(df, 3, 3, iterations=50, tolerance=0.5, path=f"{tmp_path}/soon")
     assert H.Progress(spark, f"{tmp_path}/soon").load()[0] == 2
+
+
+@pytest.mark.parametrize("lengths", [(0, 1, 5, 8), (9, 16, 3), (20, 32, 64), (0, 65, 128, 130)])
+def test_distances_of_blocks_of_words(lengths):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice(lengths)))
+    a, b = [word("ab一") for _ in range(12)], [word("ab一z") for _ in range(9)]
+    own = SI.Coded(a)
+    got = SI.Patterns(own, slice(None)).distances(SI.Coded(b, own.symbols), slice(None))
+    assert got.tolist() == [[plain_distance(x, y) for x in a] for y in b]
+
+
+def test_pairs_and_medians_by_stripes(spark, monkeypatch):
+    """Stripes of few words, words of several labels, repeated rows: against all pairs; a word comes as often as there are stripes."""
+    monkeypatch.setattr(SI, "STRIPE", (6, 9))
+    monkeypatch.setattr(SI, "MOST_STRIPES", 3)
+    monkeypatch.setattr(SI, "PATTERNS", 4)
+    rng = random.Random(4)
+    rows = [(i, rng.choice("LMN"), "".join(rng.choice("abc") for _ in range(rng.choice((0, 2, 3, 5, 17))))) for i in range(70)]
+    df = spark.createDataFrame(rows, "flow_id long, label string, word string")
+    want = Counter()
+    for i, la, a in rows:
+        for j, lb, b in rows:
+            if i < j:
+                want[min(la, lb), max(la, lb), plain_distance(a, b)] += 1
+    assert {(r.label_a, r.label_b, r.dist): r.n for r in SI.label_pairs(df).collect()} == want
+    best = {}
+    for label in "LMN":
+        own = [w for _, x, w in rows if x == label]
+        best[label] = min((statistics.median(plain_distance(a, b) for b in own), a) for a in own)
+    assert {r.label: (r.median, r.word) for r in SI.median_sequence(df).collect()} == best
+    words = SI.materialise(df.groupBy(F.lit("").alias("group"), "label", "word").agg(F.count("*").alias("n")), "words")
+    stripes = -(-words.count() // 9)
+    assert SI._cells(words).count() == words.count() * stripes
+    grouped = SI.label_pairs(df.withColumn("g", F.col("flow_id") % 2), "g").agg(F.sum("n")).first()[0]
+    assert grouped == 2 * (35 * 34 // 2)
