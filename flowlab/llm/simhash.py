@@ -1,5 +1,5 @@
-"""SimHash near-dedup: fingerprints of word shingles, linked by a self-join of their binary trie. The pipeline's stage finds
-near copies by the similarity of their shingle sets instead: MinHash bands give candidates, each is verified exactly."""
+"""SimHash near-dedup: fingerprints of word shingles, linked by a self-join of their binary trie. The pipeline's stage
+takes the same links as candidates, adds those of MinHash bands, which reach further than a few bits, and verifies each exactly."""
 
 from __future__ import annotations
 
@@ -39,7 +39,10 @@ def hashes_of(text: str, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int) -> int:
     """64 bits: bit j is 1 if it is set in over half of the hashes of the shingles; no words: 0."""
-    hashes = hashes_of(text, shingle)
+    return majority(hashes_of(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 65536):
         part = hashes[start : start + 65536]
@@ -130,16 +133,20 @@ def band_keys(own: np.ndarray) -> list[int]:
 
 
 def shingle_classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, node long, bands array<long>) for every row of docs: rows with one set of shingles have one node."""
+    """(doc_id, digest, node long, fp long, bands array<long>) for every row of docs: rows with one set of shingles have one node."""
 
     def work(batches):
         for batch in batches:
-            sets = [np.unique(hashes_of(t, shingle)) for t in batch["text"]]
+            sets, marks = [], []
+            for text in batch["text"]:
+                hashes = hashes_of(text, shingle)
+                sets.append(np.unique(hashes))
+                marks.append(majority(hashes))
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes, "bands": [np.array(band_keys(s), dtype=np.uint64).view(np.int64) for s in sets]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "node": nodes, "fp": np.array(marks, dtype=np.uint64).view(np.int64), "bands": [np.array(band_keys(s), dtype=np.uint64).view(np.int64) for s in sets]})
         release()
 
-    return map_rows(docs.select("doc_id", digest_of().alias("digest"), text_of().alias("text")), work, "digest binary, node long, bands array<long>")
+    return map_rows(docs.select("doc_id", digest_of().alias("digest"), text_of().alias("text")), work, "digest binary, node long, fp long, bands array<long>")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -232,8 +239,19 @@ def block_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, shingle: i
     return left.union(right).join(sets, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def fingerprint_pairs(classes: DataFrame, budget: int = 2) -> DataFrame:
+    """(a, b): nodes of `classes` (node, fp) whose fingerprints are equal or linked in the trie. A fingerprint's first node stands for it; the
+    others meet that one, so there are as many rows as nodes and links."""
+    firsts = cut(classes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints", SHORT)
+    linked = trie_pairs(firsts, budget)
+    a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}")) for x in "ab")
+    own = classes.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return own.union(linked.join(a, "a").join(b, "b").select("node_a", "node_b")).where("a <> b")
+
+
 def similar_components(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, component) of the nodes of `classes` (node, digest, bands) that have links: pairs that share a band and are verified.
+    """(node, component) of the nodes of `classes` (node, digest, fp, bands) that have links: pairs that share a band, or whose
+    fingerprints are linked, and that are verified.
 
     Nodes of a band meet their next two in it, those of a very large one its first and last. In the bands that still hold
     several components afterwards, all pairs of different components meet: one by one in bands of up to FEW nodes, in blocks in
@@ -246,7 +264,8 @@ def similar_components(docs: DataFrame, classes: DataFrame, shingle: int, simila
     near = Window.partitionBy("key").orderBy("node")
     light = bands.join(heavy, "key", "left_anti").select("node", F.array(F.lead("node", 1).over(near), F.lead("node", 2).over(near)).alias("next")).select("node", F.explode("next").alias("other"))
     far = bands.join(heavy, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
-    tested = light.union(far).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    alike = fingerprint_pairs(classes).toDF("node", "other")
+    tested = light.union(far).union(alike).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     tested = cut(tested, "candidates", SHORT)
     found = components(verified(docs, classes, tested, shingle, similarity))
     # bands that still hold several components
@@ -266,9 +285,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """docs with one row of each component: that with the smallest doc_id (a null one comes last), then the smallest digest.
 
     Rows are linked if their sets of shingles have a Jaccard similarity of `similarity` or more, exactly computed; texts
-    without words are one class. Sets are found by MinHash bands: of a pair at 0.8, 1 - 7e-5 are expected to be seen."""
+    without words are one class. Candidates are the links of the SimHash fingerprints in their trie (2 bits), and MinHash bands for edits
+    that change more bits: of a pair at 0.8, 1 - 7e-5 are expected to be seen."""
     marks = cut(shingle_classes(docs, shingle), "shingles")
-    classes = cut(marks.groupBy("node").agg(F.min("digest").alias("digest"), F.first("bands").alias("bands")), "classes", 4)
+    classes = cut(marks.groupBy("node").agg(F.min("digest").alias("digest"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "classes", 4)
     found = similar_components(docs, classes, shingle, similarity)
     rows = marks.select("doc_id", "digest", "node").join(found, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
     rows = cut(rows, "components", 4)

@@ -113,3 +113,21 @@ def test_edited_copies_of_one_text(spark):
         docs[i] = " ".join(own)
     got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(docs.items()), DOCS)).collect()}
     assert got == brute_kept(docs) and 1 < len(got) < 119
+
+
+def test_links_of_fingerprints_are_candidates(spark):
+    """Fingerprints within 2 bits meet through the trie, whatever their bands: here no two rows share a band."""
+    marks = [0, 0, 3, 7, 1 << 63, 0x7FFF, 0x7FFF << 8]
+    rows = [(10 + i, m - (1 << 64) if m >> 63 else m) for i, m in enumerate(marks)]
+    got = {tuple(sorted(r)) for r in simhash.fingerprint_pairs(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    assert got == {(10, 11), (10, 12), (12, 13), (10, 14)}
+
+
+def test_stage_takes_the_trie(spark):
+    """Near copies leave also where the bands give no candidate at all."""
+    base = [f"w{i}" for i in range(4000)]
+    docs = {0: " ".join(base), 1: " ".join([*base, "tail"]), 2: " ".join(f"x{i}" for i in range(50))}
+    classes = simhash.shingle_classes(spark.createDataFrame(list(docs.items()), DOCS), 5)
+    classes = classes.withColumn("bands", F.array(F.col("doc_id"))).drop("doc_id").cache()
+    found = simhash.similar_components(spark.createDataFrame(list(docs.items()), DOCS), classes, 5, 0.8).collect()
+    assert len(found) == 2 and len({r.component for r in found}) == 1
