@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,51 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     got, late = ST.run_counted(ST.late_counts(in_files(spark, df, tmp_path, F.col("file")), "10 minutes", "1 hour", "kind"))
     assert late == 1
     assert sorted((r.start.timestamp() if r.start.tzinfo else r.at, r.kind, r.n) for r in got.select("start", F.unix_timestamp("start").alias("at"), "kind", "n").collect()) == [(0, "a", 1), (0, "b", 1), (7200, "a", 2), (7200, "b", 1)]
+
+
+class Store:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.values = 0, {}
+
+    def getValueState(self, name, schema):
+        return Kept(self, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+    getCurrentWatermarkInMs = lambda self: 10**12
+
+
+class Kept:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _call(self, value=None, keep=False):
+        self.store.calls += 1
+        if keep:
+            self.store.values[self.name] = value
+        return self.store.values.get(self.name)
+
+    get = _call
+    exists = lambda self: self._call() is not None
+    put = update = lambda self, value: self._call(value, True)
+    clear = lambda self: self._call(None, True)
+    appendValue = lambda self, value: self._call([*(self.store.values.get(self.name) or []), value], True)
+
+
+def test_state_calls_do_not_grow_with_flows():
+    calls = {}
+    for flows in (1, 300):
+        store, machine = Store(), O.InOrder(O.Votes(2), "bigint")
+        machine.init(store)
+        frame = pd.DataFrame([(f, f * 10 + i, f * 10 + i, f % 2) for f in range(flows) for i in range(2)], columns=["flow_id", "at", "frame_number", "decision"])
+        machine.handleInputRows((0,), iter([frame]), None)
+        out = pd.concat(machine.handleExpiredTimer((0,), store, None))
+        assert dict(zip(out["flow_id"], out["votes"])) == {f: 2 * (f % 2) for f in range(flows)}
+        calls[flows] = store.calls
+    assert calls[1] == calls[300]
