@@ -7,6 +7,7 @@ import statistics
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,6 +298,26 @@ def test_distances_of_blocks_of_words(lengths):
     assert got.tolist() == [[plain_distance(x, y) for x in a] for y in b]
 
 
+def test_words_of_a_block_share_their_prefixes(monkeypatch):
+    words = ["abcd", "abce", "abc", "abd", "", "b"]
+    trie = SI.Coded(words).trie(slice(None))
+    assert [len(symbols) for _, symbols, _, _ in trie] == [2, 1, 2, 2]  # a b, ab, abc abd, abcd abce: 7 of 15 letters
+    rng = random.Random(6)
+    rows = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), rng.choice("xyz"), rng.randint(1, 3)) for _ in range(60)]
+    frame = pd.DataFrame(rows, columns=["word", "label", "n"]).drop_duplicates(["word", "label"]).assign(group="", stripe=0, i=0, j=0)
+    found = []
+    for most in (3, 0):  # pairs counted singly, and as products of tables
+        monkeypatch.setattr(SI, "MOST_SPREAD", most)
+        found.append({(r.label_a, r.label_b, r.dist): r.n for r in SI._tally(frame).groupby(["label_a", "label_b", "dist"], as_index=False).sum().itertuples()})
+    want: dict = {}
+    flows = [r for r in frame.itertuples() for _ in range(r.n)]
+    for k, x in enumerate(flows):
+        for y in flows[:k]:
+            key = (*sorted((x.label, y.label)), plain_distance(x.word, y.word))
+            want[key] = want.get(key, 0) + 1
+    assert found[0] == found[1] == want
+
+
 def test_pairs_and_medians_by_stripes(spark, monkeypatch):
     """Stripes of few words, words of several labels, repeated rows: against all pairs; a word comes as often as there are stripes."""
     monkeypatch.setattr(SI, "STRIPE", (6, 9))
