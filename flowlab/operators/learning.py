@@ -69,10 +69,9 @@ def fourier_features(features, n_in: int, n_out: int, gamma: float, seed: int):
 
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, math.sqrt(2 * gamma), (n_out, n_in)), rng.uniform(0, 2 * math.pi, n_out)
-    table = F.split(F.lit("|".join(",".join(map(repr, [*map(float, row), float(o)])) for row, o in zip(w, b))), r"\|")
+    table = F.lit([[*map(float, row), float(o)] for row, o in zip(w, b)])
 
-    def one(row):
-        weights = F.split(row, ",").cast("array<double>")
+    def one(weights):
         total = F.aggregate(F.zip_with(F.slice(weights, 1, n_in), features, lambda a, x: a * x), F.lit(0.0), lambda acc, x: acc + x)
         return math.sqrt(2 / n_out) * F.cos(total + F.get(weights, F.lit(n_in)))
 

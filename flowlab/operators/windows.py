@@ -26,17 +26,27 @@ def running(df: DataFrame, keys, bucket, order, sums: dict) -> DataFrame:
     return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__bucket", *[f"__{n}" for n in sums])
 
 
-def resample(df: DataFrame, n: int, value: str, key: str = "flow_id", order: str = "frame_number") -> DataFrame:
-    """(key, points): the values of a flow, linearly interpolated at n even places from first to last."""
-    rows = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("v"))
+def _field(name: str):
+    return lambda x: x[name]
 
-    def point(i):
-        at = i * (F.size("v") - 1) / float(max(n - 1, 1))
-        low = F.floor(at).cast("int")
-        part = at - low
-        return F.get("v", low) * (1 - part) + F.get("v", F.least(low + 1, F.size("v") - 1)) * part
 
-    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point).alias("points"))
+def resample(df: DataFrame, n: int, value: str | list[str], key: str | list[str] = "flow_id", order: str = "frame_number") -> DataFrame:
+    """(key, points): the values of a flow, linearly interpolated at n even places from first to last. Of a list of values each gives a
+    column of its name, in one pass."""
+    keys, values = [key] if isinstance(key, str) else key, [value] if isinstance(value, str) else value
+    own = F.struct(F.col(order).alias("o"), *[F.col(v).cast("double").alias(v) for v in values])
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("own")).select(*keys, *[F.transform("own", _field(v)).alias(v) for v in values])
+
+    def points(v):
+        def point(i):
+            at = i * (F.size(v) - 1) / float(max(n - 1, 1))
+            low = F.floor(at).cast("int")
+            part = at - low
+            return F.get(v, low) * (1 - part) + F.get(v, F.least(low + 1, F.size(v) - 1)) * part
+
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point).alias("points" if isinstance(value, str) else v)
+
+    return rows.select(*keys, *[points(v) for v in values])
 
 
 def drop_retransmissions(segments: DataFrame, key=("flow_id",)) -> DataFrame:

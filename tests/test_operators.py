@@ -342,3 +342,50 @@ def test_pairs_and_medians_by_stripes(spark, monkeypatch):
     assert SI._cells(words).count() == words.count() * stripes
     grouped = SI.label_pairs(df.withColumn("g", F.col("flow_id") % 2), "g").agg(F.sum("n")).first()[0]
     assert grouped == 2 * (35 * 34 // 2)
+
+
+def test_models_take_equal_sequences_once():
+    rng = np.random.default_rng(3)
+    seqs, lengths = H.padded([list(rng.integers(-1, 5, rng.integers(1, 12))) for _ in range(40)])
+    counts = rng.integers(1, 5, 40)
+    profile, dense = H.Profile.start(4, 5, 1), H.Dense.start(3, 5, 1)
+    sums, logp = profile.expectations(seqs, lengths, counts)
+    each = [profile._expectations(seqs[[k]], lengths[[k]]) for k in range(40)]
+    assert np.allclose(sums, sum(n * x for n, (x, _) in zip(counts, each))) and np.allclose(logp, [p[0] for _, p in each])
+    assert np.allclose(profile.likelihoods(seqs, lengths), profile.forward(seqs, lengths)[1])
+    sums, logp = dense.sums(seqs, lengths, counts)
+    each = [dense.expectations(list(x[:n])) for x, n in zip(seqs, lengths)]
+    assert np.allclose(sums, sum(n * x for n, (x, _) in zip(counts, each))) and np.allclose(logp, [p for _, p in each])
+    assert np.allclose(dense.likelihoods(seqs, lengths), logp)
+
+
+def test_sizes_drawn_at_once_are_those_drawn_singly(spark):
+    rows = [(k, n + 1, 1 if n < 3 else -1, 23 if n != 4 else 22, 700 + 90 * n) for k in range(3) for n in range(6)]
+    df = spark.createDataFrame(rows, "flow_id long, record_number int, direction int, content_type int, length int")
+    got = [tuple(r) for r in R.resize_records(df, 50, [90, 400], 3).orderBy("hi", "flow_id", "record_number").collect()]
+    want = []
+    for hi in (90, 400):
+        for k in range(3):
+            rng, out = np.random.default_rng([3, k]), []
+            for side, content, total in ((1, 23, 700 + 790 + 880), (-1, 23, 970), (-1, 22, 1060), (-1, 23, 1150)):
+                while total:
+                    out.append((side, content, total if content != 23 else min(total, int(rng.integers(50, hi + 1)))))
+                    total -= out[-1][2]
+            want += [(k, n + 1, *r, hi) for n, r in enumerate(out)]
+    assert got == want
+
+
+def test_short_vocabularies_are_looked_up_in_the_row(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["b", "a", "z"]), (2, []), (3, ["a"])], "flow_id long, seq array<string>")
+    vocab = SI.vocabulary(spark.createDataFrame([(["a", "b"],)], "seq array<string>"))
+    rows = lambda: sorted((r.flow_id, tuple(r.ids), r.word) for r in SI.encode(df, vocab).collect())
+    short = rows()
+    monkeypatch.setattr(SI, "SHORT", 0)
+    assert short == rows() and [r[1] for r in short] == [(1, 0, -1), (0,)]
+
+
+def test_values_are_resampled_in_one_pass(spark):
+    df = spark.createDataFrame([(k, n, float(n * k), float(n - k)) for k in (1, 2) for n in range(5 * k)], "flow_id long, frame_number int, total double, signed double")
+    both = {r.flow_id: (r.total, r.signed) for r in W.resample(df, 4, ["total", "signed"]).collect()}
+    alone = [{r.flow_id: r.points for r in W.resample(df, 4, v).collect()} for v in ("total", "signed")]
+    assert both == {k: tuple(a[k] for a in alone) for k in (1, 2)}
