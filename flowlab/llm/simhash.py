@@ -15,6 +15,8 @@ from flowlab.llm.common import MAX_BROADCAST_IDS, SHORT, components, cut, digest
 
 #: Depths at which the trie is visited: where nodes may have many children, and below, where nearly all have one.
 DENSE, SPARSE = (8, 12, 16, 20, 24, 28, 32), (48, 64)
+#: Depths behind which the pipeline's stage writes the pairs: the driver holds the plan and the tasks of a few depths only, beside all it has from the stages before.
+HALTS = (16, 24, 32, 48)
 
 
 #: MinHash bands and the minima of each: two sets with similarity 0.8 share no band with probability 7e-5, with 0.9 less than 1e-9.
@@ -67,14 +69,15 @@ def flips(width: int, budget: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(budget + 1) for c in combinations(range(width), k)]
 
 
-def trie_pairs(values: DataFrame, budget: int = 2) -> DataFrame:
+def trie_pairs(values: DataFrame, budget: int = 2, halts: tuple[int, ...] = ()) -> DataFrame:
     """Pairs (a, b) with a < b of the distinct 64-bit values `fp` that differ in at most `budget` bits.
 
     Binary trie self-join. A row is a pair of nodes of one depth and the bits they differ in so
     far; chains of single bits between two depths are walked in one step. Down to 32 bits each child of the left node
     asks, by prefix, only for the right node's children that the left budget still allows. Below, where nearly every node has
     one child, the children of both nodes meet and pairs over the budget are pruned. Every step is an equi-join on prefixes. The
-    widest depth has about as many pairs as there are values, times the patterns of `budget` flips."""
+    widest depth has about as many pairs as there are values, times the patterns of `budget` flips. Behind the depths `halts` the pairs
+    are written, so that a plan has the depths between two of them."""
     pairs, last = None, 0
     for depth in (*DENSE, *SPARSE):
         step = depth - last
@@ -98,6 +101,8 @@ def trie_pairs(values: DataFrame, budget: int = 2) -> DataFrame:
             # the bits above differ in `used` places: those of the whole prefix are used + the new ones
             near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget) & ordered
             pairs = left.alias("l").join(right.alias("r"), (F.col("l.b_up") == F.col("r.b_up")) & near).select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("used"))
+        if depth in halts:
+            pairs = cut(pairs, "trie", SHORT)
         last = depth
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -243,7 +248,7 @@ def fingerprint_pairs(classes: DataFrame, budget: int = 2) -> DataFrame:
     """(a, b): nodes of `classes` (node, fp) whose fingerprints are equal or linked in the trie. A fingerprint's first node stands for it; the
     others meet that one, so there are as many rows as nodes and links."""
     firsts = cut(classes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints", SHORT)
-    linked = trie_pairs(firsts, budget)
+    linked = cut(trie_pairs(firsts, budget, HALTS), "pairs", SHORT)
     a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"node_{x}")) for x in "ab")
     own = classes.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return own.union(linked.join(a, "a").join(b, "b").select("node_a", "node_b")).where("a <> b")
@@ -264,7 +269,7 @@ def similar_components(docs: DataFrame, classes: DataFrame, shingle: int, simila
     near = Window.partitionBy("key").orderBy("node")
     light = bands.join(heavy, "key", "left_anti").select("node", F.array(F.lead("node", 1).over(near), F.lead("node", 2).over(near)).alias("next")).select("node", F.explode("next").alias("other"))
     far = bands.join(heavy, "key").select("node", F.explode(F.array("low", "high")).alias("other"))
-    alike = fingerprint_pairs(classes).toDF("node", "other")
+    alike = cut(fingerprint_pairs(classes), "alike", SHORT).toDF("node", "other")
     tested = light.union(far).union(alike).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     tested = cut(tested, "candidates", SHORT)
     found = components(verified(docs, classes, tested, shingle, similarity))

@@ -131,3 +131,16 @@ def test_stage_takes_the_trie(spark):
     classes = classes.withColumn("bands", F.array(F.col("doc_id"))).drop("doc_id").cache()
     found = simhash.similar_components(spark.createDataFrame(list(docs.items()), DOCS), classes, 5, 0.8).collect()
     assert len(found) == 2 and len({r.component for r in found}) == 1
+
+
+def test_the_trie_is_not_one_plan(spark):
+    """The driver holds the plan of a few depths of the trie at a time; the pairs are those of the trie in one plan."""
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    fps = sorted(set(base + [b ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63) for b in base]))
+    nodes = {fp: n for n, fp in enumerate(fps)}
+    rows = spark.createDataFrame([(n, fp) for fp, n in nodes.items()], "node long, fp long")
+    found = simhash.fingerprint_pairs(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") < 12
+    whole = {tuple(sorted((nodes[r.a], nodes[r.b]))) for r in simhash.trie_pairs(rows.select("fp")).collect()}
+    assert {tuple(sorted(r)) for r in found.collect()} == whole and len(whole) >= 40
