@@ -271,6 +271,32 @@ def test_records_of_long_streams_by_block_maps(spark, monkeypatch):
     assert max(s[3] for s in segments) > 20 * R.BLOCK and R.record_spans(df.limit(0)).count() == 0
 
 
+def test_streams_that_end_about_the_edge_of_a_block(spark):
+    """Records of streams that stop just before, at and behind the bytes a block sees of the next, beside short ones; where none has a
+    second block, the rows need no further shuffle."""
+    def stream(length):
+        out = b""
+        while len(out) < length:
+            size = min(60_000, max(0, length - len(out) - 5))
+            out += bytes([23, 3, 3, size >> 8, size & 255]) + bytes(size)
+        return out[:length]
+
+    streams = {1: stream(7), 2: stream(900) + bytes([23, 3, 3, 9, 9, 1]), 3: b"\0" * 50}
+    short = dict(streams)
+    streams |= {10 + k: stream(R.BLOCK + k) for k in (-1, 0, 2, 3, 4, 5, 9)} | {30: stream(2 * R.BLOCK + 2) + bytes([23, 3, 3, 200, 0, 1]), 31: stream(R.BLOCK + 2)[:-40] + bytes([22, 3, 3, 200, 0])}
+    schema = "flow_id long, direction int, lo long, hi long, payload binary"
+
+    def spans(those):
+        rows = [(f, 1, lo, min(lo + 1400, len(x)), x[lo : lo + 1400]) for f, x in those.items() for lo in range(0, len(x), 1400)]
+        return R.record_spans(spark.createDataFrame(rows, schema))
+
+    want = {f: [(f, 1, n, *r) for n, r in enumerate(R.walk(x))] for f, x in streams.items()}
+    assert sorted(map(tuple, spans(streams).collect())) == sorted(sum(want.values(), []))
+    found = spans(short)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(sum((want[f] for f in short), []))
+
+
 def test_a_stopped_training_goes_on(spark, tmp_path, monkeypatch):
     """A training in two runs by a folder gives what one run gives; sums by a tree give the same for any number of tasks; it ends by tolerance."""
     monkeypatch.setattr(H, "FAN", 2)
