@@ -415,3 +415,29 @@ def test_values_are_resampled_in_one_pass(spark):
     both = {r.flow_id: (r.total, r.signed) for r in W.resample(df, 4, ["total", "signed"]).collect()}
     alone = [{r.flow_id: r.points for r in W.resample(df, 4, v).collect()} for v in ("total", "signed")]
     assert both == {k: tuple(a[k] for a in alone) for k in (1, 2)}
+
+
+def test_distances_of_one_and_several_integers(monkeypatch):
+    """Words as wide as their integers and shorter ones, empty ones, letters that the patterns have not, arrays used again."""
+    rng = random.Random(6)
+    for lengths in ((0, 1, 7, 8), (0, 8, 9, 16), (3, 31, 32), (0, 5, 63, 64), (2, 64, 65, 130)):
+        left = ["".join(rng.choice("abc") for _ in range(rng.choice(lengths))) for _ in range(9)]
+        right = sorted("".join(rng.choice("abcz") for _ in range(rng.choice((0, *lengths, 70)))) for _ in range(12))
+        a = SI.Coded(left)
+        b = SI.Coded(right, a.symbols)
+        want = [[plain_distance(x, y) for x in left] for y in right]
+        assert SI.Patterns(a, slice(0, 9)).distances(b, slice(0, 12)).tolist() == want
+
+
+def test_stripes_are_ranges_and_as_many_as_the_words_need(spark, monkeypatch):
+    """Words under several labels call for no more stripes; a stripe's words are neighbours, so they share prefixes."""
+    monkeypatch.setattr(SI, "STRIPE", (16, 64))
+    words = sorted({f"{k * 7919 % 4096:012b}" for k in range(64)})
+    rows = spark.createDataFrame([("", label, w, 1) for w in words for label in "LMNOP"], "group string, label string, word string, n long")
+    cells = SI._cells(rows, "count(distinct word)").select("stripe", "word").distinct().collect()
+    ranges = {}
+    for r in cells:
+        ranges.setdefault(r.stripe, []).append(r.word)
+    assert 1 < len(ranges) <= 4 and sum(map(len, ranges.values())) == 64
+    ends = sorted((min(w), max(w)) for w in ranges.values())
+    assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
