@@ -441,3 +441,18 @@ def test_stripes_are_ranges_and_as_many_as_the_words_need(spark, monkeypatch):
     assert 1 < len(ranges) <= 4 and sum(map(len, ranges.values())) == 64
     ends = sorted((min(w), max(w)) for w in ranges.values())
     assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+
+
+def test_searched_words_are_dealt_by_ranges(spark, monkeypatch):
+    """Words of a stripe are neighbours, so they share prefixes, and none is lost."""
+    monkeypatch.setattr(SI, "STRIPE", (8, 64))
+    tables, write = {}, SI.materialise
+    monkeypatch.setattr(SI, "materialise", lambda df, name: tables.setdefault(name, write(df, name)))
+    words = [f"{k * 7919 % 4096:012b}" for k in range(40)]
+    df = spark.createDataFrame([(k, "L", w) for k, w in enumerate(words)], "flow_id long, label string, word string")
+    assert sorted((r.id, r.dist) for r in SI.nearest(df, df, 1).collect()) == [(k, 0) for k in range(40)]
+    ranges = {}
+    for r in tables["ranged"].collect():
+        ranges.setdefault(r.s, []).append(r.word)
+    ends = sorted((min(w), max(w)) for w in ranges.values())
+    assert len(ends) > 1 and all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
