@@ -65,3 +65,9 @@ def test_profiles_take_whole_sequences(spark, small, monkeypatch):
     want = {r.flow_id: r.n for r in long.select("flow_id", F.size("seq").alias("n")).collect()}
     ids, _ = models._ids(spark, small)
     assert {r.flow_id: r.n for r in ids.select("flow_id", F.size("ids").alias("n")).collect()} == want and max(want.values()) > 8
+
+
+@pytest.mark.parametrize("name", ["j10", "m1", "m7"])
+def test_flows_are_made_from_events_once(spark, small, name):
+    """What follows reads the written words, not the events again."""
+    assert not [f for f in getattr(models, name)(spark, small).inputFiles() if "events.parquet" in f]
