@@ -101,7 +101,7 @@ KINDS: dict[str, Kind] = {
     "phmm": _scored(_profile_fit, lambda m, test: H.phmm_score(_coded(test, m[0]), m[1])),
     "hmm": _scored(_dense_fit, lambda m, test: H.hmm_score(_coded(test, m[0]), m[1])),
     "ano": Kind(_anomaly_fit, lambda m, test: C.ensemble(C.score_chain(test, m[0]), m[1]), lambda m, test: C.score_chain(test, m[0])),
-    "cumul": Kind(lambda train, **settings: (train, settings), lambda m, test: L.cumul_classify(m[0], test, **m[1])),
+    "cumul": Kind(lambda train, **settings: (materialise(train, "cumul"), settings), lambda m, test: L.cumul_classify(m[0], test, **m[1])),
     "ipset": Kind(_ipset_fit, _ipset_predict, _ipset_score),
 }
 

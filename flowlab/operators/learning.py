@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,45 +67,77 @@ def scale(df: DataFrame, params: DataFrame, cols) -> DataFrame:
     return out.drop(*params.columns)
 
 
-def fourier_features(features, n_in: int, n_out: int, gamma: float, seed: int):
-    """Random Fourier features of an RBF kernel exp(-gamma |x - y|^2): cos(w x + b), w and b from a seeded generator."""
-    import numpy as np
+def feature_bounds(rows: DataFrame, features: str = "features") -> tuple[list[float], list[float]]:
+    """(least, greatest) of each place of array features. A task sends one row of each, so nothing is exploded for a row."""
 
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, math.sqrt(2 * gamma), (n_out, n_in)), rng.uniform(0, 2 * math.pi, n_out)
-    table = F.lit([[*map(float, row), float(o)] for row, o in zip(w, b)])
+    def own(batches):
+        lo = hi = None
+        for batch in batches:
+            x = np.stack(batch[features].to_numpy()) if len(batch) else np.zeros((0, 0))
+            if len(x):
+                lo = x.min(axis=0) if lo is None else np.minimum(lo, x.min(axis=0))
+                hi = x.max(axis=0) if hi is None else np.maximum(hi, x.max(axis=0))
+        if lo is not None:
+            yield pd.DataFrame({"lo": [lo], "hi": [hi]})
 
-    def one(weights):
-        total = F.aggregate(F.zip_with(F.slice(weights, 1, n_in), features, lambda a, x: a * x), F.lit(0.0), lambda acc, x: acc + x)
-        return math.sqrt(2 / n_out) * F.cos(total + F.get(weights, F.lit(n_in)))
+    parts = rows.select(features).mapInPandas(own, "lo array<double>, hi array<double>")
+    places = parts.select(F.posexplode(F.arrays_zip("lo", "hi")).alias("i", "x")).groupBy("i").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+    found = sorted(places.collect(), key=lambda r: r.i)
+    return [r.lo for r in found], [r.hi for r in found]
 
-    return F.transform(table, one)
 
+def fourier_features(features, lo, hi, n_out: int, gamma: float, seed: int):
+    """Random Fourier features of an RBF kernel exp(-gamma |x - y|^2) of features scaled to [-1, 1] by the bounds (0 where they are equal):
+    sqrt(2 / n_out) cos(w x + b), w and b from a seeded generator, so that products of rows are the kernel but for some 1 / sqrt(n_out)."""
+    low, high = np.asarray(lo, float), np.asarray(hi, float)
 
-def cumul_classify(train: DataFrame, test: DataFrame, n_in: int, gamma: float = 0.1, c: float = 1.0, n_out: int = 32, seed: int = 1, iterations: int = 10) -> DataFrame:
-    """(flow_id, day, actual, predicted) of an RBF max-margin classifier on rows (flow_id, day, label, features): random
-    Fourier features (an approximation of the kernel) and one linear machine per label against the rest."""
+    @F.pandas_udf("array<double>")
+    def turned(column: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(seed)
+        w, b = rng.normal(0, math.sqrt(2 * gamma), (n_out, len(low))), rng.uniform(0, 2 * math.pi, n_out)
+        if not len(column):
+            return pd.Series([], dtype=object)
+        span = np.where(high > low, high - low, 1)
+        x = np.where(high > low, (np.stack(column.to_numpy()) - low) / span * 2 - 1, 0.0)
+        return pd.Series(list(math.sqrt(2 / n_out) * np.cos(x @ w.T + b)))
+
+    return turned(features)
+
+
+#: Bytes of turned rows that the fits of several labels may hold in memory at once.
+HELD = 1 << 30
+
+
+def cumul_classify(train: DataFrame, test: DataFrame, n_in: int, gamma: float = 0.1, c: float = 1.0, n_out: int = 512, seed: int = 1, iterations: int = 1000, tolerance: float = 1e-3) -> DataFrame:
+    """(flow_id, day, actual, predicted) of an RBF max-margin classifier on rows (flow_id, day, label, features of n_in places): random
+    Fourier features (an approximation of the kernel) and one linear machine per label against the rest. A machine is fitted until its
+    loss falls by less than a share of `tolerance`; `iterations` only keeps a fit that doesn't settle from going on for ever. train is
+    read twice for each label and turned again, as the turned rows are far larger: it should be a table. Labels are fitted side by
+    side as far as their turned rows fit HELD bytes."""
     from pyspark.ml.classification import LinearSVC
 
-    lo_hi = train.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    bounds = lo_hi.agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("b"))
-
-    def ready(df):
-        rows = df.join(F.broadcast(bounds))
-        scaled = F.zip_with("features", "b", lambda x, e: F.when(e["hi"] > e["lo"], (x - e["lo"]) / (e["hi"] - e["lo"]) * 2 - 1).otherwise(0.0))
-        return rows.withColumn("x", fourier_features(scaled, n_in, n_out, gamma, seed)).select("flow_id", "day", "label", array_to_vector("x").alias("features"))
-
-    rows = ready(train).persist()
-    best = ready(test)
-    labels = sorted(r.label for r in rows.select("label").distinct().collect())
-    margins = []
-    for label in labels:
-        model = LinearSVC(regParam=1 / max(c * 100, 1e-9), maxIter=iterations).fit(rows.withColumn("label", (F.col("label") == label).cast("double")))
-        w = [float(v) for v in model.coefficients.toArray()]
-        x = vector_to_array("features")
-        margins.append(F.struct((-(sum((F.get(x, F.lit(i)) * v for i, v in enumerate(w)), F.lit(float(model.intercept))))).alias("m"), F.lit(label).alias("label")))
-    rows.unpersist()
-    return best.select("flow_id", "day", F.col("label").alias("actual"), F.array_min(F.array(*margins))["label"].alias("predicted"))
+    lo, hi = feature_bounds(train)
+    if lo and len(lo) != n_in:
+        raise ValueError(f"features have {len(lo)} places, not {n_in}")
+    x = array_to_vector(fourier_features("features", lo, hi, n_out, gamma, seed)).alias("features")
+    rows = train.select("label", x)
+    labels = sorted(r.label for r in train.select("label").distinct().collect())
+
+    def fit(label):
+        model = LinearSVC(regParam=1 / max(c * 100, 1e-9), maxIter=iterations, tol=tolerance).fit(rows.select("features", (F.col("label") == label).cast("double").alias("label")))
+        return model.coefficients.toArray(), float(model.intercept)
+
+    side_by_side = max(1, min(len(labels), HELD // (8 * n_out * max(train.count(), 1))))
+    with ThreadPool(side_by_side) as pool:
+        machines = pool.map(inheritable_thread_target(train.sparkSession)(fit), labels)
+    w, b, names = np.array([m[0] for m in machines]), np.array([m[1] for m in machines]), np.array(labels, object)
+
+    @F.pandas_udf("string")
+    def best(column: pd.Series) -> pd.Series:
+        return pd.Series(names[(np.stack(column.to_numpy()) @ w.T + b).argmax(axis=1)] if len(column) else [], dtype=object)
+
+    turned = fourier_features("features", lo, hi, n_out, gamma, seed)
+    return test.select("flow_id", "day", F.col("label").alias("actual"), best(turned).alias("predicted"))
 
 
 def hyperparameter_importance(trials: DataFrame, cols, target: str, trees: int = 20, seed: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ from flowlab import jobs
 from flowlab.operators import aggregates as A
 from flowlab.operators import hmm as H
 from flowlab.operators import learning as L
+from flowlab.operators import learning as L
 from flowlab.operators import reassembly as R
 from flowlab.operators import similarity as S
 from flowlab.plans import models
@@ -47,6 +48,27 @@ def test_cumulative_classifier(spark):
     assert got.count() == 30 and got.where("label = predicted").count() >= 27
 
 
+def test_cumulative_query_sees_what_lies_between_ten_points(spark, monkeypatch):
+    """Flows of two labels differ in the order of two neighbouring frames only, far from each tenth of a flow."""
+    sets = ["train"] * 6 + ["test"] * 2
+    rows = [(i, "ab"[i % 2], i % 3, sets[i // 2 % 8], j + 1, (900 + i if j == 15 + i % 2 else 20), 1) for i in range(64) for j in range(100)]
+    frames = spark.createDataFrame(rows, "flow_id long, label string, day int, dset string, frame_number int, tcp_length int, direction int")
+    monkeypatch.setattr(models.V, "frames", lambda *_: frames)
+    got = models.m10(spark, "").collect()
+    assert len(got) == 16 and sum(r.actual == r.predicted for r in got) >= 14
+
+
+def test_fourier_features_are_the_kernel(spark):
+    x = np.random.default_rng(5).uniform(-1, 1, (40, 6))
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "i int, features array<double>")
+    lo, hi = L.feature_bounds(df)
+    assert lo == x.min(axis=0).tolist() and hi == x.max(axis=0).tolist()
+    z = np.array([r.z for r in df.select("i", L.fourier_features("features", lo, hi, 512, 0.1, 1).alias("z")).orderBy("i").collect()])
+    y = (x - x.min(axis=0)) / (x.max(axis=0) - x.min(axis=0)) * 2 - 1
+    kernel = np.exp(-0.1 * ((y[:, None] - y[None]) ** 2).sum(axis=2))
+    assert np.abs(z @ z.T - kernel).mean() < 0.04
+
+
 def test_own_classifier_defence_and_changed_counts(split):
     train, test = split
     jobs.register("first", lambda rows: None, lambda m, rows: rows.withColumn("predicted", F.when(F.col("seq")[0] == "a", "x").otherwise("y")))
