@@ -59,6 +59,29 @@ def test_robustness_judges_every_setting(spark, small):
     assert alone == pytest.approx(both) and len(models.LIMITS) == 18
 
 
+def test_heads_of_resized_records_are_those_of_the_rows(spark, small, monkeypatch):
+    """A row for each flow and setting says what all its records would, also where flows lie across batches and have empty records."""
+    more = spark.createDataFrame([(-1, i, 1 if i % 50 else -1, 9000 * (i % 7), 23) for i in range(1, 400)] + [(-2, 1, 1, 0, 23), (-3, 1, -1, 0, 22)], "flow_id long, record_number int, direction int, length int, content_type int")
+    records = V.records(spark, small).where("flow_id < 300").drop("handshake_type").unionByName(more)
+    monkeypatch.setattr(V, "records", lambda *_: records.withColumn("handshake_type", F.lit(None).cast("int")))
+    rows = [tuple(r) for r in models._resized(spark, small, [100, 2**14]).select("setting", "flow_id", "record_number", "direction", "content_type", "length").collect()]
+    before, want = {}, {}
+    for r in records.collect():
+        before[r.flow_id] = before.get(r.flow_id, 0) + r.length + 5
+    for setting, flow, _, side, kind, length in sorted(rows, key=lambda r: r[:3]):
+        ratio, letters = want.get((setting, flow), (0, ""))
+        code = ((kind - 20) * 4 + sum(length > m for m in (250, 750, 1250))) * 2 + (side > 0)
+        want[setting, flow] = ratio + (length + 5) / before[flow], (letters + chr(48 + code))[: models.FIRST]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.setting, r.flow): (r.ratio, r.letters) for r in models._heads(spark, small, [100, 2**14]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()} and ("0:1", -2) not in got
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v[0] for k, v in want.items()})
+
+
 def test_profiles_take_whole_sequences(spark, small, monkeypatch):
     long = V.seqs(spark, small).withColumn("seq", F.concat("seq", "seq", "seq", "seq", "seq"))
     monkeypatch.setattr(V, "seqs", lambda *_: long)
