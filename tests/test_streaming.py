@@ -1,6 +1,7 @@
 """Streaming operators against a plain pass over the same rows."""
 
 import json
+import random
 
 import numpy as np
 import pandas as pd
@@ -144,6 +145,38 @@ def test_a_silent_flow_ends_and_begins_anew(spark):
         assert [flow for flow, _ in ends] == [1, 2, 2, 3, 3] and sum(r.direction != 0 for r in got) == 5
 
 
+def test_chained_machines_keep_a_flow_once(spark):
+    """One operator for all machines; a flow handed over in any parts gives what one machine after the other gives over all its rows."""
+    rng = random.Random(3)
+    edges = {(label, a, b): 0.1 + 0.2 * k for label in "xy" for k, (a, b) in enumerate([("START", "p"), ("p", "q"), ("q", "p")])}
+    first, second, limits = O.Admit(9, 50.0, "symbol string"), O.OnlineChain(edges, 4, {"x": -9.0, "y": -6.0}, idle=30.0), {"x": -9.0, "y": -6.0}
+    symbols, last = (lambda r: (r[0], r[1], r[4])), O.Votes(2, idle=40.0)
+    decisions = lambda r: (r[0], r[1], int(r[4]))
+    chained = O.Chained([first, second, last], [symbols, decisions])
+    seen = 0
+    for _ in range(20):
+        at, rows = 0, []
+        for number in range(60):
+            at += rng.choice([1, 1, 1, 5, 5, 35, 60]) * 1_000_000
+            rows.append((at, number, rng.choice([0, 10, 10]), rng.choice([0, 1]), rng.choice(["p", "q"])))
+        want = rows
+        for machine, link in ((first, lambda r: r), (second, symbols), (last, decisions)):
+            want = O.advance(machine, None, [link(r) for r in want], O.NEVER - 1)[0]
+        cuts = sorted(rng.sample(range(1, at), 5)) + [O.NEVER - 1]
+        got, state, low = [], None, 0
+        packed = O.Packed(chained.state)
+        for high in cuts:
+            found, state = O.advance(chained, state, [r for r in rows if low < r[0] <= high], high)
+            state = None if state is None else packed.rows_of(packed.bytes_of([state]))[0]
+            got, low = got + found, high
+        assert got == want and state is None
+        seen += len(got)
+    assert seen > 20
+    stream = O.arriving(streams._arriving_packets(spark, "/root/testdata/sf0.001")[0], F.lit(0), 1).withWatermark("ts", "1 day")
+    plan = O.classify_packets(stream, edges, 4, limits, streams.online_symbol(), 12)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("TransformWithState") == 1
+
+
 def test_online_classification_equals_its_batch_twin(spark, small):
     """Four machines in one query over files in disorder, against the same over the table and against jobs.online_classify."""
     got = streams.st10(spark, small)
